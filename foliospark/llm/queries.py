@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.llm import decontaminate, licences, packing, sharding
+from foliospark.llm import decontaminate, licences, packing, sharding, token_files
 from foliospark.llm.licences import TEMPLATES, THRESHOLD, template_bigrams
 
 
@@ -29,6 +29,7 @@ FROM documents d JOIN words w USING (doc_id) LEFT JOIN found USING (doc_id)""".r
 
 def queries() -> dict:
     return {
+        "op2_repair_tokens": token_files.op2_repair_tokens,
         "op4_rendezvous_shards": sharding.op4_rendezvous_shards,
         "op5_wu_manber": decontaminate.op5_wu_manber,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
