@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,26 +39,50 @@ def _bigrams(unit: Column) -> Column:
     return F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))
 
 
+#: Words too common to tell a licence by; a signature takes them last.
+COMMON = {"a", "and", "any", "by", "for", "in", "is", "of", "or", "the", "this", "to", "under", "with", "you"}
+
+
+def signature_words(bigrams: list[str], threshold: float) -> list[str]:
+    """Words of which a matching unit has one at least.
+
+    A match shares threshold / (2 - threshold) of the template's bigrams. The words taken cover so many bigrams that a unit without
+    any of them shares too few, so dropping such units loses no match.
+    """
+    needed = math.ceil(threshold / (2 - threshold) * len(bigrams) - 1e-9)
+    words = sorted({w for b in bigrams for w in b.split()}, key=lambda w: (w in COMMON, -len(w), w))
+    taken: list[str] = []
+    while sum(any(w in taken for w in b.split()) for b in bigrams) < len(bigrams) - needed + 1:
+        taken.append(words.pop(0))
+    return taken
+
+
 def scan_licences(df: DataFrame, text: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Add n_units, n_matches, license_ids, best_license, best_dice and licensed to each row; no shuffle, one row in, one row out.
+    """Add n_matches, license_ids, best_license, best_dice and licensed to each row; no shuffle, one row in, one row out.
 
     Units are the lines, the paragraphs of several lines and, if there are several paragraphs, the whole text. A unit of b distinct
     bigrams is compared only with templates of t bigrams for which 2 * min(b, t) / (b + t) reaches the threshold (the size bound), and
-    matches when the Dice coefficient does. Null or empty text has no units and matches nothing; ties of the best match go to the
-    smallest identifier. Repeated rows get equal results; columns of the result's names are replaced.
+    matches when the Dice coefficient does; units without a template's signature words can't match and are dropped first. Null or
+    empty text matches nothing; ties of the best match go to the smallest identifier. Repeated rows get equal results; columns of the
+    result's names are replaced.
     """
     # Empty templates can't match. The table is a literal of fixed size: part of the plan, not of the data.
     table = [(i, b) for i, t in (TEMPLATES if templates is None else templates) if (b := template_bigrams(t))]
     known = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("bigrams")) for i, b in table])
-    least = min(len(b) for _, b in table)
-    normal = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^a-z0-9\n]+", " ")
+    signs = sorted({w for _, b in table for w in signature_words(b, threshold)})
+    signs = [w for w in signs if not any(x in w for x in signs if x != w)]
+
+    def signed(x: Column) -> Column:
+        return reduce(lambda a, b: a | b, (x.contains(w) for w in signs))
+
+    none = F.array().cast("array<string>")
+    df = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    normal = F.regexp_replace("_low", r"[^a-z0-9\n]+", " ")
     paragraphs = F.split(normal, r"\n *\n")
-    several = F.when(F.size(paragraphs) > 1, F.array(F.regexp_replace(normal, "\n", " "))).otherwise(F.array().cast("array<string>"))
+    several = F.when(F.size(paragraphs) > 1, F.array(F.regexp_replace(normal, "\n", " "))).otherwise(none)
     blocks = F.transform(F.filter(paragraphs, lambda p: p.contains("\n")), lambda p: F.regexp_replace(p, "\n", " "))
-    # A unit of fewer than `least * threshold / (2 - threshold)` + 1 words has too few bigrams for any template.
-    words = int(least * threshold / (2 - threshold)) + 1
-    units = F.filter(F.concat(F.split(normal, "\n"), blocks, several), lambda u: u.rlike(rf"^ *(\S+ +){{{max(words - 1, 0)}}}\S"))
-    out = df.withColumn("_bigrams", F.transform(units, _bigrams))
+    units = F.filter(F.concat(F.split(normal, "\n"), blocks, several), signed)
+    out = df.withColumn("_bigrams", F.when(signed(F.col("_low")), F.transform(units, _bigrams)).otherwise(F.array().cast("array<array<string>>")))
 
     def matches(b: Column) -> Column:
         fits = F.filter(known, lambda t: F.lit(2.0) * F.least(F.size(b), t["n"]) >= F.lit(threshold) * (F.size(b) + t["n"]))
@@ -65,13 +91,12 @@ def scan_licences(df: DataFrame, text: str = "text", templates: list[tuple[str,
     out = out.withColumn("_hits", F.filter(F.flatten(F.transform(F.col("_bigrams"), matches)), lambda h: h["dice"] >= threshold))
     best = F.array_max(F.col("_hits")["dice"])
     return (
-        out.withColumn("n_units", F.size("_bigrams").cast("long"))
-        .withColumn("n_matches", F.size("_hits").cast("long"))
+        out.withColumn("n_matches", F.size("_hits").cast("long"))
         .withColumn("license_ids", F.array_join(F.array_sort(F.array_distinct(F.col("_hits")["id"])), ","))
         .withColumn("best_license", F.array_min(F.filter("_hits", lambda h: h["dice"] == best)["id"]))
         .withColumn("best_dice", F.round(best, 6))
         .withColumn("licensed", F.size("_hits") > 0)
-        .drop("_bigrams", "_hits")
+        .drop("_low", "_bigrams", "_hits")
     )
 
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliospark.llm.shared import materialise
 from foliospark.llm.tokens import encode_documents
@@ -128,7 +129,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(sequence), pa.array(table[at, 4])], names=[*names, "sequence_id", "offset"])
 
     ranked = rank_within(pieces, "length", ["doc_id", "piece"])
-    schema = pieces.select(*pieces.columns).schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return ranked.select(*pieces.columns, "_rank").mapInArrow(place, schema)
 
 

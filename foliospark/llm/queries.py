@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.llm import decontaminate, licences, packing, sharding, token_files
+from foliospark.llm import decontaminate, licences, media, packing, sharding, token_files, toxicity
 from foliospark.llm.licences import TEMPLATES, THRESHOLD, template_bigrams
 
 
@@ -22,9 +22,8 @@ hits AS (SELECT doc_id, k.id AS id, 2.0::DOUBLE * len(list_intersect(b, k.bigram
 kept AS (SELECT doc_id, id, dice, max(dice) OVER (PARTITION BY doc_id) AS best FROM hits WHERE dice >= {THRESHOLD}::DOUBLE),
 found AS (SELECT doc_id, count(*) AS n_matches, array_to_string(list_sort(list(DISTINCT id)), ',') AS license_ids,
     min(CASE WHEN dice = best THEN id END) AS best_license, round(max(dice), 6) AS best_dice FROM kept GROUP BY doc_id)
-SELECT d.doc_id, (SELECT count(*) FROM (SELECT unnest(w.w) AS x) WHERE len(x) >= {{least}})::BIGINT AS n_units,
-    coalesce(n_matches, 0)::BIGINT AS n_matches, coalesce(license_ids, '') AS license_ids, best_license, best_dice, n_matches IS NOT NULL AS licensed
-FROM documents d JOIN words w USING (doc_id) LEFT JOIN found USING (doc_id)""".replace("{least}", str(int(min(len(b) for _, t in TEMPLATES if (b := template_bigrams(t))) * THRESHOLD / (2 - THRESHOLD)) + 1))
+SELECT d.doc_id, coalesce(n_matches, 0)::BIGINT AS n_matches, coalesce(license_ids, '') AS license_ids, best_license, best_dice, n_matches IS NOT NULL AS licensed
+FROM documents d LEFT JOIN found USING (doc_id)"""
 
 
 def queries() -> dict:
@@ -32,7 +31,9 @@ def queries() -> dict:
         "op2_repair_tokens": token_files.op2_repair_tokens,
         "op4_rendezvous_shards": sharding.op4_rendezvous_shards,
         "op5_wu_manber": decontaminate.op5_wu_manber,
+        "op6_weak_toxicity": toxicity.op6_weak_toxicity,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op9_interleaved_media": media.op9_interleaved_media,
         "op10_licence_dice": licences.op10_licence_dice,
     }
 
