@@ -16,8 +16,11 @@ from pyspark.sql import types as T
 TRAIN_ROWS = 20_000
 MAX_VOTERS = 600
 LEAST_DOCS = 4
-#: Lexicon voters look for a whole word, pattern voters for a word that begins with so many letters.
+#: A voter's evidence, toxic texts times log lift, must reach so much, or chance alone would make voters of rare words.
+LEAST_EVIDENCE = 20.0
+#: Lexicon voters look for a whole word, pattern voters for a word that begins with so many letters, or SEVERAL such words.
 PREFIXES = (4, 5, 6)
+SEVERAL = 2
 THRESHOLD = 0.7
 
 _WORD = re.compile(r"[^\W\d_]+").findall
@@ -28,10 +31,12 @@ def words_of(text: str | None) -> set[str]:
 
 
 def voters_of(words: set[str]) -> set[str]:
-    """Lexicon voters "=word" and pattern voters "^prefix" that a text sets off."""
+    """Lexicon voters "=word" and pattern voters "^prefix" (one word) and "#prefix" (several words) that a text sets off."""
     out = {"=" + w for w in words}
     for n in PREFIXES:
-        out.update("^" + w[:n] for w in words if len(w) >= n)
+        starts = Counter(w[:n] for w in words if len(w) >= n)
+        out.update("^" + p for p in starts)
+        out.update("#" + p for p, k in starts.items() if k >= SEVERAL)
     return out
 
 
@@ -60,7 +65,7 @@ def mine_voters(train: DataFrame, limit: int = MAX_VOTERS, least: int = LEAST_DO
     if not toxic or not clean:
         return []
     lift = F.log(((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("c") + 0.5) / (clean + 1)))
-    strong = counts.where((F.col("t") >= least) & (lift > 2)).withColumn("strength", F.col("t") * lift)
+    strong = counts.where((F.col("t") >= least) & (lift > 2)).withColumn("strength", F.col("t") * lift).where(F.col("strength") >= LEAST_EVIDENCE)
     return [r[0] for r in strong.orderBy(F.desc("strength"), "voter").limit(limit).select("voter").collect()]
 
 
@@ -135,24 +140,26 @@ class ToxicityModel:
 
     def scorer(self):
         whole = {v[1:]: w for v, w in self.weights.items() if v[0] == "="}
-        starts = {v[1:]: w for v, w in self.weights.items() if v[0] == "^"}
+        starts = {v[1:] for v in self.weights if v[0] in "^#"}
+        weights = self.weights
 
         class Seen(dict):
-            """Voters that a word sets off, found once for each word."""
+            """The weight of a word as lexicon voter and the prefixes of pattern voters that it has, found once for each word."""
 
             def __missing__(self, word):
-                found = [("=" + word)] if word in whole else []
-                found += ["^" + word[:n] for n in PREFIXES if word[:n] in starts and len(word) >= n]
-                if len(self) > 500_000:
+                prefixes = tuple(word[:n] for n in PREFIXES if word[:n] in starts and len(word) >= n)
+                if len(self) > 300_000:
                     self.clear()
-                self[word] = found = tuple(found)
+                self[word] = found = (whole.get(word, 0.0), prefixes) if word in whole or prefixes else None
                 return found
 
         seen = Seen()
 
         def score(text: str | None) -> float:
-            fired = {v for w in words_of(text) for v in seen[w]}
-            x = self.bias + sum(sorted(self.weights[v] for v in fired))
+            found = [x for x in map(seen.__getitem__, words_of(text)) if x]
+            counts = Counter(p for x in found for p in x[1])
+            parts = [x[0] for x in found] + [weights.get("^" + p, 0.0) for p in counts] + [weights.get("#" + p, 0.0) for p, k in counts.items() if k >= SEVERAL]
+            x = self.bias + sum(sorted(parts))
             return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
         return score
