@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.llm import decontaminate, licences, media, packing, sharding, token_files, toxicity
+from foliospark.llm import decontaminate, licences, media, packing, pages, sharding, token_files, toxicity
 from foliospark.llm.licences import TEMPLATES, THRESHOLD, template_bigrams
 
 
@@ -28,6 +28,7 @@ FROM documents d LEFT JOIN found USING (doc_id)"""
 
 def queries() -> dict:
     return {
+        "op1_page_differencing": pages.op1_page_differencing,
         "op2_repair_tokens": token_files.op2_repair_tokens,
         "op4_rendezvous_shards": sharding.op4_rendezvous_shards,
         "op5_wu_manber": decontaminate.op5_wu_manber,
