@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.llm import decontaminate, licences, media, packing, pages, sharding, token_files, toxicity
+from foliospark.llm import decontaminate, jaccard, licences, media, packing, pages, sharding, token_files, toxicity
 from foliospark.llm.licences import TEMPLATES, THRESHOLD, template_bigrams
 
 
@@ -34,6 +34,7 @@ def queries() -> dict:
         "op5_wu_manber": decontaminate.op5_wu_manber,
         "op6_weak_toxicity": toxicity.op6_weak_toxicity,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op8_size_aware_jaccard": jaccard.op8_size_aware_jaccard,
         "op9_interleaved_media": media.op9_interleaved_media,
         "op10_licence_dice": licences.op10_licence_dice,
     }

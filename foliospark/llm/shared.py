@@ -104,3 +104,46 @@ def ascii_lower(data: np.ndarray) -> np.ndarray:
     table = np.arange(256, dtype=np.uint8)
     table[65:91] += 32
     return table[data]
+
+
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    """Arrays as one binary value: bytes of equal weight side by side, then zstd; sorted integers lose most of their high bytes."""
+    import struct
+
+    import zstandard
+
+    out = []
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        raw = zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
+        out += [struct.pack("<4sQQ", a.dtype.str.encode(), len(a), len(raw)), raw]
+    return b"".join(out)
+
+
+def unpack_arrays(data: bytes) -> list[np.ndarray]:
+    import struct
+
+    import zstandard
+
+    out, at = [], 0
+    while at < len(data):
+        kind, n, size = struct.unpack_from("<4sQQ", data, at)
+        at += struct.calcsize("<4sQQ")
+        dtype = np.dtype(kind.rstrip(b"\0").decode())
+        raw = zstandard.ZstdDecompressor().decompress(data[at : at + size], max_output_size=max(1, n * dtype.itemsize))
+        out.append(np.frombuffer(np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, n).T.tobytes(), dtype))
+        at += size
+    return out
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, list[dict]]]:
+    """(key, rows) of runs of equal keys in a task's sorted rows; a run is held in memory, so callers bound its size."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and row[key] != held[0][key]:
+                yield held[0][key], held
+                held = []
+            held.append(row)
+    if held:
+        yield held[0][key], held
