@@ -34,19 +34,22 @@ def repair(ids: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS_A_ROUND, le
         if len(sequence) < 2:
             break
         # Counts by a hash of the pair find the few cells that can hold a frequent pair; only their pairs are counted exactly.
-        wide = (sequence[:-1].astype(np.uint64) << np.uint64(32)) | sequence[1:]
-        cell = ((wide * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        left, right = sequence[:-1], sequence[1:]
+        cell = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(12)
         counts = np.bincount(cell, minlength=1 << 20)
-        nth = np.partition(counts, -pairs)[-pairs]
-        hot = counts >= max(least, nth)
-        chosen, times = np.unique(wide[hot[cell]], return_counts=True)
+        often = counts[counts >= least]
+        if not len(often):
+            break
+        hot = counts >= (np.partition(often, -pairs)[-pairs] if len(often) > pairs else least)
+        at = np.flatnonzero(hot[cell])
+        wide = (left[at].astype(np.uint64) << np.uint64(32)) | right[at]
+        chosen, times = np.unique(wide, return_counts=True)
         order = np.argsort(-times, kind="stable")[:pairs]
         chosen = np.sort(chosen[order[times[order] >= least]])
         if not len(chosen):
             break
-        at = np.flatnonzero(hot[cell])
-        place = np.minimum(np.searchsorted(chosen, wide[at]), len(chosen) - 1)
-        match = chosen[place] == wide[at]
+        place = np.minimum(np.searchsorted(chosen, wide), len(chosen) - 1)
+        match = chosen[place] == wide
         at, place = at[match], place[match]
         run = np.concatenate(([True], np.diff(at) > 1)) if len(at) else np.zeros(0, bool)
         starts = np.flatnonzero(run)

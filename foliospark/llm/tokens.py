@@ -6,6 +6,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,34 @@ _LATIN = 0x180
 _SPACE = "\\t-\\r \\x85\\xa0"
 
 
-def _latin(kind: str) -> str:
-    """The characters up to U+024F of a Unicode category, for a character class; lower case of _LATIN stays within."""
-    return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
+def _latin(kind: str, end: int) -> str:
+    """The characters before `end` of a Unicode category, for a character class."""
+    return "".join(re.escape(chr(c)) for c in range(end) if unicodedata.category(chr(c))[0] == kind)
+
+
+def _splitter(pattern: str, end: int):
+    """findall of the tokenizer's pattern for texts of characters before `end` alone; None for a pattern of another make.
+
+    Letters are tried first: no other alternative begins with one.
+    """
+    letters, numbers = _latin("L", end), _latin("N", end)
+    for old, new in (("[^\\s\\p{L}\\p{N}]", f"[^{_SPACE}{letters}{numbers}]"), ("|[\\p{L}]+", ""), ("[\\p{N}]", f"[{numbers}]")):
+        if old not in pattern:
+            return None
+        pattern = pattern.replace(old, new)
+    return None if "\\p" in pattern or "\\s" in pattern else re.compile(f"[{letters}]+|{pattern}").findall
+
+
+class _Index(dict):
+    """Places of pre-tokens; one that is new gets the next place and waits to be encoded."""
+
+    def __init__(self):
+        self.waiting: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        self.waiting.append(word)
+        return place
 
 
 def _byte_letters() -> list[str]:
@@ -51,50 +77,48 @@ class WordTokens:
         made = json.loads(self.tokenizer.to_str())
         steps = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])]
         before = (made["pre_tokenizer"] or {}).get("pretokenizers", [])
-        self.split = None
+        self.split = self.split_wide = None
         if steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in before] == ["Split", "ByteLevel"] and before[0]["invert"] and before[0]["behavior"] == "Removed" and not before[1]["add_prefix_space"] and not before[1]["use_regex"]:
-            classes = (("[^\\s\\p{L}\\p{N}]", f"[^{_SPACE}{_latin('L')}{_latin('N')}]"), ("[\\p{L}]", f"[{_latin('L')}]"), ("[\\p{N}]", f"[{_latin('N')}]"))
-            pattern = before[0]["pattern"]["Regex"]
-            for old, new in classes:
-                pattern = pattern.replace(old, new)
-            if "\\p" not in pattern and "\\s" not in pattern:
-                self.split = re.compile(pattern).findall
+            self.split, self.split_wide = (_splitter(before[0]["pattern"]["Regex"], end) for end in (0x100, 0x250))
+        self.narrow = re.compile("[^\\x00-\xff]").search
         self.beyond = re.compile(f"[^\\x00-{chr(_LATIN - 1)}]").search
         self.letters = _byte_letters()
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Index()
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self) -> None:
         letters, tokenize = self.letters.__getitem__, self.tokenizer.model.tokenize
-        made = [[t.id for t in tokenize("".join(map(letters, w.encode())))] for w in words]
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
+        made = [[t.id for t in tokenize(w if w.isalpha() and w.isascii() else "".join(map(letters, w.encode())))] for w in self.index.waiting]
+        self.index.waiting = []
         sizes = np.fromiter(map(len, made), np.int64, len(made))
         self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
         self.sizes = np.concatenate((self.sizes, sizes))
-        self.flat = np.concatenate((self.flat, np.fromiter((i for ids in made for i in ids), np.uint32, int(sizes.sum()))))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(made), np.uint32, int(sizes.sum()))))
+
+    def _words(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        text = unicodedata.normalize("NFC", text).lower()
+        return self.split(text) if text.isascii() or not self.narrow(text) else self.split_wide(text)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, as uint32; none for null."""
-        split = [None if t and (self.split is None or not t.isascii() and self.beyond(t)) else self.split(unicodedata.normalize("NFC", t).lower()) if t else [] for t in texts]
+        whole = [bool(t) and (self.split is None or not t.isascii() and self.beyond(t) is not None) for t in texts]
+        words = [[] if w else self._words(t) for t, w in zip(texts, whole, strict=True)]
         if len(self.index) > CACHE_WORDS:
             self.reset()
-        known = self.index
-        if new := set().union(*(x for x in split if x)).difference(known):
-            self._learn(list(new))
-        out = []
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
-                continue
-            at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            sizes = self.sizes[at]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.arange(total) + np.repeat(self.starts[at] - ends + sizes, sizes)].astype(np.uint32))
-        return out
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        if self.index.waiting:
+            self._learn()
+        sizes = self.sizes[at]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        ids = self.flat[np.arange(int(ends[-1])) + np.repeat(self.starts[at] - ends[:-1], sizes)]
+        cuts = ends[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if w else ids[cuts[i] : cuts[i + 1]] for i, (t, w) in enumerate(zip(texts, whole, strict=True))]
 
 
 def word_tokens(path: str) -> WordTokens:
