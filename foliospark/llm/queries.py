@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.llm import decontaminate, jaccard, licences, media, packing, pages, sharding, token_files, toxicity
+from foliospark.llm import decontaminate, jaccard, licences, media, packing, pages, sharding, suffixes, token_files, toxicity
 from foliospark.llm.licences import TEMPLATES, THRESHOLD, template_bigrams
 
 
@@ -30,6 +30,7 @@ def queries() -> dict:
     return {
         "op1_page_differencing": pages.op1_page_differencing,
         "op2_repair_tokens": token_files.op2_repair_tokens,
+        "op3_suffix_merge": suffixes.op3_suffix_merge,
         "op4_rendezvous_shards": sharding.op4_rendezvous_shards,
         "op5_wu_manber": decontaminate.op5_wu_manber,
         "op6_weak_toxicity": toxicity.op6_weak_toxicity,
