@@ -391,14 +391,14 @@ def union_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
-    """Add n_bytes, removed_spans (array of first byte, end) and kept (the remaining bytes) to each row.
+    """Add n_bytes, removed_spans (array of first byte, end), kept (the remaining bytes) and kept_text to each row.
 
     A byte goes if a string of `length` bytes that covers it starts anywhere else too, in the same text or another, on the texts as they
     come. Null texts count as empty; texts shorter than `length` stay whole; rows of equal text (of `length` bytes or more) lose all of
-    it; equal rows get equal results; texts are told apart by their length and a 64-bit hash. Columns of the result's names are
+    it; kept_text leaves out characters of which bytes have gone; equal rows get equal results; texts are told apart by their length and a 64-bit hash. Columns of the result's names are
     replaced.
     """
-    docs = docs.drop("n_bytes", "removed_spans", "kept", "text_hash", "spans")
+    docs = docs.drop("n_bytes", "removed_spans", "kept", "kept_text", "text_hash", "spans")
     content = F.coalesce(F.col(text), F.lit("")).cast("binary")
     named = docs.withColumn("text_hash", F.xxhash64(content)).withColumn("n_bytes", F.octet_length(content).cast("long"))
     texts = named.where(F.col("n_bytes") >= length).select("text_hash", "n_bytes", F.col(text).alias("text"))
@@ -407,7 +407,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
     spans = find_repeats(texts, length).unionByName(whole).groupBy("text_hash", "n_bytes").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     spans = materialise(spans)
     joined = named.join(spans, ["text_hash", "n_bytes"], "left").select(*docs.columns, "n_bytes", "spans")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("removed_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("removed_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -419,7 +419,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
                 removed.append([list(x) for x in found])
                 kept.append(b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)))
             names = [n for n in batch.schema.names if n != "spans"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(removed, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())], names=[*names, "removed_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(removed, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())], names=[*names, "removed_spans", "kept", "kept_text"])
 
     return joined.mapInArrow(cut, schema)
 
