@@ -174,9 +174,10 @@ LINE_HASHES = "array<bigint>"
 def find_shared_lines(pages: DataFrame) -> DataFrame:
     """(page_id, url, shared) of the pages that have open lines shared with their nearest page in URL order within the host.
 
-    Only line hashes take part. Keys are sorted by range over (host, path, page_id), so a host of any size spreads over tasks; each
-    part's first page finds its nearest page, the part before's last one, by a join on the part number. The sorted parts are written
-    to the shared folder first, so that both reads see the same parts.
+    Only line hashes take part. Keys are sorted by range over (host, path, page_id), so a host of any size spreads over tasks; pages
+    at a part's ends find their neighbours, the last page of the part before and the first of the part after, by a join on the part
+    number. A page is compared with the page before it, a host's first page with the one after it. The sorted parts are written to the
+    shared folder first, so that both reads see the same parts.
     """
     host, path = _host_and_path(F.col("url"))
     keyed = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"))
@@ -197,36 +198,50 @@ def find_shared_lines(pages: DataFrame) -> DataFrame:
     sort = ["host", "path", "page_id", "url"]
     ranged = parsed.repartitionByRange(shuffle_partitions(pages.sparkSession), *sort).withColumn("part", F.spark_partition_id())
     ranged = materialise(ranged)
-    last = ranged.groupBy("part").agg(F.max_by(F.struct("host", "hashes"), F.struct(*sort)).alias("last"))
-    # The nearest part before that has rows: parts are as many as shuffle partitions.
-    last = last.select(F.lead("part").over(W.orderBy("part")).alias("part"), "last").where(F.col("part").isNotNull())
-    first = ranged.groupBy("part").agg(F.min(F.struct(*sort)).alias("_first"))
-    heads = first.join(last, "part", "left").select(F.col("part").alias("_part"), F.col("last.host").alias("_host"), F.col("last.hashes").alias("_before"))
+    key, line = F.struct(*sort), F.struct("host", "hashes")
+    ends = ranged.groupBy("part").agg(F.min_by(line, key).alias("_first"), F.max_by(line, key).alias("_last"))
+    # Parts are as many as shuffle partitions; those without rows are passed over.
+    by_part = W.orderBy("part")
+    heads = ends.select(F.col("part").alias("_part"), F.lag("_last").over(by_part).alias("_before"), F.lead("_first").over(by_part).alias("_after"))
     # One row for each part, however large the input.
     rows = ranged.join(F.broadcast(heads), F.col("part") == F.col("_part"), "left").drop("_part").repartition("part").sortWithinPartitions("part", *sort)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = host = before = None
+        part = host = before = after = None
         waiting: tuple | None = None  # a host's first page waits for its successor
+        out: list[tuple] = []
+
+        def settle(of: str | None, hashes: list[int] | None) -> None:
+            nonlocal waiting
+            if waiting and of == host:
+                out.append((*waiting[:2], _open_shared(waiting[2], waiting[3], hashes)))
+            waiting = None
+
+        def result() -> pa.RecordBatch:
+            found = [x for x in out if x[2]]
+            out.clear()
+            columns = list(zip(*found, strict=True)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], page_type), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.list_(pa.int32()))], names=["page_id", "url", "shared"])
 
         for batch in batches:
-            out: list[tuple] = []
-            for row in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "host", "hashes", "roles", "part", "_host", "_before")), strict=True):
-                page_id, url, of, hashes, roles, at, head_host, head = row
+            page_type = batch.schema.field("page_id").type
+            for row in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "host", "hashes", "roles", "part", "_before", "_after")), strict=True):
+                page_id, url, of, hashes, roles, at, head, tail = row
                 if at != part:
-                    part, host, before, waiting = at, head_host, head, None
+                    if after:
+                        settle(after["host"], after["hashes"])
+                    part, after, waiting = at, tail, None
+                    host, before = (head["host"], head["hashes"]) if head else (None, None)
+                settle(of, hashes)
                 if of != host:
                     waiting = (page_id, url, hashes, roles)
                 else:
-                    if waiting:
-                        out.append((*waiting[:2], _open_shared(waiting[2], waiting[3], hashes)))
-                        waiting = None
                     out.append((page_id, url, _open_shared(hashes, roles, before)))
                 host, before = of, hashes
-            out = [x for x in out if x[2]]
-            if out:
-                ids, urls, shared = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("page_id").type), pa.array(urls, pa.string()), pa.array(shared, pa.list_(pa.int32()))], names=["page_id", "url", "shared"])
+            yield result()
+        if waiting and after:
+            settle(after["host"], after["hashes"])
+            yield result()
 
     return rows.mapInArrow(compare, f"page_id {kind}, url string, shared array<int>")
 
