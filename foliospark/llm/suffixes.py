@@ -376,7 +376,7 @@ def find_repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     dealt = flagged.mapInArrow(sort_runs, "part int, kind int, packed binary").repartition(parts, "part").sortWithinPartitions("part", "kind")
     found = dealt.mapInArrow(merge, SPANS)
-    return found.groupBy("text_hash", "n_bytes").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    return found.groupBy("text_hash", "n_bytes").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
 def union_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
