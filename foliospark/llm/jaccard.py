@@ -9,6 +9,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.llm.components import Forest, as_longs, connected_components
@@ -403,7 +404,7 @@ def _cross_links(members: DataFrame, passing: DataFrame, bound: Bound) -> DataFr
                 if block is None:
                     block = _Block(bound, held)
                     roots = [r["root"] for r in held]
-                alone = _Block(bound, [*held[:0], row])
+                alone = _Block(bound, [row])
                 sig = alone.sig[0]
                 words = block.sig
                 while len(sig) > words.shape[1]:
@@ -469,8 +470,6 @@ def link_sets(sets: DataFrame, components: DataFrame, bound: Bound) -> DataFrame
     several = materialise(several.join(members.select("set_id", "n", "tokens", "signature"), "set_id"))
     largest = several.groupBy("component", "block", "root").count().groupBy("component", "block").agg(F.max_by("root", F.struct("count", "root")).alias("root"))
     pivots = several.join(largest, ["component", "block", "root"])
-    from pyspark.sql import Window as W
-
     pivots = pivots.withColumn("_i", F.row_number().over(W.partitionBy("component", "block").orderBy("set_id"))).where(F.col("_i") <= PIVOTS).drop("_i")
     several = materialise(_relabel(several, _cross_links(several, pivots, bound)))
     largest = several.groupBy("component", "root").count().groupBy("component").agg(F.max_by("root", F.struct("count", "root")).alias("_most"))

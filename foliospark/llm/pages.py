@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -18,7 +20,7 @@ from foliospark.llm.shared import materialise, shuffle_partitions
 MAIN, BOILERPLATE, OPEN = 1, 2, 0
 
 #: Elements whose content is no main text, never shown, raw text, without content, inline.
-ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "textarea", "figcaption-ad"}
+ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "textarea"}
 HIDDEN = {"script", "style", "template", "noscript", "head", "title", "svg", "math", "iframe", "object", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
@@ -133,8 +135,6 @@ def shared_lines(a: list[int], b: list[int]) -> set[int]:
     while left and right and a[left[-1]] == b[right[-1]]:
         out.add(left.pop())
         right.pop()
-    import bisect
-
     places: dict[int, list[int]] = {}
     for at, j in enumerate(right):
         places.setdefault(b[j], []).append(at)
@@ -157,8 +157,6 @@ def shared_lines(a: list[int], b: list[int]) -> set[int]:
 
 
 def _line_hash(text: str) -> int:
-    import hashlib
-
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 

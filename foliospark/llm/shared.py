@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import struct
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at once by the vectorised helpers; bounds a task's Python memory.
@@ -108,10 +110,6 @@ def ascii_lower(data: np.ndarray) -> np.ndarray:
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
     """Arrays as one binary value: bytes of equal weight side by side, then zstd; sorted integers lose most of their high bytes."""
-    import struct
-
-    import zstandard
-
     out = []
     for a in arrays:
         a = np.ascontiguousarray(a)
@@ -121,10 +119,6 @@ def pack_arrays(*arrays: np.ndarray) -> bytes:
 
 
 def unpack_arrays(data: bytes) -> list[np.ndarray]:
-    import struct
-
-    import zstandard
-
     out, at = [], 0
     while at < len(data):
         kind, n, size = struct.unpack_from("<4sQQ", data, at)
