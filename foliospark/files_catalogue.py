@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +29,6 @@ def _archives(spark, sf_dir: str) -> DataFrame:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 lines = (text or "").split("\n")
                 with_text = ar.docx_of_lines(lines)
-                import io
-                import zipfile
-
                 with zipfile.ZipFile(io.BytesIO(with_text)) as z:
                     entries = [(n, z.read(n)) for n in z.namelist()]
                 entries += [(f"word/media/image{k}.{e}", bytes(doc_id % 50 * k)) for k, e in ((1, "png"), (2, "JPG"), (10, "svg"))]

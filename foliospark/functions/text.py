@@ -10,6 +10,9 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What folder names begin with and their length, and names that stand for empty ones.
+FOLDER_PREFIX, FOLDER_LENGTH, NO_FOLDER, NO_ITEM = "imagens ", 45, "doc", "item"
+
 #: White space that a trim takes: all of it, not spaces alone.
 _EDGE = r"^\s+|\s+$"
 
@@ -44,16 +47,16 @@ def stem(c: Column) -> Column:
     return F.regexp_replace(basename(c), r"\.[^.]*$", "")
 
 
-def folder_name(c: Column, prefix: str = "imagens ", length: int = 45) -> Column:
+def folder_name(c: Column, prefix: str = FOLDER_PREFIX, length: int = FOLDER_LENGTH) -> Column:
     plain = F.regexp_replace(F.lower(strip_accents(stem(c))), "[^a-z0-9]+", " ")
     cut = F.trim(F.substring(F.trim(plain), 1, length))
-    return F.concat(F.lit(prefix), F.when(cut == "", "doc").otherwise(cut))
+    return F.concat(F.lit(prefix), F.when(cut == "", NO_FOLDER).otherwise(cut))
 
 
 def slug(number: Column, name: Column) -> Column:
     """Two-digit number (longer ones whole), underscore, name in lower case with letters, digits and underscores alone."""
     bare = F.regexp_replace(F.replace(F.lower(trim(name)), F.lit(" "), F.lit("_")), r"[^\p{L}\p{N}_]", "")
-    return F.format_string("%02d_%s", number, F.when(bare == "", "item").otherwise(bare))
+    return F.format_string("%02d_%s", number, F.when(bare == "", NO_ITEM).otherwise(bare))
 
 
 def theme_slug(c: Column) -> Column:

@@ -10,6 +10,9 @@ from foliospark.functions import text as tx
 #: Aspect ratios that an image request may name.
 ASPECTS = ("1:1", "2:3", "3:2", "3:4", "4:3", "4:5", "5:4", "9:16", "16:9", "21:9", "auto")
 
+#: Endings of the files that are written.
+COLOURED, REBUILT, CARDS, TWO_UP = "_colorida.", " colorida.docx", "_fichas_a4.", "_2up.pdf"
+
 
 def check_aspect(aspect: str) -> str:
     if aspect not in ASPECTS:
@@ -23,16 +26,16 @@ def check_grid(columns: int, rows: int) -> None:
 
 
 def coloured_name(file: Column) -> Column:
-    return F.concat(tx.stem(file), F.lit("_colorida."), tx.extension(file))
+    return F.concat(tx.stem(file), F.lit(COLOURED), tx.extension(file))
 
 
 def rebuilt_name(file: Column) -> Column:
-    return F.concat(tx.stem(file), F.lit(" colorida.docx"))
+    return F.concat(tx.stem(file), F.lit(REBUILT))
 
 
 def cards_name(file: Column, ext: str = "html") -> Column:
-    return F.concat(tx.stem(file), F.lit("_fichas_a4." + ext))
+    return F.concat(tx.stem(file), F.lit(CARDS + ext))
 
 
 def two_up_name(file: Column) -> Column:
-    return F.concat(tx.strip_two_up(tx.stem(file)), F.lit("_2up.pdf"))
+    return F.concat(tx.strip_two_up(tx.stem(file)), F.lit(TWO_UP))
