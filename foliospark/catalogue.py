@@ -90,18 +90,16 @@ def validate_options(spark, sf_dir):
 
 @register(r"""
 SELECT doc_id, 'imagens ' || CASE WHEN s = '' THEN 'doc' ELSE s END AS folder FROM (
-  SELECT doc_id, trim(left(trim(regexp_replace(lower(strip_accents(regexp_replace(regexp_extract(left(text, 80), '([^/\\]*)$', 1), '\.[^.]*$', ''))), '[^a-z0-9]+', ' ', 'g')), 45)) AS s
-  FROM documents WHERE NOT contains(left(text, 80), chr(10)))""")
+  SELECT doc_id, trim(left(trim(regexp_replace(lower(strip_accents(regexp_replace(regexp_extract(text, '([^/\\]*)$', 1), '\.[^.]*$', ''))), '[^a-z0-9]+', ' ', 'g')), 45)) AS s FROM documents)""")
 def sanitize_folder(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("head", F.substring("text", 1, 80)).where(~F.col("head").contains("\n"))
-    return docs.select("doc_id", tx.folder_name(F.col("head")).alias("folder"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.folder_name(F.col("text")).alias("folder"))
 
 
 @register(r"""
 SELECT doc_id, CASE WHEN doc_id < 10 THEN '0' ELSE '' END || doc_id || '_' || CASE WHEN s = '' THEN 'item' ELSE s END AS slug FROM (
-  SELECT doc_id, regexp_replace(replace(lower(trim(left(text, 40), ' ' || chr(9) || chr(10) || chr(13))), ' ', '_'), '[^\p{L}\p{N}_]', '', 'g') AS s FROM documents)""")
+  SELECT doc_id, regexp_replace(replace(lower(trim(text, ' ' || chr(9) || chr(10) || chr(13))), ' ', '_'), '[^\p{L}\p{N}_]', '', 'g') AS s FROM documents)""")
 def slugify(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.slug(F.col("doc_id"), F.substring("text", 1, 40)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.slug(F.col("doc_id"), F.col("text")).alias("slug"))
 
 
 @register(r"""
@@ -122,19 +120,18 @@ def strip_two_up(spark, sf_dir):
 
 
 @register(r"""
-WITH e AS (SELECT doc_id, doc_id % 200 AS ord, left(replace(text, chr(10), ' '), 25) || ' – n' || doc_id AS path FROM documents),
-w AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN path WHEN doc_id % 3 = 1 THEN '  ' || upper(replace(strip_accents(replace(path, 'ß', '?')), '–', '-')) ELSE path || '?' END AS want FROM e WHERE NOT contains(path, 'ß')),
+WITH e AS (SELECT doc_id, doc_id % 200 AS ord, text || ' – n' || doc_id AS path FROM documents),
+w AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN path WHEN doc_id % 3 = 1 THEN '  ' || lower(replace(strip_accents(path), '–', '-')) ELSE path || '?' END AS want FROM e),
 k AS (SELECT trim(regexp_replace(lower(strip_accents(translate(path, '–—ºª', '--oa'))), '\s+', ' ', 'g')) AS key, arg_min(path, ord) AS fuzzy FROM e GROUP BY 1)
-SELECT w.doc_id, want AS path, coalesce(x.path, fuzzy) AS resolved FROM w LEFT JOIN (SELECT DISTINCT path FROM e) x ON x.path = want
+SELECT w.doc_id, md5(want) AS path, md5(coalesce(x.path, fuzzy)) AS resolved FROM w LEFT JOIN (SELECT DISTINCT path FROM e) x ON x.path = want
 LEFT JOIN k ON k.key = trim(regexp_replace(lower(strip_accents(translate(want, '–—ºª', '--oa'))), '\s+', ' ', 'g'))""")
 def resolve_paths(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    path = F.concat(F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 25), F.lit(" – n"), F.col("doc_id").cast("string"))
-    existing = docs.select("doc_id", (F.col("doc_id") % 200).alias("ord"), path.alias("path"))
+    existing = docs.select("doc_id", (F.col("doc_id") % 200).alias("ord"), F.concat("text", F.lit(" – n"), F.col("doc_id").cast("string")).alias("path"))
     k = F.col("doc_id") % 3
-    want = F.when(k == 0, F.col("path")).when(k == 1, F.concat(F.lit("  "), F.upper(F.replace(tx.strip_accents(F.col("path")), F.lit("–"), F.lit("-"))))).otherwise(F.concat("path", F.lit("?")))
-    wanted = existing.where(~F.col("path").contains("ß")).select("doc_id", want.alias("path"))
-    return relational.resolve_paths(wanted, existing)
+    want = F.when(k == 0, F.col("path")).when(k == 1, F.concat(F.lit("  "), F.lower(F.replace(tx.strip_accents(F.col("path")), F.lit("–"), F.lit("-"))))).otherwise(F.concat("path", F.lit("?")))
+    found = relational.resolve_paths(existing.select("doc_id", want.alias("path")), existing)
+    return found.select("doc_id", F.md5("path").alias("path"), F.md5("resolved").alias("resolved"))
 
 
 @register(r"""
@@ -222,13 +219,13 @@ def date_sort(spark, sf_dir):
 
 
 @register("""
-WITH c AS (SELECT vec_id, list_transform(embedding[1:30], lambda x: greatest(0, least(255, floor(abs(x::DOUBLE) * 400)))) AS v FROM embeddings),
-p AS (SELECT vec_id, unnest(range(0, 10)) AS i, v FROM c), s AS (SELECT vec_id, v[3*i+1] AS r, v[3*i+2] AS g, v[3*i+3] AS b FROM p),
+WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: greatest(0, least(255, floor(abs(x::DOUBLE) * 400)))) AS v FROM embeddings),
+p AS (SELECT vec_id, unnest(range(0, len(v) // 3)) AS i, v FROM c), s AS (SELECT vec_id, v[3*i+1] AS r, v[3*i+2] AS g, v[3*i+3] AS b FROM p),
 t AS (SELECT vec_id, CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b) END AS s FROM s)
 SELECT vec_id, round(max(s), 9) AS most, count(*) FILTER (s >= 0.15) / count(*) AS ratio, count(*) FILTER (s >= 0.15) / count(*) >= 0.05 AS coloured FROM t GROUP BY vec_id""")
 def saturation(spark, sf_dir):
-    values = F.transform(F.slice("embedding", 1, 30), lambda x: tx.clamp(F.floor(F.abs(x.cast("double")) * 400)))
-    pixels = table(spark, sf_dir, "embeddings").select("vec_id", values.alias("v")).select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"))
+    values = F.transform("embedding", lambda x: tx.clamp(F.floor(F.abs(x.cast("double")) * 400)))
+    pixels = table(spark, sf_dir, "embeddings").select("vec_id", values.alias("v")).select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.floor(F.size("v") / 3).cast("int") - 1)).alias("i"))
     at = lambda j: F.element_at("v", F.col("i") * 3 + j).cast("double")
     s = pixels.select("vec_id", tx.saturation(at(1), at(2), at(3)).alias("s"))
     ratio = F.count_if(F.col("s") >= 0.15) / F.count("*")
@@ -367,12 +364,12 @@ def union_items(spark, sf_dir):
 
 
 @register(r"""
-WITH l AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN '# ' || left(replace(text, chr(10), ' '), 30) ELSE left(replace(text, chr(10), ' '), 30) END AS line FROM conversations),
+WITH l AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN '# ' || replace(text, chr(10), ' ') ELSE replace(text, chr(10), ' ') END AS line FROM conversations),
 m AS (SELECT conv_id, turn, trim(line) AS line, left(trim(line), 1) = '#' AS head FROM l WHERE trim(line) <> ''),
 b AS (SELECT *, sum(head::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS block FROM m)
 SELECT conv_id, block::BIGINT AS block, coalesce(max(CASE WHEN head THEN trim(regexp_replace(line, '^#+', '')) END), '') AS description, coalesce(string_agg(CASE WHEN NOT head THEN line END, ' ' ORDER BY turn), '') AS body FROM b GROUP BY 1, 2""")
 def example_blocks(spark, sf_dir):
-    head = F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 30)
+    head = F.replace("text", F.lit("\n"), F.lit(" "))
     lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.concat(F.lit("# "), head)).otherwise(head).alias("line"))
     return relational.example_blocks(lines, "conv_id", "turn")
 

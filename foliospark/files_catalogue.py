@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.catalogue import register, table
-from foliospark.operators import relational
 from foliospark.plans import pipelines
 from foliospark.sources import archives as ar
 from foliospark.sources import images as im
@@ -38,6 +37,11 @@ def _archives(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(make, "doc_path string, archive binary")
 
 
+def _labelled(spark, sf_dir: str) -> DataFrame:
+    """Paths of the documents that have labels."""
+    return table(spark, sf_dir, "labels").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("doc_path")).distinct()
+
+
 @register(r"""
 SELECT 'doc' || doc_id || '.docx' AS doc_path, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS text, NULL::VARCHAR AS error FROM documents""")
 def docx_text(spark, sf_dir):
@@ -52,20 +56,20 @@ def archive_entries(spark, sf_dir):
 
 
 @register("""
-SELECT 'doc' || doc_id || '.docx' AS doc_path, 'image2.JPG' AS original_name, (doc_id % 50 * 2)::BIGINT AS size FROM documents WHERE doc_id % 2 = 0""")
+SELECT 'doc' || doc_id || '.docx' AS doc_path, 'image2.JPG' AS original_name, (doc_id % 50 * 2)::BIGINT AS size FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)""")
 def entries_from_list(spark, sf_dir):
     docs = _archives(spark, sf_dir)
-    wanted = docs.where(F.regexp_extract("doc_path", r"(\d+)", 1).cast("long") % 2 == 0).select("doc_path", F.lit("word/media/image2.JPG").alias("path_in_zip"))
+    wanted = _labelled(spark, sf_dir).withColumn("path_in_zip", F.lit("word/media/image2.JPG"))
     return ar.entries_from_list(docs, wanted).select("doc_path", "original_name", "size")
 
 
 @register("""
-SELECT 'doc' || doc_id || '.docx' AS doc_path, 'image' || k || '.' || e AS original_name, CASE WHEN k = 2 AND doc_id % 3 = 0 THEN 7 ELSE doc_id % 50 * k END::BIGINT AS size
-FROM documents, (VALUES (1, 'png'), (2, 'JPG'), (10, 'svg')) v(k, e) WHERE doc_id % 3 = 0""")
+SELECT 'doc' || doc_id || '.docx' AS doc_path, 'image' || k || '.' || e AS original_name, CASE WHEN k = 2 AND doc_id IN (SELECT doc_id FROM labels) THEN 7 ELSE doc_id % 50 * k END::BIGINT AS size
+FROM documents, (VALUES (1, 'png'), (2, 'JPG'), (10, 'svg')) v(k, e)""")
 def rebuilt_archives(spark, sf_dir):
     docs = _archives(spark, sf_dir)
-    new = docs.where(F.regexp_extract("doc_path", r"(\d+)", 1).cast("long") % 3 == 0).select("doc_path", F.lit("word/media/image2.JPG").alias("path_in_zip"), F.lit(b"changed").alias("new_content"))
-    rebuilt = ar.rebuild_archives(docs, new).where("archive is not null")
+    new = _labelled(spark, sf_dir).withColumns({"path_in_zip": F.lit("word/media/image2.JPG"), "new_content": F.lit(b"changed")})
+    rebuilt = ar.rebuild_archives(docs, new).withColumnRenamed("archive", "_new").join(docs, "doc_path").select("doc_path", F.coalesce("_new", "archive").alias("archive"))
     return ar.list_entries(rebuilt).select("doc_path", "original_name", "size")
 
 
@@ -126,20 +130,17 @@ def image_cascade(spark, sf_dir):
 
 
 @register("""
-WITH l AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS t FROM documents WHERE doc_id % 4 > 0),
-t AS (SELECT doc_id, 'doc' || doc_id || '.docx' AS doc_path FROM l WHERE t IN (SELECT t FROM l GROUP BY 1 HAVING count(*) = 1))
-SELECT doc_path, 0 AS seq, lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || '/03/26' AS data, '' AS campo FROM t WHERE doc_id % 4 < 3""")
+WITH l AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS t FROM documents),
+n AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS n FROM l)
+SELECT 'doc' || doc_id || '.docx' AS doc_path, CASE WHEN n % 4 > 1 THEN NULL ELSE lpad((n % 28 + 1)::VARCHAR, 2, '0') || '/03/26' END AS data, CASE n % 4 WHEN 2 THEN 'status 429' WHEN 3 THEN 'reply holds no rows' END AS error FROM n""")
 def routine_pipeline(spark, sf_dir):
-    """Documents' texts, a table of replies (one of four fails, one of four isn't readable), rows."""
+    """Documents' texts, a table of replies (one of four fails, one of four holds no rows; texts that documents share have one reply),
+    rows and rejected documents."""
     docs = _archives(spark, sf_dir)
-    number = F.regexp_extract("doc_path", r"(\d+)", 1).cast("long")
-    docs = docs.where(number % 4 > 0)
-    said = ar.extract_text(docs).withColumn("_n", number)
-    docs_by_text = said.groupBy("text").agg(F.count("*").alias("_c"))
-    single = said.join(docs_by_text.where("_c = 1"), "text")
-    reply = F.when(F.col("_n") % 4 == 3, "none").otherwise(F.concat(F.lit('[{\\"data\\": \\"'), F.lpad((F.col("_n") % 28 + 1).cast("string"), 2, "0"), F.lit('/03/26\\"}]')))
-    answers = said.select(F.sha2("text", 256).alias("key"), F.lit(200).alias("status"), F.concat(F.lit('{"choices": [{"message": {"content": "'), reply, F.lit('"}}]}')).alias("body"), "_n")
-    # Texts that several documents share have one reply: that of the smallest document.
-    answers = relational.first_of_each(answers, "key", "_n").drop("_n")
-    rows, _ = pipelines.compile_routines(docs, TableAdapter(answers))
-    return rows.join(single.select("doc_path"), "doc_path", "left_semi").select("doc_path", F.col("seq").cast("int").alias("seq"), "data", "campo")
+    said = ar.extract_text(docs).groupBy("text").agg(F.min(F.regexp_extract("doc_path", r"(\d+)", 1).cast("long")).alias("n"))
+    k = F.col("n") % 4
+    reply = F.when(k == 3, "none").otherwise(F.concat(F.lit('[{\\"data\\": \\"'), F.lpad((F.col("n") % 28 + 1).cast("string"), 2, "0"), F.lit('/03/26\\"}]')))
+    body = F.concat(F.lit('{"choices": [{"message": {"content": "'), reply, F.lit('"}}]}'))
+    answers = said.select(F.sha2("text", 256).alias("key"), F.when(k == 2, 429).otherwise(200).alias("status"), body.alias("body"))
+    rows, rejected = pipelines.compile_routines(docs, TableAdapter(answers))
+    return rows.select("doc_path", "data", F.lit(None).cast("string").alias("error")).unionByName(rejected.select("doc_path", F.lit(None).cast("string").alias("data"), "error"))
