@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliospark.llm.shared import start_task
+
 WINDOW = 10
 #: Pattern words held by one table; larger benchmarks are scanned in several passes of this size. Bounds what is broadcast.
 PASS_WORDS = 2_000_000
@@ -126,6 +128,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, item: str = "item_
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            start_task()
             tables = build_tables(shared.value, window)
             for batch in batches:
                 counts, spans, items = [], [], []

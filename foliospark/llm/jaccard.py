@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.llm.components import Forest, as_longs, connected_components
-from foliospark.llm.shared import ascii_lower, materialise, mix, pack_arrays, prefix_hash, shuffle_partitions, span_hash, text_chunks, unpack_arrays, word_spans
+from foliospark.llm.shared import ascii_lower, materialise, mix, pack_arrays, prefix_hash, shuffle_partitions, span_hash, start_task, text_chunks, unpack_arrays, word_spans
 
 #: Shingles that a task gathers before it deals them out.
 GATHER = 2_000_000
@@ -87,6 +87,7 @@ def name_sets(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
         for batch in batches:
             sizes, digests = [], []
             for tokens in shingle_sets(batch.column(1), k):
@@ -172,6 +173,7 @@ def survivors(docs: DataFrame, k: int, bound: Bound, text: str = "text") -> Data
     parts = shuffle_partitions(docs.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
         held: list[np.ndarray] = []
         names: list[int] = []
         seen: set[int] = set()
@@ -208,6 +210,7 @@ def survivors(docs: DataFrame, k: int, bound: Bound, text: str = "text") -> Data
             yield flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
         for found in _by_part(batches):
             tokens = np.concatenate([f[0] for f in found])
             ids = np.concatenate([f[2][f[1]] for f in found])
@@ -233,6 +236,7 @@ def survivors(docs: DataFrame, k: int, bound: Bound, text: str = "text") -> Data
                 yield _deal(ids.view(np.uint64)[order], parts, ids[order], tokens[order], df[order].astype(np.uint32), sizes[order])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
         for found in _by_part(batches):
             ids, tokens, df, sizes = (np.concatenate([f[i] for f in found]) for i in range(4))
             order = np.lexsort((tokens, df, ids))
@@ -284,6 +288,7 @@ def postings(sets: DataFrame, bound: Bound, boundary: int) -> DataFrame:
     """(key, set_id, n, m, signature): hashed subsets of small sets, prefix tokens of large sets and of the small ones they may link with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
         for batch in batches:
             keys, rows = [], []
             for i, (n, tokens, prefix) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True)):
@@ -320,6 +325,7 @@ def candidate_components(lists: DataFrame, bound: Bound) -> DataFrame:
     cold = lists.join(hot, "key", "left_anti")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
         forest = Forest()  # edges known in this task aren't sent again
         out: list[tuple[int, int]] = []
 
@@ -390,6 +396,7 @@ def _cross_links(members: DataFrame, passing: DataFrame, bound: Bound) -> DataFr
     rows = members.withColumn("visit", F.lit(0)).unionByName(visits).select("component", "block", "visit", "set_id", "root", "n", "tokens", "signature")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
         at, held, block, roots, forest = None, [], None, None, Forest()
         for batch in batches:
             out = []
@@ -445,6 +452,7 @@ def link_sets(sets: DataFrame, components: DataFrame, bound: Bound) -> DataFrame
     members = members.join(sizes.select("component", blocks.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
         def result(held: list[dict]) -> pa.RecordBatch:
             roots = _exact(bound, held)
             columns = [pa.array([r[c] for r in held], t) for c, t in (("component", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32()), ("set_id", pa.int64()))]

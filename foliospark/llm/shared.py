@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import struct
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,22 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_BYTES = 1 << 20
 
 
+#: What a worker keeps between tasks; each entry empties one such store.
+CACHES: list[Callable[[], None]] = []
+
+
+def start_task() -> None:
+    """Give back what earlier tasks of this worker hold: workers are reused, and a stage's memory must not wait for the one before."""
+    for clear in CACHES:
+        clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path in the folder named by spark.checkpoint.dir; a temporary folder only where none is set (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)

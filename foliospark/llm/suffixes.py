@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.shared import materialise, mix, pack_arrays, prefix_hash, shuffle_partitions, span_hash, text_chunks, unpack_arrays
+from foliospark.llm.shared import materialise, mix, pack_arrays, prefix_hash, shuffle_partitions, span_hash, start_task, text_chunks, unpack_arrays
 
 LENGTH = 200
 GRAM = 16
@@ -70,6 +70,7 @@ def repeated_contexts(texts: DataFrame, length: int) -> DataFrame:
     parts = shuffle_partitions(texts.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
         held, names, sizes, seen, count = [], [], [], set(), 0
 
         def flush() -> pa.RecordBatch:
@@ -109,6 +110,7 @@ def repeated_contexts(texts: DataFrame, length: int) -> DataFrame:
             yield flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
         part, held = None, []
 
         def result() -> Iterator[pa.RecordBatch]:
@@ -265,6 +267,7 @@ def find_repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     flagged = texts.join(repeated_contexts(texts, length), ["text_hash", "n_bytes"]).select("text_hash", "n_bytes", "text", "contexts")
 
     def sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
         held: list[tuple] = []  # (context, suffix, left, text_hash, n_bytes, place, least offset)
         seen: set[tuple[int, int]] = set()
         size = 0
@@ -323,6 +326,7 @@ def find_repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
             yield flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
         part, runs = None, []
 
         def spans(names, sizes, firsts, lasts) -> pa.RecordBatch:
@@ -410,6 +414,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
     schema = T.StructType([*docs.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("removed_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
         for batch in batches:
             removed, kept = [], []
             for value, gone in zip(batch.column(text), batch.column("spans").to_pylist(), strict=True):

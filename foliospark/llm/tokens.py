@@ -13,10 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from foliospark.llm.shared import CACHES
+
 #: Words kept by a worker before its cache starts anew.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 300_000
 END_ID = 1
 _cache: dict[str, "WordTokens"] = {}
+CACHES.append(_cache.clear)
 
 
 #: Texts of these characters alone (up to Latin Extended-A) are split here; others go to the library whole.

@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliospark.llm.shared import start_task
+
 #: About so many labelled rows, chosen by a hash of the id, fit the model; documented bound of what fitting gathers.
 TRAIN_ROWS = 20_000
 MAX_VOTERS = 600
+HELD_VOTERS = 200_000
 LEAST_DOCS = 4
 #: A voter's evidence, toxic texts times log lift, must reach so much, or chance alone would make voters of rare words.
 LEAST_EVIDENCE = 20.0
@@ -41,19 +44,24 @@ def voters_of(words: set[str]) -> set[str]:
 
 
 def _count_voters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of each label that set off each voter, summed over a task's rows."""
-    toxic, clean = Counter(), Counter()
+    """Texts of each label that set off each voter, summed over HELD_VOTERS voters at a time."""
+    start_task()
+    counts: dict[str, list[int]] = {}
+
+    def sums() -> Iterator[pa.RecordBatch]:
+        names = list(counts)
+        for i in range(0, len(names), 50_000):
+            part = names[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([counts[v][0] for v in part], pa.int64()), pa.array([counts[v][1] for v in part], pa.int64())], names=["voter", "toxic", "clean"])
+        counts.clear()
+
     for batch in batches:
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            (toxic if label else clean).update(voters_of(words_of(text)))
-    names = list(toxic)  # a voter that no toxic text sets off votes for nothing
-    for i in range(0, len(names), 50_000):
-        part = names[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([toxic[v] for v in part], pa.int64()), pa.array([clean[v] for v in part], pa.int64())], names=["voter", "toxic", "clean"])
-    rest = [v for v in clean if v not in toxic and clean[v] > 1]
-    for i in range(0, len(rest), 50_000):
-        part = rest[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([0] * len(part), pa.int64()), pa.array([clean[v] for v in part], pa.int64())], names=["voter", "toxic", "clean"])
+        for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for v in voters_of(words_of(text.as_py())):
+                counts.setdefault(v, [0, 0])[0 if label else 1] += 1
+            if len(counts) > HELD_VOTERS:
+                yield from sums()
+    yield from sums()
 
 
 def mine_voters(train: DataFrame, limit: int = MAX_VOTERS, least: int = LEAST_DOCS) -> list[str]:
@@ -180,6 +188,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
     place = {v: i for i, v in enumerate(names)}
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
         for batch in batches:
             fired = [sorted(place[v] for v in voters_of(words_of(t)) if v in place) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(fired, pa.list_(pa.int32())), batch.column(1).cast(pa.int32())], names=["fired", "toxic"])
@@ -206,6 +215,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", th
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
         score = model.scorer()
         for batch in batches:
             scores = np.array([score(t.as_py()) for t in batch.column(text)], np.float64)
