@@ -14,11 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.shared import shared_dir
+from foliospark.llm.shared import materialise, shared_dir
 
 BLOCK = 64
 RATE = 8000
 SCHEME = "media:"
+#: A digest of more references is split over so many parts of the join.
+HOT_REFERENCES = 10_000
+SALTS = 8
 
 SEQUENCE = "array<struct<pos:int,kind:string,text:string,digest:string>>"
 
@@ -183,18 +186,19 @@ def describe_media(stored: DataFrame) -> DataFrame:
 def resolve(sequences: DataFrame, media: DataFrame, keep: list[str], out: str = "sequence") -> DataFrame:
     """One row for each media reference, in its place: `keep`, pos, caption, digest and the columns of `media` (null if it has none).
 
-    A digest that many references share is split over SALTS parts of the join.
+    Digests of more than HOT_REFERENCES references are split over SALTS parts of the join; they are few (at most one in HOT_REFERENCES
+    references), so Spark may broadcast their list by its size.
     """
     refs = sequences.select(*keep, F.explode(out).alias("_item")).where(F.col("_item.kind") == "media")
     refs = refs.select(*keep, F.col("_item.pos").alias("pos"), F.col("_item.text").alias("caption"), F.col("_item.digest").alias("digest"))
-    refs = refs.withColumn("_salt", F.pmod(F.xxhash64(*keep, "pos"), F.lit(SALTS)).cast("int"))
-    salted = media.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hot = materialise(refs.groupBy("digest").count().where(F.col("count") > HOT_REFERENCES).select("digest", F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*keep, "pos"), F.lit(SALTS)).cast("int")).otherwise(0)
+    refs = refs.join(hot, "digest", "left").withColumn("_salt", salt).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = media.join(hot, "digest", "left").withColumn("_salt", F.explode(salts)).drop("_hot")
     return refs.join(salted, ["digest", "_salt"], "left").drop("_salt")
 
 
-SALTS = 8
-
-
 def op9_interleaved_media(spark, sf_dir: str) -> DataFrame:
     """Every document's bytes as a media payload that its own page refers to."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

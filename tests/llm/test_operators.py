@@ -441,7 +441,9 @@ def test_media(spark, tmp_path):
     assert len({(r.media_sha256, r.feature) for r in got}) == len({r.payload_sha256 for r in got})
 
 
-def test_sequences(spark):
+@pytest.mark.parametrize("hot", [10_000, 1])
+def test_sequences(spark, monkeypatch, hot):
+    monkeypatch.setattr(media, "HOT_REFERENCES", hot)
     html = '<h1>T</h1><p>one <b>two</b></p><figure><img src="media:aa" alt="x"><figcaption>Cap &amp; tion</figcaption></figure>three<img src="media:bb" alt="alt"><img src="http://x/y.png"><script>no</script>'
     found = media.parse_sequence(html)
     assert [(x["pos"], x["kind"], x["text"], x["digest"]) for x in found] == [(0, "text", "T", None), (1, "text", "one two", None), (2, "media", "Cap & tion", "aa"), (3, "text", "three", None), (4, "media", "alt", "bb")]
