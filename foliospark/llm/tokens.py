@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from foliospark.llm.shared import CACHES
 
 #: Words kept by a worker before its cache starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+SLICE_ROWS = 512
 END_ID = 1
 _cache: dict[str, "WordTokens"] = {}
 CACHES.append(_cache.clear)
@@ -150,11 +151,12 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
         encoder = word_tokens(path)
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            lengths = texts.to_pylist()
-            for first, last in runs(lengths):
-                ids = [np.concatenate((x, end)).astype("<u4").tobytes() for x in encoder.encode(lengths[first:last])]
-                yield pa.RecordBatch.from_arrays([keys.slice(first, last - first), pa.array(ids, pa.binary())], names=[doc_id, "ids"])
+            for at in range(0, batch.num_rows, SLICE_ROWS):  # texts become Python strings a slice at a time
+                part = batch.slice(at, SLICE_ROWS)
+                texts = part.column(1).to_pylist()
+                for first, last in runs(texts):
+                    ids = [np.concatenate((x, end)).astype("<u4").tobytes() for x in encoder.encode(texts[first:last])]
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(first, last - first), pa.array(ids, pa.binary())], names=[doc_id, "ids"])
 
     schema = T.StructType([docs.schema[doc_id], T.StructField("ids", T.BinaryType())])
     return docs.select(doc_id, text).mapInArrow(encode, schema)
