@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,100 +170,141 @@ LINE_HASHES = "array<bigint>"
 
 
 def find_shared_lines(pages: DataFrame) -> DataFrame:
-    """(page_id, url, shared) of the pages that have open lines shared with their nearest page in URL order within the host.
-
-    Only line hashes take part. Keys are sorted by range over (host, path, page_id), so a host of any size spreads over tasks; pages
-    at a part's ends find their neighbours, the last page of the part before and the first of the part after, by a join on the part
-    number. A page is compared with the page before it, a host's first page with the one after it. The sorted parts are written to the
-    shared folder first, so that both reads see the same parts.
+    """(page_id, url, html_hash, shared) of the pages that have open lines shared with their nearest page of other content; shared are
+    places among the page's open lines.
+
+    Only line hashes take part. Keys are sorted by range over (host, path, page_id), so a host of any size spreads over tasks. Pages in
+    a run of equal open lines (repeated rows, crawls, mirrors) are copies and aren't compared with each other, but with the content
+    before or after the run: with the one whose path has the longer common prefix, the one before if equal. Where that one has every
+    open line, the other decides. Runs at a part's ends find their neighbours, which may lie several parts away, by a join on the part
+    number. The sorted parts are written to the shared folder first, so that all reads see the same parts.
     """
     host, path = _host_and_path(F.col("url"))
-    keyed = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"))
+    keyed = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"), F.xxhash64("html").alias("html_hash"))
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, roles = [], []
+            hashes, roles, digests = [], [], []
             for html in batch.column("html"):
                 found = page_lines(html.as_py())
                 hashes.append([_line_hash(t) for _, t in found])
                 roles.append(bytes(r for r, _ in found))
+                digests.append(_digest(_open_hashes(hashes[-1], roles[-1])))
             keep = [n for n in batch.schema.names if n != "html"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(hashes, pa.list_(pa.int64())), pa.array(roles, pa.binary())], names=[*keep, "hashes", "roles"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(hashes, pa.list_(pa.int64())), pa.array(roles, pa.binary()), pa.array(digests, pa.binary())], names=[*keep, "hashes", "roles", "digest"])
 
-    schema = f"page_id {kind}, url string, host string, path string, hashes {LINE_HASHES}, roles binary"
+    schema = f"page_id {kind}, url string, host string, path string, html_hash bigint, hashes {LINE_HASHES}, roles binary, digest binary"
     parsed = materialise(keyed.mapInArrow(lines, schema))
-    sort = ["host", "path", "page_id", "url"]
+    sort = ["host", "path", "page_id", "url", "html_hash"]
     ranged = parsed.repartitionByRange(shuffle_partitions(pages.sparkSession), *sort).withColumn("part", F.spark_partition_id())
     ranged = materialise(ranged)
-    key, line = F.struct(*sort), F.struct("host", "hashes")
-    ends = ranged.groupBy("part").agg(F.min_by(line, key).alias("_first"), F.max_by(line, key).alias("_last"))
-    # Parts are as many as shuffle partitions; those without rows are passed over.
-    by_part = W.orderBy("part")
-    heads = ends.select(F.col("part").alias("_part"), F.lag("_last").over(by_part).alias("_before"), F.lead("_first").over(by_part).alias("_after"))
     # One row for each part, however large the input.
-    rows = ranged.join(F.broadcast(heads), F.col("part") == F.col("_part"), "left").drop("_part").repartition("part").sortWithinPartitions("part", *sort)
+    rows = ranged.join(F.broadcast(_neighbours(ranged, sort)), F.col("part") == F.col("_part"), "left").drop("_part").repartition("part").sortWithinPartitions("part", *sort)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = host = before = after = None
-        waiting: tuple | None = None  # a host's first page waits for its successor
+        part = tail = None
+        before: list[dict] = []  # the last page so far and the last one of other content
+        run: list[tuple] = []  # copies wait for the content after them; of their lines, only the last one's are held
+        last: dict | None = None
         out: list[tuple] = []
 
-        def settle(of: str | None, hashes: list[int] | None) -> None:
-            nonlocal waiting
-            if waiting and of == host:
-                out.append((*waiting[:2], _open_shared(waiting[2], waiting[3], hashes)))
-            waiting = None
+        def settle(after: list[dict]) -> None:
+            if run:
+                sides = [next((x for x in side or () if x["digest"] != last["digest"]), None) for side in (before, after)]
+                sides = [x if x and x["host"] == last["host"] else None for x in sides]
+                own, found = _open_hashes(last["hashes"], last["roles"]), {}
+                for *key, path in run:
+                    first = 1 if not sides[0] or sides[1] and _common(path, sides[1]["path"]) > _common(path, sides[0]["path"]) else 0
+                    if first not in found:
+                        found[first] = _shared_open(own, sides[first], sides[1 - first])
+                    if found[first]:
+                        out.append((*key, found[first]))
+                run.clear()
 
         def result() -> pa.RecordBatch:
-            found = [x for x in out if x[2]]
+            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
             out.clear()
-            columns = list(zip(*found, strict=True)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], page_type), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.list_(pa.int32()))], names=["page_id", "url", "shared"])
+            kinds = (page_type, pa.string(), pa.int64(), pa.list_(pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["page_id", "url", "html_hash", "shared"])
 
         for batch in batches:
             page_type = batch.schema.field("page_id").type
-            for row in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "host", "hashes", "roles", "part", "_before", "_after")), strict=True):
-                page_id, url, of, hashes, roles, at, head, tail = row
-                if at != part:
-                    if after:
-                        settle(after["host"], after["hashes"])
-                    part, after, waiting = at, tail, None
-                    host, before = (head["host"], head["hashes"]) if head else (None, None)
-                settle(of, hashes)
-                if of != host:
-                    waiting = (page_id, url, hashes, roles)
-                else:
-                    out.append((page_id, url, _open_shared(hashes, roles, before)))
-                host, before = of, hashes
+            for row in batch.to_pylist():
+                if row["part"] != part:
+                    settle(tail)
+                    part, tail, before, last = row["part"], row["_after"], row["_before"] or [], None
+                elif row["digest"] != last["digest"] or row["host"] != last["host"]:
+                    settle([row])
+                    before = [last]
+                run.append((row["page_id"], row["url"], row["html_hash"], row["path"]))
+                last = row
             yield result()
-        if waiting and after:
-            settle(after["host"], after["hashes"])
+        if run:
+            settle(tail)
             yield result()
 
-    return rows.mapInArrow(compare, f"page_id {kind}, url string, shared array<int>")
+    return rows.mapInArrow(compare, f"page_id {kind}, url string, html_hash bigint, shared array<int>")
+
+
+def _neighbours(ranged: DataFrame, sort: list[str]) -> DataFrame:
+    """(_part, _before, _after) of each part: the page next to it on either side and the nearest one there of other content."""
+    key, line = F.struct(*sort), F.struct("host", "path", "digest", "hashes")
+    ends = ranged.groupBy("part").agg(F.min_by(line, key).alias("first"), F.max_by(line, key).alias("last"))
+    known = ranged.join(F.broadcast(ends.select(F.col("part").alias("_part"), F.col("first.digest").alias("_first"), F.col("last.digest").alias("_last"))), F.col("part") == F.col("_part"))
+    other = known.groupBy("part").agg(F.min_by(line, F.when(F.col("digest") != F.col("_first"), key)).alias("second"), F.max_by(line, F.when(F.col("digest") != F.col("_last"), key)).alias("second_last"))
+    # Parts are as many as shuffle partitions; those without rows are passed over.
+    parts = sorted(ends.join(other, "part").collect(), key=lambda r: r["part"])
+
+    def sweep(rows: list, near: str, next_near: str) -> dict[int, list]:
+        held, out = [], {}
+        for r in rows:
+            out[r["part"]] = held
+            ahead = [r[near]] + ([r[next_near]] if r[next_near] else [])
+            held = ahead + [x for x in held if len(ahead) == 1 and x["digest"] != r[near]["digest"]][:1]
+        return out
+
+    before, after = sweep(parts, "last", "second_last"), sweep(parts[::-1], "first", "second")
+    side = f"array<struct<host string, path string, digest binary, hashes {LINE_HASHES}>>"
+    return ranged.sparkSession.createDataFrame([(p, before[p], after[p]) for p in before], f"_part int, _before {side}, _after {side}")
+
+
+def _open_hashes(hashes: list[int], roles: bytes) -> list[int]:
+    return [h for h, r in zip(hashes, roles, strict=True) if r == OPEN]
+
+
+def _digest(hashes: list[int]) -> bytes:
+    return hashlib.blake2b(b"".join(h.to_bytes(8, "little", signed=True) for h in hashes), digest_size=16).digest()
+
+
+def _common(a: str, b: str) -> int:
+    return len(os.path.commonprefix((a, b)))
 
 
-def _open_shared(hashes: list[int], roles: bytes, other: list[int] | None) -> list[int]:
-    if not other or OPEN not in roles:
+def _shared_open(own: list[int], near: dict | None, other: dict | None) -> list[int]:
+    """Places in own of the lines shared with the near page; with the other one where the near page has them all."""
+    if not own or not near:
         return []
-    return [i for i in sorted(shared_lines(hashes, other)) if roles[i] == OPEN]
+    found = shared_lines(own, near["hashes"])
+    if len(found) == len(own) and other:
+        found = shared_lines(own, other["hashes"])
+    return sorted(found)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """Add text and n_chars: the main text of each page (page_id, url, html).
 
     Lines that markup declares boilerplate go; lines shared with the nearest page of the host, by longest common subsequence, go too,
-    unless they lie in a declared article (mirrored articles would lose their text). Where a page declares a main part, open lines
-    outside it go as well. Null or empty HTML has an empty text; a null URL makes a host of its own; pages of equal URL are neighbours
-    in page_id order; equal rows get equal texts; the only page of a host is compared with none. Columns of the result's names are
-    replaced.
+    unless they lie in a declared article (mirrored articles would lose their text). Pages of equal open lines are copies: the nearest
+    page is one of other content. Where a page declares a main part, open lines outside it go as well. Null or empty HTML has an empty
+    text; a null URL makes a host of its own; pages of equal URL are neighbours in page_id order; equal rows get equal texts; a page
+    whose host has no other content is compared with none. Columns of the result's names are replaced.
     """
     pages = pages.drop("text", "n_chars", "_shared")
     shared = find_shared_lines(pages)
-    # Rows that are equal in page_id and url have one entry: lines that any of them shares.
-    shared = shared.groupBy(F.col("page_id").alias("_id"), F.coalesce("url", F.lit("")).alias("_url")).agg(F.array_distinct(F.flatten(F.collect_set("shared"))).alias("_shared"))
-    joined = pages.join(shared, F.col("page_id").eqNullSafe(F.col("_id")) & (F.coalesce("url", F.lit("")) == F.col("_url")), "left").drop("_id", "_url")
+    # Equal rows have one entry.
+    shared = shared.groupBy(F.col("page_id").alias("_id"), F.coalesce("url", F.lit("")).alias("_url"), F.col("html_hash").alias("_html")).agg(F.first("shared").alias("_shared"))
+    joined = pages.join(shared, F.col("page_id").eqNullSafe(F.col("_id")) & (F.coalesce("url", F.lit("")) == F.col("_url")) & (F.xxhash64("html") == F.col("_html")), "left").drop("_id", "_url", "_html")
     schema = T.StructType([*pages.schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +319,10 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
 
 def main_text(lines: list[tuple[int, str]], gone: set[int]) -> str:
+    """The lines that stay; gone has places among the open ones."""
     declared = any(role == MAIN for role, _ in lines)
+    opens = (i for i, (role, _) in enumerate(lines) if role == OPEN)
+    gone = {i for at, i in enumerate(opens) if at in gone}
     kept = [t for i, (role, t) in enumerate(lines) if i not in gone and role != BOILERPLATE and (role == MAIN or not declared)]
     return " ".join(kept)
 

@@ -48,6 +48,25 @@ def test_pages(spark):
     assert pages.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_page_copies_keep_their_text(spark):
+    body = lambda n: f"Text {n} only here More {n}"
+    rows = [(1, "http://b/1", OPEN.format(n=1)), (2, "http://b/2", OPEN.format(n=2)), (2, "http://b/2", OPEN.format(n=2)), (3, "http://b/2?again", OPEN.format(n=2)), (4, "http://b/3", OPEN.format(n=2).replace("<body>", "<body><header>Tuesday</header>")), (5, "http://b/4", OPEN.format(n=5))]
+    rows += [(i, f"http://m/{i:03}", OPEN.format(n=7)) for i in range(100, 160)] + [(160, "http://m/9", OPEN.format(n=8))]  # copies over several parts
+    rows += [(200, "http://only/1", OPEN.format(n=9)), (201, "http://only/2", OPEN.format(n=9))]
+    rows += [(300, "http://p/1", OPEN.format(n=3).replace("<div>All", "<div>More of it</div><div>All")), (301, "http://p/2", OPEN.format(n=3)), (302, "http://p/3", OPEN.format(n=4))]  # 300 has all of 301's lines
+    rows += [(400, "http://q/a/9", "<p>Menu A</p><p>a9</p>"), (401, "http://q/b/1", "<p>Menu B</p><p>b1</p>"), (402, "http://q/b/2", "<p>Menu B</p><p>b2</p>")]
+    rows += [(500, "http://r/1", OPEN.format(n=1)), (500, "http://r/1", "<p>Text first</p><p>Menu</p>"), (501, "http://r/2", OPEN.format(n=2))]
+    out = pages.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    texts = {r.page_id: r.text for r in out}
+    assert len(out) == len(rows) and {r.text for r in out if r.page_id == 2} == {body(2)}
+    assert texts[1] == body(1) and texts[3] == texts[4] == body(2) and texts[5] == body(5)
+    assert {texts[i] for i in range(100, 160)} == {body(7)} and texts[160] == body(8)
+    assert texts[200] == texts[201] == f"Menu Welcome {body(9)} All rights"
+    assert texts[301] == body(3)
+    assert texts[401] == "b1" and texts[402] == "b2"  # nearer to the next page than to the directory before
+    assert {r.text for r in out if r.page_id == 500} == {f"Welcome {body(1)} All rights", "Text first"}  # a later crawl is the nearest; each has its own lines
+
+
 def test_page_lines():
     assert pages.page_lines("<p>a<p>b <i>c</i>d<br/>e&nbsp;f<td>") == [(0, "a"), (0, "b cd"), (0, "e f")]
     assert pages.page_lines("<main><div class='ad'>x</div>y</main>z") == [(2, "x"), (1, "y"), (0, "z")]
