@@ -18,14 +18,21 @@ from foliospark.llm.shared import materialise, shuffle_partitions
 
 #: Roles of a line: inside a declared main part, inside declared boilerplate, or open (decided by differencing).
 MAIN, BOILERPLATE, OPEN = 1, 2, 0
+#: Roles that the whole page settles: inside an element with a boilerplate name, an article inside such an element, a form inside a main part.
+NAMED, WEAK, FORM = 3, 4, 5
 
 #: Elements whose content is no main text, never shown, raw text, without content, inline.
-ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "textarea"}
+ASIDE = {"nav", "header", "footer", "aside", "menu", "dialog", "button", "select", "textarea"}
 HIDDEN = {"script", "style", "template", "noscript", "head", "title", "svg", "math", "iframe", "object", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-#: Class, id or role words of boilerplate, and roles.
-NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|comments?|replies|respond|disqus|sidebar|side|nav|navbar|navigation|menu|breadcrumbs?|footer|header|masthead|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|widget|pagination|pager|login|signup)(?:$|[\s_-])", re.I)
+#: Whole class or id tokens of boilerplate (a hyphen doesn't end a token: wrappers are named no-sidebar or page-with-header), those of comments, and roles.
+NAMES = re.compile(
+    r"(?:^|\s)(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|nav|navbar|navigation|menu|breadcrumbs?|footer|header|masthead|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|widget|pagination|pager|login|signup"
+    r"|ads?[_-](?:banner|box|container|slot|unit)|cookies?[_-](?:banner|bar|consent|notice|popup)|(?:global|site)[_-](?:footer|header|nav|navigation)|(?:footer|main|primary|site|top)[_-](?:menu|nav|navigation)|nav[_-](?:bar|links|menu)|newsletter[_-](?:box|form|signup)|(?:share|sharing|social)[_-](?:bar|buttons|icons|links)|(?:recommended|related)[_-](?:articles|links|posts|stories))(?:$|\s)",
+    re.I,
+)
+COMMENTS = re.compile(r"(?:^|\s)(?:comments?|replies|respond|disqus|disqus[_-]thread|comments?[_-](?:area|form|list|respond|section)|(?:post|user|reader)[_-]comments)(?:$|\s)", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 #: An open element of the set ends where the named one starts.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -54,11 +61,21 @@ class _Lines(HTMLParser):
         if self.role == BOILERPLATE or tag in ASIDE:
             return BOILERPLATE
         at = dict(attrs)
+        declared = (at.get("role") or "").lower()
+        if declared in ROLES or "hidden" in at:
+            return BOILERPLATE
+        main, article = tag == "main" or declared == "main", tag == "article" or declared == "article"
         named = f"{at.get('class') or ''} {at.get('id') or ''}"
-        if (at.get("role") or "").lower() in ROLES or "hidden" in at or named.strip() and NAMES.search(named) and tag not in ("html", "body", "article", "main"):
+        if tag not in ("html", "body") and not main and COMMENTS.search(named):
             return BOILERPLATE
-        if tag in ("article", "main") or (at.get("role") or "").lower() in ("main", "article"):
+        if main:
             return MAIN
+        if article:
+            return WEAK if self.role in (NAMED, WEAK) else MAIN
+        if tag not in ("html", "body") and NAMES.search(named):
+            return NAMED if self.role in (OPEN, NAMED, MAIN) and all(t != "article" for t, _ in self.stack) else BOILERPLATE
+        if tag == "form" and self.role in (MAIN, WEAK):
+            return FORM if self.role == MAIN else BOILERPLATE
         return self.role
 
     def _pop(self, to: int) -> None:
@@ -116,7 +133,15 @@ def page_lines(html: str | None) -> list[tuple[int, str]]:
     parser.feed(html)
     parser.close()
     parser.flush()
-    return parser.lines
+    return _settled(parser.lines)
+
+
+def _settled(lines: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """Articles inside elements with a boilerplate name are the main part where they hold more text than the rest of it (else they are
+    teasers); so is a form inside a main part."""
+    size = {role: sum(len(t) for r, t in lines if r == role) for role in (MAIN, FORM, WEAK)}
+    to = {NAMED: BOILERPLATE, WEAK: MAIN if size[WEAK] > size[MAIN] + size[FORM] else BOILERPLATE, FORM: MAIN if size[FORM] > size[MAIN] else BOILERPLATE}
+    return [(to.get(role, role), t) for role, t in lines]
 
 
 def shared_lines(a: list[int], b: list[int]) -> set[int]:
@@ -294,7 +319,8 @@ def _shared_open(own: list[int], near: dict | None, other: dict | None) -> list[
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """Add text and n_chars: the main text of each page (page_id, url, html).
 
-    Lines that markup declares boilerplate go; lines shared with the nearest page of the host, by longest common subsequence, go too,
+    Lines that markup declares boilerplate, by element, role or whole class or id token, go, but for a main part declared inside; a form
+    around open lines declares nothing; lines shared with the nearest page of the host, by longest common subsequence, go too,
     unless they lie in a declared article (mirrored articles would lose their text). Pages of equal open lines are copies: the nearest
     page is one of other content. Where a page declares a main part, open lines outside it go as well. Null or empty HTML has an empty
     text; a null URL makes a host of its own; pages of equal URL are neighbours in page_id order; equal rows get equal texts; a page

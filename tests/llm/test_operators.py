@@ -74,6 +74,25 @@ def test_page_lines():
     assert pages.page_lines("text only &lt;") == [(0, "text only <")]
 
 
+def test_roles_of_wrappers():
+    roles = lambda html: pages.page_lines(html)
+    for name in ("wrap no-sidebar", "content has-sidebar", "page-with-header", "side-by-side", "related-content", "left_sidebar_layout"):
+        assert roles(f"<div class='{name}'><p>x</p></div>") == [(0, "x")]
+        assert roles(f"<div id='{name}'><article>x</article></div>") == [(1, "x")]
+    for name in ("sidebar", "big header", "cookie-notice", "ad_slot", "site-footer", "social-links", "comments", "comment-list"):
+        assert roles(f"<div class='{name}'><p>x</p></div>y") == [(2, "x"), (0, "y")]
+    assert roles("<div class='header'><div><main>x<div class='ad'>a</div></main></div>b</div>") == [(1, "x"), (2, "a"), (2, "b")]
+    assert roles("<div class='widget'><article>x<aside>a<article>t</article></aside></article></div>") == [(1, "x"), (2, "a"), (2, "t")]
+    assert roles("<div class='sidebar'><article>teaser</article></div><main>the whole body</main>") == [(2, "teaser"), (1, "the whole body")]
+    assert roles("<article>x<div id='comments'><article>c</article></div><div class='related'><article>r</article></div></article>") == [(1, "x"), (2, "c"), (2, "r")]
+    assert roles("<main><h1>t</h1><div class='widget'><article>the whole body</article></div></main>") == [(1, "t"), (1, "the whole body")]
+    assert roles("<div id='comments'><article>c</article></div>y") == [(2, "c"), (0, "y")]
+    assert roles("<body><form action='/x.aspx'><nav>n</nav><h1>t</h1><p>x<button>Go</button></form>") == [(2, "n"), (0, "t"), (0, "x"), (2, "Go")]
+    assert roles("<form><article>x</article>o</form>") == [(1, "x"), (0, "o")]
+    assert roles("<main><h1>t</h1><form><p>the whole body</p></form></main>") == [(1, "t"), (1, "the whole body")]
+    assert roles("<main><p>the whole body</p><form>Mail</form></main>") == [(1, "the whole body"), (2, "Mail")]
+
+
 def test_shared_lines():
     rng = random.Random(1)
     for _ in range(200):
