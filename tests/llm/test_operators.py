@@ -307,6 +307,16 @@ def test_licences(spark):
     assert licences.scan_licences(df.limit(0)).count() == 0
 
 
+def test_licence_headers(spark):
+    known = licences.all_templates()
+    assert len({i for i, _ in known}) >= 24
+    df = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(known)], DOCS)
+    got = {r.doc_id: (r.best_license, r.best_dice) for r in licences.scan_licences(df).collect()}
+    assert got == {i: (name, 1.0) for i, (name, _) in enumerate(known)}
+    two = next(t for i, t in known if i == "GPL-2.0-or-later")
+    assert [r.license_ids for r in licences.scan_licences(df.where(F.col("text") == two)).collect()] == ["GPL-2.0-or-later"]
+
+
 # --- decontamination --------------------------------------------------------------------------------------------------------------
 
 
