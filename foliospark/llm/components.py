@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.shared import materialise
+from foliospark.llm.shared import mapped, materialise
 
 
 class Forest:
@@ -59,7 +59,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     a, b = edges.columns
     edges = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
-    edges = materialise(edges.mapInArrow(_contract, "a bigint, b bigint").distinct())
+    edges = materialise(edges.transform(mapped, _contract, "a bigint, b bigint").distinct())
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())

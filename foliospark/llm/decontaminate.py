@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.shared import start_task
+from foliospark.llm.shared import mapped
 
 WINDOW = 10
 #: Pattern words held by one table; larger benchmarks are scanned in several passes of this size. Bounds what is broadcast.
@@ -128,7 +128,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, item: str = "item_
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            start_task()
             tables = build_tables(shared.value, window)
             for batch in batches:
                 counts, spans, items = [], [], []
@@ -141,7 +140,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, item: str = "item_
                 columns = {"n_words": pa.array(counts, pa.int64()), "hit_spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))), "items": pa.array(items, pa.list_(pa.int64()))}
                 yield pa.RecordBatch.from_arrays([columns.get(n, batch.column(i)) for i, n in enumerate(batch.schema.names)], names=batch.schema.names)
 
-        out = out.mapInArrow(search, schema)
+        out = out.transform(mapped, search, schema)
     return out
 
 

@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliospark.llm.components import Forest, as_longs, connected_components
-from foliospark.llm.shared import ascii_lower, materialise, mix, pack_arrays, prefix_hash, shuffle_partitions, span_hash, start_task, text_chunks, unpack_arrays, word_spans
+from foliospark.llm.shared import ascii_lower, dealt, mapped, materialise, mix, pack_arrays, prefix_hash, shuffle_partitions, span_hash, text_chunks, unpack_arrays, word_spans
 
-#: Shingles that a task gathers before it deals them out.
-GATHER = 2_000_000
+#: Shingles that a task gathers before it deals them out, and shingles of a part (there are as many parts as that takes).
+GATHER = 1_000_000
+PART_SHINGLES = 2_000_000
+#: Shingles of one in HOT_SHARE of all, or more, are broadcast (at most HOT_SHARE numbers) instead of being dealt to a part.
+HOT_SHARE = 1 << 16
 #: Sets in one inverted list, and in one block of a component, that a task compares at once; and the bytes of such a block.
 LIST_SETS = 2048
 BLOCK_SETS = 2048
@@ -83,20 +87,54 @@ def set_digest(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def name_sets(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n (shingles) and the digest (d1, d2) of each document's set."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+    """doc_id, n (shingles) and the digest (d1, d2) of each document's set, in rows whose d1 isn't null; and in the others, as often
+    (token) and times, the shingles of more than one in HOT_SHARE of those that a task gathers, each set counting once there."""
+    kind = docs.schema[doc_id].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start_task()
+        names = ["doc_id", "n", "d1", "d2", "often", "times"]
+        held: list[np.ndarray] = []
+        seen: set[tuple[int, int]] = set()
+        size = 0
+
+        def frequent(kind: pa.DataType) -> pa.RecordBatch:
+            tokens, times = np.unique(np.concatenate(held), return_counts=True)
+            many = times >= max(3, -(-size // HOT_SHARE))
+            tokens, times = tokens[many].view(np.int64), times[many].astype(np.int64)
+            none = pa.nulls(len(tokens), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.nulls(len(tokens), kind), none, none, none, pa.array(tokens), pa.array(times)], names=names)
+
         for batch in batches:
             sizes, digests = [], []
             for tokens in shingle_sets(batch.column(1), k):
                 sizes.append(len(tokens))
                 digests.append(set_digest(tokens))
+                if len(tokens) and digests[-1] not in seen:
+                    held.append(tokens)
+                    seen.add(digests[-1])
+                    size += len(tokens)
+                    if size >= GATHER:
+                        yield frequent(batch.column(0).type)
+                        held, seen, size = [], set(), 0
             d1, d2 = zip(*digests, strict=True) if digests else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], names=["doc_id", "n", "d1", "d2"])
+            none = pa.nulls(len(sizes), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), none, none], names=names)
+        if held:
+            yield frequent(batch.column(0).type)
 
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n bigint, d1 bigint, d2 bigint")
+    schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in ("n", "d1", "d2", "often", "times"))])
+    return docs.select(F.col(doc_id).alias("doc_id"), text).transform(mapped, run, schema)
+
+
+def hot_shingles(named: DataFrame, total: int) -> np.ndarray:
+    """(2, k): shingles of one in HOT_SHARE of `total` or more, in order, and about how often they occur.
+
+    A shingle of two in HOT_SHARE of all is here for certain: the tasks that don't report it hold less than half of it. Their number is
+    bounded by HOT_SHARE, whatever the corpus; counts needn't be exact, as they only order shingles by rarity.
+    """
+    rows = named.where("often is not null").groupBy("often").agg(F.sum("times").alias("times")).where(F.col("times") >= max(PART_SHINGLES // 4, total // HOT_SHARE))
+    found = np.array([tuple(r) for r in rows.collect()], np.int64).reshape(-1, 2).T
+    return found[:, np.argsort(found[0].view(np.uint64) if found.size else found[0])] if found.size else found
 
 
 def _ranges(keys: np.ndarray, n: int) -> np.ndarray:
@@ -104,7 +142,14 @@ def _ranges(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
-def _deal(key: np.ndarray, n: int, *columns: np.ndarray) -> pa.RecordBatch:
+PACKED = "part int, kind int, packed binary"
+
+
+def _packed(parts: list[int], blobs: list[bytes], kind: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([kind] * len(parts), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "packed"])
+
+
+def _deal(key: np.ndarray, n: int, *columns: np.ndarray, kind: int = 0) -> pa.RecordBatch:
     """Packed columns by range of a sorted key."""
     cuts = np.searchsorted(_ranges(key, n), np.arange(n + 1, dtype=np.uint64))
     parts, blobs = [], []
@@ -113,7 +158,7 @@ def _deal(key: np.ndarray, n: int, *columns: np.ndarray) -> pa.RecordBatch:
         if b > a:
             parts.append(r)
             blobs.append(pack_arrays(*(c[a:b] for c in columns)))
-    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "packed"])
+    return _packed(parts, blobs, kind)
 
 
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[np.ndarray]]]:
@@ -163,29 +208,38 @@ def _near(bound: Bound, sig: np.ndarray, n: np.ndarray, lone: np.ndarray, i: int
     return at
 
 
-def survivors(docs: DataFrame, k: int, bound: Bound, text: str = "text") -> DataFrame:
+def survivors(docs: DataFrame, k: int, bound: Bound, total: int, hot: np.ndarray, clash: frozenset[int], text: str = "text") -> DataFrame:
     """The sets that can have links: set_id, n, tokens shared with other sets (sorted), prefix (the rarest of them), list_cost, signature.
 
     Shingles are dealt by range of their hash as packed, sorted arrays, counted over all sets there, and those of two sets or more go
     back to their sets. A link needs an overlap of least_size(n), so a set with fewer shared tokens is dropped; of the others any link
-    shares a token among the m - least_size(n) + 1 rarest shared ones (m of them in all).
+    shares a token among the m - least_size(n) + 1 rarest shared ones (m of them in all). Hot shingles, which may be in a third of all
+    sets, go back to their sets at once, with the count that is known. A set's name is d1, or d2 where two sets have the same d1 (clash).
     """
-    parts = shuffle_partitions(docs.sparkSession)
+    parts = max(shuffle_partitions(docs.sparkSession), -(-total // PART_SHINGLES))
+    often = docs.sparkSession.sparkContext.broadcast(hot)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start_task()
         held: list[np.ndarray] = []
         names: list[int] = []
         seen: set[int] = set()
         size = 0
+        known = often.value[0].view(np.uint64) if often.value.size else np.zeros(0, np.uint64)
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             sizes = np.fromiter(map(len, held), np.int64, len(held))
             tokens = np.concatenate(held)
             owner = np.repeat(np.arange(len(held), dtype=np.uint32), sizes)
             order = np.argsort(tokens)
             tokens, owner = tokens[order], owner[order]
             ids = np.array(names, np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+                is_hot = known[at] == tokens
+                name, times = ids[owner[is_hot]], np.minimum(often.value[1][at[is_hot]], 0xFFFFFFFF).astype(np.uint32)
+                order = np.argsort(name.view(np.uint64), kind="stable")
+                yield _deal(name.view(np.uint64)[order], parts, name[order], tokens[is_hot][order], times[order], sizes[owner[is_hot]].astype(np.uint32)[order], kind=1)
+                tokens, owner = tokens[~is_hot], owner[~is_hot]
             cuts = np.searchsorted(_ranges(tokens, parts), np.arange(parts + 1, dtype=np.uint64))
             rows, blobs = [], []
             for r in range(parts):
@@ -194,23 +248,26 @@ def survivors(docs: DataFrame, k: int, bound: Bound, text: str = "text") -> Data
                     used, local = np.unique(owner[a:b], return_inverse=True)
                     rows.append(r)
                     blobs.append(pack_arrays(tokens[a:b], local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), ids[used], sizes[used].astype(np.uint32)))
-            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "packed"])
+            yield _packed(rows, blobs, 0)
 
         for batch in batches:
             for tokens in shingle_sets(batch.column(0), k):
-                if len(tokens) and (name := set_digest(tokens)[0]) not in seen:
+                if not len(tokens):
+                    continue
+                d1, d2 = set_digest(tokens)
+                name = d2 if d1 in clash else d1
+                if name not in seen:
                     held.append(tokens)
                     names.append(name)
                     seen.add(name)
                     size += len(tokens)
                     if size >= GATHER:
-                        yield flush()
+                        yield from flush()
                         held, names, seen, size = [], [], set(), 0
         if held:
-            yield flush()
+            yield from flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start_task()
         for found in _by_part(batches):
             tokens = np.concatenate([f[0] for f in found])
             ids = np.concatenate([f[2][f[1]] for f in found])
@@ -236,11 +293,13 @@ def survivors(docs: DataFrame, k: int, bound: Bound, text: str = "text") -> Data
                 yield _deal(ids.view(np.uint64)[order], parts, ids[order], tokens[order], df[order].astype(np.uint32), sizes[order])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start_task()
         for found in _by_part(batches):
             ids, tokens, df, sizes = (np.concatenate([f[i] for f in found]) for i in range(4))
             order = np.lexsort((tokens, df, ids))
             ids, tokens, df, sizes = ids[order], tokens[order], df[order], sizes[order]
+            new = np.ones(len(ids), bool)  # a set's hot shingles come once from each task that has a copy of it
+            new[1:] = (ids[1:] != ids[:-1]) | (tokens[1:] != tokens[:-1])
+            ids, tokens, df, sizes = ids[new], tokens[new], df[new], sizes[new]
             starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
             ends = np.append(starts[1:], len(ids))
             rows = []
@@ -256,9 +315,14 @@ def survivors(docs: DataFrame, k: int, bound: Bound, text: str = "text") -> Data
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SET_TYPES, strict=True)], names=_SET_NAMES)
 
-    dealt = docs.select(text).mapInArrow(deal, "part int, packed binary").repartition(parts, "part").sortWithinPartitions("part")
-    counted = dealt.mapInArrow(count, "part int, packed binary").repartition(parts, "part").sortWithinPartitions("part")
-    return materialise(counted.mapInArrow(gather, "set_id bigint, n int, tokens binary, prefix binary, list_cost bigint, signature binary"))
+    packed = docs.select(text).transform(mapped, deal, PACKED)
+    if hot.size:
+        packed = materialise(packed)
+    counted = dealt(packed.where("kind = 0"), parts).select("part", "packed").transform(mapped, count, PACKED)
+    if hot.size:
+        counted = counted.union(packed.where("kind = 1"))
+    gathered = dealt(counted, parts).select("part", "packed")
+    return materialise(gathered.transform(mapped, gather, "set_id bigint, n int, tokens binary, prefix binary, list_cost bigint, signature binary"))
 
 
 _SET_NAMES = ["set_id", "n", "tokens", "prefix", "list_cost", "signature"]
@@ -288,7 +352,6 @@ def postings(sets: DataFrame, bound: Bound, boundary: int) -> DataFrame:
     """(key, set_id, n, m, signature): hashed subsets of small sets, prefix tokens of large sets and of the small ones they may link with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start_task()
         for batch in batches:
             keys, rows = [], []
             for i, (n, tokens, prefix) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True)):
@@ -310,22 +373,26 @@ def postings(sets: DataFrame, bound: Bound, boundary: int) -> DataFrame:
                 m = pa.array([len(t.as_py()) // 8 for t in batch.column(2)], pa.int32())
                 yield pa.RecordBatch.from_arrays([as_longs(np.concatenate(keys)), batch.column(0).take(at), batch.column(1).take(at), m.take(at), batch.column(5).take(at)], names=["key", "set_id", "n", "m", "signature"])
 
-    return sets.mapInArrow(run, "key bigint, set_id bigint, n int, m int, signature binary")
+    return sets.transform(mapped, run, "key bigint, set_id bigint, n int, m int, signature binary")
 
 
 def candidate_components(lists: DataFrame, bound: Bound) -> DataFrame:
     """(node, root) of components that no link leaves: sets of one list that sizes and signatures don't keep apart are joined.
 
-    A list is compared inside a task and gives no more edges than it has sets. A list of more than LIST_SETS sets is joined whole, by
-    edges to its smallest set, without gathering it: that only makes a component larger.
+    A list is compared inside a task and gives no more edges than it has sets. A list of more than LIST_SETS sets is split by the sets'
+    size class (each set being in its own class and the next, as sets that link are at most one class apart); one that is still longer
+    is joined whole, by edges to its smallest set, without gathering it: that only makes a component larger.
     """
-    hot = lists.groupBy("key").agg(F.count("*").alias("k"), F.min("set_id").alias("least")).where(F.col("k") > LIST_SETS).select("key", "least")
-    hot = materialise(hot)
-    stars = lists.select("key", "set_id").join(hot, "key").select(F.col("set_id").alias("a"), F.col("least").alias("b"))
-    cold = lists.join(hot, "key", "left_anti")
+    lists = materialise(lists)
+    hot = materialise(lists.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > LIST_SETS).select("key"))
+    classes = F.array(size_class(F.col("n"), bound), size_class(F.col("n"), bound) + 1)
+    split = lists.join(hot, "key").withColumn("_class", F.explode(classes)).withColumn("key", F.xxhash64("key", "_class")).drop("_class")
+    split = materialise(split)
+    least = materialise(split.groupBy("key").agg(F.count("*").alias("k"), F.min("set_id").alias("least")).where(F.col("k") > LIST_SETS).select("key", "least"))
+    stars = split.select("key", "set_id").join(least, "key").select(F.col("set_id").alias("a"), F.col("least").alias("b"))
+    cold = lists.join(hot, "key", "left_anti").unionByName(split.join(least, "key", "left_anti"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start_task()
         forest = Forest()  # edges known in this task aren't sent again
         out: list[tuple[int, int]] = []
 
@@ -356,8 +423,13 @@ def candidate_components(lists: DataFrame, bound: Bound) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     parts = shuffle_partitions(lists.sparkSession)
-    edges = cold.select("key", "set_id", "n", "m", "signature").repartition(parts, "key").sortWithinPartitions("key", "set_id").mapInArrow(compare, "a bigint, b bigint")
-    return connected_components(edges.union(stars))
+    edges = cold.select("key", "set_id", "n", "m", "signature").repartition(parts, "key").sortWithinPartitions("key", "set_id").transform(mapped, compare, "a bigint, b bigint")
+    return connected_components(materialise(edges).union(stars))
+
+
+def size_class(n: Column, bound: Bound) -> Column:
+    """Sizes of a class are within the similarity's ratio, so that sets that link are of one class or of two that follow each other."""
+    return F.floor(F.log(n.cast("double")) / F.lit(log(bound.den / bound.num)) - 1e-9).cast("int") if bound.num < bound.den else n.cast("int")
 
 
 class _Block:
@@ -389,14 +461,15 @@ def _exact(bound: Bound, rows: list[dict]) -> list[int]:
 def _cross_links(members: DataFrame, passing: DataFrame, bound: Bound) -> DataFrame:
     """Edges between roots of `members` and `passing` sets of the same candidate component that link but have other roots.
 
-    Passing sets go to every block of their component; a task holds one block of members while they stream by.
+    Passing sets go to the blocks of their component that hold sets of their size class or the next ones; a task holds one block of
+    members while they stream by.
     """
-    blocks = members.select("component", "block").distinct()
-    visits = passing.drop("block").join(blocks, "component").withColumn("visit", F.lit(1))
+    blocks = members.select("component", "class", "block").distinct()
+    classes = F.explode(F.array(*(F.col("class") + i for i in (-1, 0, 1))))
+    visits = passing.drop("block").withColumn("class", classes).join(blocks, ["component", "class"]).withColumn("visit", F.lit(1))
     rows = members.withColumn("visit", F.lit(0)).unionByName(visits).select("component", "block", "visit", "set_id", "root", "n", "tokens", "signature")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start_task()
         at, held, block, roots, forest = None, [], None, None, Forest()
         for batch in batches:
             out = []
@@ -430,7 +503,7 @@ def _cross_links(members: DataFrame, passing: DataFrame, bound: Bound) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     parts = shuffle_partitions(members.sparkSession)
-    return rows.repartition(parts, "component", "block").sortWithinPartitions("component", "block", "visit", "set_id").mapInArrow(run, "a bigint, b bigint")
+    return rows.repartition(parts, "component", "block").sortWithinPartitions("component", "block", "visit", "set_id").transform(mapped, run, "a bigint, b bigint")
 
 
 def _relabel(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -441,22 +514,26 @@ def _relabel(members: DataFrame, edges: DataFrame) -> DataFrame:
 def link_sets(sets: DataFrame, components: DataFrame, bound: Bound) -> DataFrame:
     """(set_id, root) of every set with a link: exact components inside each candidate component.
 
-    A component of up to BLOCK_SETS sets and BLOCK_BYTES bytes is one block. A larger one is dealt into blocks; then a few sets of
-    each block's largest part visit all blocks, which joins the large parts, and every set that is not in the component's largest
-    part after that visits all blocks, so that each pair of sets in different parts is compared.
+    A component of up to BLOCK_SETS sets and BLOCK_BYTES bytes is one block. A larger one is dealt into blocks of one size class each;
+    then a few sets of each block's largest part visit the blocks of sizes that they may link with, which joins the large parts, and
+    every set that is not in the component's largest part after that visits them too, so that each pair that may link is compared.
     """
     members = sets.drop("prefix", "list_cost").join(components.select(F.col("node").alias("set_id"), F.col("root").alias("component")), "set_id")
     members = materialise(members)
     sizes = members.groupBy("component").agg(F.count("*").alias("_k"), F.sum(F.octet_length("tokens")).alias("_b"))
+    several = (F.col("_k") > BLOCK_SETS) | (F.col("_b") > BLOCK_BYTES)
+    members = members.join(sizes.select("component", several.alias("several")), "component").withColumn("class", F.when(F.col("several"), size_class(F.col("n"), bound)).otherwise(0))
+    sizes = members.where("several").groupBy("component", "class").agg(F.count("*").alias("_k"), F.sum(F.octet_length("tokens")).alias("_b"))
     blocks = F.greatest(F.ceil(F.col("_k") / BLOCK_SETS), F.ceil(F.col("_b") / BLOCK_BYTES)).cast("int")
-    members = members.join(sizes.select("component", blocks.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    members = members.join(sizes.select("component", "class", blocks.alias("blocks")), ["component", "class"], "left")
+    block = F.concat_ws(":", "class", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    members = materialise(members.withColumn("block", F.when(F.col("several"), block).otherwise("")).drop("blocks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start_task()
         def result(held: list[dict]) -> pa.RecordBatch:
             roots = _exact(bound, held)
-            columns = [pa.array([r[c] for r in held], t) for c, t in (("component", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32()), ("set_id", pa.int64()))]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(roots, pa.int64())], names=["component", "block", "blocks", "set_id", "root"])
+            columns = [pa.array([r[c] for r in held], t) for c, t in (("component", pa.int64()), ("class", pa.int32()), ("block", pa.string()), ("several", pa.bool_()), ("set_id", pa.int64()))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(roots, pa.int64())], names=["component", "class", "block", "several", "set_id", "root"])
 
         held: list[dict] = []
         for batch in batches:
@@ -469,10 +546,10 @@ def link_sets(sets: DataFrame, components: DataFrame, bound: Bound) -> DataFrame
             yield result(held)
 
     parts = shuffle_partitions(sets.sparkSession)
-    dealt = members.repartition(parts, "component", "block").sortWithinPartitions("component", "block", "set_id")
-    parted = materialise(dealt.mapInArrow(run, "component bigint, block int, blocks int, set_id bigint, root bigint"))
-    single = parted.where("blocks = 1").select("set_id", "root")
-    several = parted.where("blocks > 1")
+    blocked = members.repartition(parts, "component", "block").sortWithinPartitions("component", "block", "set_id")
+    parted = materialise(blocked.transform(mapped, run, "component bigint, class int, block string, several boolean, set_id bigint, root bigint"))
+    single = parted.where("not several").select("set_id", "root")
+    several = parted.where("several").drop("several")
     if several.isEmpty():
         return single
     several = materialise(several.join(members.select("set_id", "n", "tokens", "signature"), "set_id"))
@@ -491,15 +568,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
 
     Two documents link when their sets of distinct k-word shingles have a Jaccard similarity of num / den or more. Texts without words
     (null, empty) link with nothing; fewer than k words make one shingle. Documents of equal sets are one node; repeated rows each get
-    a row, ties are all kept, an empty table gives none. Shingles and sets are told apart by 64-bit hashes.
+    a row, ties are all kept, an empty table gives none. Texts of any length are shingled whole. Shingles are told apart by 64-bit
+    hashes, sets by 128 bits.
     """
     bound = Bound(num, den)
-    named = materialise(name_sets(docs, k, doc_id, text))
-    sets = survivors(docs, k, bound, text)
+    found = materialise(name_sets(docs, k, doc_id, text))
+    named = found.where("d1 is not null").drop("often", "times")
+    classes = materialise(named.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("_least"), F.max("n").alias("_n")))
+    total = classes.agg(F.sum("_n")).first()[0] or 0
+    # Two sets of one 64-bit digest: none is to be expected below 10**9 sets, some 70 at 5 * 10**10.
+    clash = frozenset(r[0] for r in classes.groupBy("d1").count().where("count > 1").select("d1").collect())
+    sets = survivors(docs, k, bound, total, hot_shingles(found, total), clash, text)
     lists = postings(sets, bound, choose_boundary(sets, bound))
     links = link_sets(sets, candidate_components(lists, bound), bound)
-    classes = named.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("_least"))
-    classes = classes.join(links.select(F.col("set_id").alias("d1"), "root"), "d1", "left").withColumn("root", F.coalesce("root", "d1"))
+    name = F.when(F.col("d1").isin(*clash), F.col("d2")).otherwise(F.col("d1")) if clash else F.col("d1")
+    classes = classes.withColumn("set_id", name).join(links, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = classes.groupBy("root").agg(F.min("_least").alias("component_id"))
     of = classes.join(least, "root").select("d1", "d2", "component_id")
     out = named.join(of, ["d1", "d2"], "left")

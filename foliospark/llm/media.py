@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.shared import materialise, shared_dir
+from foliospark.llm.shared import mapped, materialise, shared_dir
 
 BLOCK = 64
 RATE = 8000
@@ -157,7 +157,7 @@ def store_payloads(rows: DataFrame, payload: str, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(x).hexdigest() for x in data]), pa.array(list(map(to_wav, data)), pa.binary())], names=["digest", "media"])
 
     schema = "digest string, media binary"
-    rows.select(F.col(payload).cast("binary")).mapInArrow(store, schema).write.option("compression", "zstd").parquet(path)
+    rows.select(F.col(payload).cast("binary")).transform(mapped, store, schema).write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(schema).parquet(path)
 
 
@@ -179,7 +179,7 @@ def describe_media(stored: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    found = stored.mapInArrow(describe, MEDIA_FEATURES)
+    found = stored.transform(mapped, describe, MEDIA_FEATURES)
     return found.groupBy("digest").agg(*[F.min(c).alias(c) for c in found.columns[1:]])
 
 
@@ -213,7 +213,7 @@ def op9_interleaved_media(spark, sf_dir: str) -> DataFrame:
                 html.append(f'<article><p>document</p><figure><audio src="{SCHEME}{digest}"></audio><figcaption>{escape(str(len(data)))}</figcaption></figure></article>')
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(html, pa.string())], names=["doc_id", "html"])
 
-    pages = docs.mapInArrow(render, "doc_id bigint, html string")
+    pages = docs.transform(mapped, render, "doc_id bigint, html string")
     found = resolve(interleave(pages).drop("html"), features, ["doc_id"])
     columns = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     return found.select("doc_id", F.col("caption").cast("long").alias("n_bytes"), *columns)

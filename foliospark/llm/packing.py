@@ -13,8 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.shared import materialise
-from foliospark.llm.tokens import encode_documents
+from foliospark.llm.shared import mapped, materialise
+from foliospark.llm.tokens import encoding
 
 CAPACITY = 4096
 #: Blocks in which pieces of one length are ranked.
@@ -84,11 +84,15 @@ def rank_within(df: DataFrame, group: str, tie: list[str], blocks: int = BLOCKS)
     return joined.withColumn("_rank", F.col("_start") + F.col("_in") - 1).drop("_g", "_b", "_start", "_in", "_block")
 
 
-def cut_documents(encoded: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each document's pieces: whole if they fit, else of `capacity` ids but for the last."""
+def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of each document's pieces: whole if they fit, else of `capacity` ids but for the last.
+
+    Documents are encoded and cut in one pass, so that their ids don't leave the worker.
+    """
+    encode = encoding(path)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in encode(batches):
             keys, made = [], []
             for key, ids in zip(batch.column(0), batch.column(1), strict=True):
                 ids = memoryview(ids.as_buffer())
@@ -99,8 +103,8 @@ def cut_documents(encoded: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             columns = list(zip(*made, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.mapInArrow(cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").transform(mapped, cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -130,11 +134,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     ranked = rank_within(pieces, "length", ["doc_id", "piece"])
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.select(*pieces.columns, "_rank").mapInArrow(place, schema)
+    return ranked.select(*pieces.columns, "_rank").transform(mapped, place, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    return pack(cut_documents(encode_documents(docs, path), capacity), capacity)
+    return pack(cut_documents(docs, path, capacity), capacity)
 
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.shared import materialise, shuffle_partitions
+from foliospark.llm.shared import dealt, mapped, materialise, shuffle_partitions
 
 #: Roles of a line: inside a declared main part, inside declared boilerplate, or open (decided by differencing).
 MAIN, BOILERPLATE, OPEN = 1, 2, 0
@@ -220,12 +220,12 @@ def find_shared_lines(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(hashes, pa.list_(pa.int64())), pa.array(roles, pa.binary()), pa.array(digests, pa.binary())], names=[*keep, "hashes", "roles", "digest"])
 
     schema = f"page_id {kind}, url string, host string, path string, html_hash bigint, hashes {LINE_HASHES}, roles binary, digest binary"
-    parsed = materialise(keyed.mapInArrow(lines, schema))
+    parsed = materialise(keyed.transform(mapped, lines, schema))
     sort = ["host", "path", "page_id", "url", "html_hash"]
     ranged = parsed.repartitionByRange(shuffle_partitions(pages.sparkSession), *sort).withColumn("part", F.spark_partition_id())
     ranged = materialise(ranged)
     # One row for each part, however large the input.
-    rows = ranged.join(F.broadcast(_neighbours(ranged, sort)), F.col("part") == F.col("_part"), "left").drop("_part").repartition("part").sortWithinPartitions("part", *sort)
+    rows = ranged.join(F.broadcast(_neighbours(ranged, sort)), F.col("part") == F.col("_part"), "left").drop("_part").transform(dealt, shuffle_partitions(pages.sparkSession), "part", *sort)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = tail = None
@@ -269,7 +269,7 @@ def find_shared_lines(pages: DataFrame) -> DataFrame:
             settle(tail)
             yield result()
 
-    return rows.mapInArrow(compare, f"page_id {kind}, url string, html_hash bigint, shared array<int>")
+    return rows.transform(mapped, compare, f"page_id {kind}, url string, html_hash bigint, shared array<int>")
 
 
 def _neighbours(ranged: DataFrame, sort: list[str]) -> DataFrame:
@@ -341,7 +341,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
             keep = [n for n in batch.schema.names if n != "_shared"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*keep, "text", "n_chars"])
 
-    return joined.mapInArrow(extract, schema)
+    return joined.transform(mapped, extract, schema)
 
 
 def main_text(lines: list[tuple[int, str]], gone: set[int]) -> str:

@@ -8,6 +8,7 @@ import struct
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,13 @@ CHUNK_BYTES = 1 << 20
 
 #: What a worker keeps between tasks; each entry empties one such store.
 CACHES: list[Callable[[], None]] = []
+#: Bytes that an Arrow batch carries between Spark and a worker, unless the session says otherwise: rows may be whole documents.
+BATCH_BYTES, SPARK_BATCH_BYTES = 4 << 20, 64 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def start_task() -> None:
-    """Give back what earlier tasks of this worker hold: workers are reused, and a stage's memory must not wait for the one before."""
+def release() -> None:
+    """Give back what a worker holds: workers are reused, and a task's memory must not wait for the one before."""
     for clear in CACHES:
         clear()
     gc.collect()
@@ -34,13 +38,54 @@ def start_task() -> None:
         pass
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of bounded bytes; a worker starts and ends the task with nothing held."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING) in (str(SPARK_BATCH_BYTES), f"{SPARK_BATCH_BYTES}b", "64m", "64MB"):
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(task, schema)
+
+
+_local: dict[str, str] = {}
+_scratch: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder named by spark.checkpoint.dir; a temporary folder only where none is set (tests)."""
+    """A fresh path in the folder named by spark.checkpoint.dir. Where none is set, a local session (tests) gets a temporary folder; a
+    cluster has none that all executors share, so it's an error there."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/foliospark/{uuid.uuid4().hex}"
+        app = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if app not in _local:
+            _local[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        base = _local[app]
+    path = f"{base.rstrip('/')}/foliospark/{uuid.uuid4().hex}"
+    for held in _scratch:
+        held.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside go when the block ends: for results that are written, not only planned, inside it."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -50,6 +95,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, parts: int, part: str = "part", *order: str) -> DataFrame:
+    """Rows of part i (from 0) in task i, sorted by part and `order`; a hash of the number would give some tasks several parts."""
+    return df.repartitionById(parts, part).sortWithinPartitions(part, *order)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -72,6 +122,7 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
 
 MULTIPLIER = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
+CACHES.append(_powers.clear)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.shared import materialise, mix, pack_arrays, prefix_hash, shuffle_partitions, span_hash, start_task, text_chunks, unpack_arrays
+from foliospark.llm.shared import dealt, mapped, materialise, mix, pack_arrays, prefix_hash, shuffle_partitions, span_hash, text_chunks, unpack_arrays
 
 LENGTH = 200
 GRAM = 16
@@ -70,7 +70,6 @@ def repeated_contexts(texts: DataFrame, length: int) -> DataFrame:
     parts = shuffle_partitions(texts.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start_task()
         held, names, sizes, seen, count = [], [], [], set(), 0
 
         def flush() -> pa.RecordBatch:
@@ -110,7 +109,6 @@ def repeated_contexts(texts: DataFrame, length: int) -> DataFrame:
             yield flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start_task()
         part, held = None, []
 
         def result() -> Iterator[pa.RecordBatch]:
@@ -141,8 +139,8 @@ def repeated_contexts(texts: DataFrame, length: int) -> DataFrame:
         if held:
             yield from result()
 
-    dealt = texts.select("text_hash", "n_bytes", "text").mapInArrow(deal, "part int, packed binary")
-    found = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, "text_hash bigint, n_bytes bigint, context bigint")
+    packed = texts.select("text_hash", "n_bytes", "text").transform(mapped, deal, "part int, packed binary")
+    found = dealt(packed, parts).transform(mapped, count, "text_hash bigint, n_bytes bigint, context bigint")
     return found.groupBy("text_hash", "n_bytes").agg(F.collect_list("context").alias("contexts"))
 
 
@@ -267,7 +265,6 @@ def find_repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     flagged = texts.join(repeated_contexts(texts, length), ["text_hash", "n_bytes"]).select("text_hash", "n_bytes", "text", "contexts")
 
     def sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start_task()
         held: list[tuple] = []  # (context, suffix, left, text_hash, n_bytes, place, least offset)
         seen: set[tuple[int, int]] = set()
         size = 0
@@ -326,7 +323,6 @@ def find_repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
             yield flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start_task()
         part, runs = None, []
 
         def spans(names, sizes, firsts, lasts) -> pa.RecordBatch:
@@ -378,8 +374,8 @@ def find_repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         if runs:
             yield from result()
 
-    dealt = flagged.mapInArrow(sort_runs, "part int, kind int, packed binary").repartition(parts, "part").sortWithinPartitions("part", "kind")
-    found = dealt.mapInArrow(merge, SPANS)
+    runs = flagged.transform(mapped, sort_runs, "part int, kind int, packed binary")
+    found = dealt(runs, parts, "part", "kind").transform(mapped, merge, SPANS)
     return found.groupBy("text_hash", "n_bytes").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
@@ -414,7 +410,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
     schema = T.StructType([*docs.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("removed_spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start_task()
         for batch in batches:
             removed, kept = [], []
             for value, gone in zip(batch.column(text), batch.column("spans").to_pylist(), strict=True):
@@ -426,7 +421,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
             names = [n for n in batch.schema.names if n != "spans"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(removed, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())], names=[*names, "removed_spans", "kept", "kept_text"])
 
-    return joined.mapInArrow(cut, schema)
+    return joined.transform(mapped, cut, schema)
 
 
 def op3_suffix_merge(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliospark.llm.shared import shared_dir, shuffle_partitions, start_task
+from foliospark.llm.shared import dealt, mapped, shared_dir, shuffle_partitions
 from foliospark.llm.tokens import encode_documents
 
 #: Ids in one block of a shard: a block has its own grammar, and reading a document opens its block alone.
@@ -127,7 +127,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, doc_id: str =
     placed = encoded.withColumn("shard", F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col(doc_id))), F.lit(0)))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start_task()
         held: list[tuple] = []
         shard, block, size, before = None, 0, 0, 0
 
@@ -153,10 +152,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, doc_id: str =
         if held:
             yield flush()
         held = []
-        start_task()
 
-    rows = placed.select(F.col(doc_id).cast("long").alias("doc_id"), "ids", "shard").repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "ids")
-    rows.mapInArrow(write, BLOCK_SCHEMA).write.parquet(path)
+    rows = placed.select(F.col(doc_id).cast("long").alias("doc_id"), "ids", "shard").transform(dealt, n, "shard", "doc_id", "ids")
+    rows.transform(mapped, write, BLOCK_SCHEMA).write.parquet(path)
 
 
 def read_token_files(spark, path: str) -> DataFrame:
@@ -170,7 +168,6 @@ def read_token_files(spark, path: str) -> DataFrame:
     placed = blocks.join(F.broadcast(shards), F.col("shard") == F.col("_s")).withColumn("start", F.col("_before") + F.col("ids_before"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start_task()
         for batch in batches:
             for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):  # a block at a time
                 block = Block(row["base"], row["rules"], row["expansion_lengths"], row["sequence"])
@@ -182,9 +179,8 @@ def read_token_files(spark, path: str) -> DataFrame:
                     ids = [block.ids(int(a), int(b)).astype("<u4").tobytes() for a, b in zip(begins[part], ends[part], strict=True)]
                     columns = [pa.array(keys[part], mask=null[part]), pa.array(row["start"] + begins[part]), pa.array((ends - begins)[part]), pa.array(ids, pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids"])
-        start_task()
 
-    return placed.select("base", "rules", "expansion_lengths", "sequence", "doc_ids", "doc_ends", "n_null", "start").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return placed.select("base", "rules", "expansion_lengths", "sequence", "doc_ids", "doc_ends", "n_null", "start").transform(mapped, read, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
 def op2_repair_tokens(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from foliospark.llm.shared import CACHES
+from foliospark.llm.shared import CACHES, mapped
 
 #: Words kept by a worker before its cache starts anew.
 CACHE_WORDS = 200_000
@@ -144,8 +144,8 @@ def runs(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, i
         yield first, len(texts)
 
 
-def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit integers, with the end id) of each document; null text counts as empty."""
+def encoding(path: str, doc_id: str = "doc_id", end_id: int = END_ID) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From batches of (id, text) to batches of (id, ids)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_tokens(path)
@@ -158,5 +158,10 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
                     ids = [np.concatenate((x, end)).astype("<u4").tobytes() for x in encoder.encode(texts[first:last])]
                     yield pa.RecordBatch.from_arrays([part.column(0).slice(first, last - first), pa.array(ids, pa.binary())], names=[doc_id, "ids"])
 
+    return encode
+
+
+def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32-bit integers, with the end id) of each document; null text counts as empty."""
     schema = T.StructType([docs.schema[doc_id], T.StructField("ids", T.BinaryType())])
-    return docs.select(doc_id, text).mapInArrow(encode, schema)
+    return docs.select(doc_id, text).transform(mapped, encoding(path, doc_id, end_id), schema)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.shared import start_task
+from foliospark.llm.shared import mapped
 
 #: About so many labelled rows, chosen by a hash of the id, fit the model; documented bound of what fitting gathers.
 TRAIN_ROWS = 20_000
@@ -45,7 +45,6 @@ def voters_of(words: set[str]) -> set[str]:
 
 def _count_voters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of each label that set off each voter, summed over HELD_VOTERS voters at a time."""
-    start_task()
     counts: dict[str, list[int]] = {}
 
     def sums() -> Iterator[pa.RecordBatch]:
@@ -66,7 +65,7 @@ def _count_voters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def mine_voters(train: DataFrame, limit: int = MAX_VOTERS, least: int = LEAST_DOCS) -> list[str]:
     """The voters with most evidence for the toxic label among `train` (text, toxic), the strongest first."""
-    counts = train.select("text", "toxic").mapInArrow(_count_voters, "voter string, toxic bigint, clean bigint")
+    counts = train.select("text", "toxic").transform(mapped, _count_voters, "voter string, toxic bigint, clean bigint")
     counts = counts.groupBy("voter").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     totals = train.agg(F.sum(F.col("toxic").cast("long")), F.count("*")).first()
     toxic, clean = float(totals[0] or 0), float((totals[1] or 0) - (totals[0] or 0))
@@ -156,7 +155,7 @@ class ToxicityModel:
 
             def __missing__(self, word):
                 prefixes = tuple(word[:n] for n in PREFIXES if word[:n] in starts and len(word) >= n)
-                if len(self) > 300_000:
+                if len(self) > 50_000:
                     self.clear()
                 self[word] = found = (whole.get(word, 0.0), prefixes) if word in whole or prefixes else None
                 return found
@@ -188,13 +187,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
     place = {v: i for i, v in enumerate(names)}
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start_task()
         for batch in batches:
             fired = [sorted(place[v] for v in voters_of(words_of(t)) if v in place) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(fired, pa.list_(pa.int32())), batch.column(1).cast(pa.int32())], names=["fired", "toxic"])
 
     # Rows of equal votes and label are counted before they leave the executors.
-    rows = train.mapInArrow(vote, "fired array<int>, toxic int").groupBy("fired", "toxic").count().orderBy("fired", "toxic").collect()
+    rows = train.transform(mapped, vote, "fired array<int>, toxic int").groupBy("fired", "toxic").count().orderBy("fired", "toxic").collect()
     votes = np.zeros((sum(r[2] for r in rows), len(names)), np.float32)
     truth, at = [], 0
     for fired, toxic, count in rows:
@@ -215,13 +213,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", th
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start_task()
         score = model.scorer()
         for batch in batches:
             scores = np.array([score(t.as_py()) for t in batch.column(text)], np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(mapped, run, schema)
 
 
 def op6_weak_toxicity(spark, sf_dir: str) -> DataFrame:
