@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliospark import tables
 from foliospark.functions import structured as st
 from foliospark.functions import text as tx
 from foliospark.operators import cascade, layout, relational
@@ -31,13 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from foliospark import files_catalogue  # noqa: F401  adds its queries
+    from foliospark import files_catalogue, pictures_catalogue  # noqa: F401  add their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from foliospark import files_catalogue  # noqa: F401
+    from foliospark import files_catalogue, pictures_catalogue  # noqa: F401
 
     return dict(_SQL)
 
@@ -215,7 +216,7 @@ def resilient_date(spark, sf_dir):
 
 @register(f"SELECT o_orderkey, row_number() OVER (ORDER BY day ASC NULLS LAST, raw, o_orderkey)::INT AS rn FROM ({_DATE_SQL})")
 def date_sort(spark, sf_dir):
-    return layout.number_rows(_raw_dates(spark, sf_dir), relational.date_order(F.col("raw"), F.col("o_orderkey"))).select("o_orderkey", "rn")
+    return tables.number_all(_raw_dates(spark, sf_dir), [tx.resilient_date(F.col("raw")), "raw", "o_orderkey"]).select("o_orderkey", "rn")
 
 
 @register("""
@@ -225,24 +226,25 @@ t AS (SELECT vec_id, CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE (greatest(r, g,
 SELECT vec_id, round(max(s), 9) AS most, count(*) FILTER (s >= 0.15) / count(*) AS ratio, count(*) FILTER (s >= 0.15) / count(*) >= 0.05 AS coloured FROM t GROUP BY vec_id""")
 def saturation(spark, sf_dir):
     values = F.transform("embedding", lambda x: tx.clamp(F.floor(F.abs(x.cast("double")) * 400)))
-    pixels = table(spark, sf_dir, "embeddings").select("vec_id", values.alias("v")).select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.floor(F.size("v") / 3).cast("int") - 1)).alias("i"))
-    at = lambda j: F.element_at("v", F.col("i") * 3 + j).cast("double")
-    s = pixels.select("vec_id", tx.saturation(at(1), at(2), at(3)).alias("s"))
-    ratio = F.count_if(F.col("s") >= 0.15) / F.count("*")
-    return s.groupBy("vec_id").agg(F.round(F.max("s"), 9).alias("most"), ratio.alias("ratio"), (ratio >= 0.05).alias("coloured"))
+    at = lambda i, j: F.element_at("v", i * 3 + j).cast("double")
+    pixels = F.transform(F.sequence(F.lit(0), F.floor(F.size("v") / 3).cast("int") - 1), lambda i: tx.saturation(at(i, 1), at(i, 2), at(i, 3)))
+    s = table(spark, sf_dir, "embeddings").select("vec_id", values.alias("v")).select("vec_id", pixels.alias("s"))
+    ratio = F.size(F.filter("s", lambda x: x >= 0.15)) / F.size("s")
+    return s.select("vec_id", F.round(F.array_max("s"), 9).alias("most"), ratio.alias("ratio"), (ratio >= 0.05).alias("coloured"))
 
 
 # --- sorts, layout ----------------------------------------------------------------------------------------------------------------
 
 
 @register(r"""
-WITH n AS (SELECT p_partkey, 'Img' || (p_partkey * 7 % 1000) || CASE WHEN p_partkey % 2 = 0 THEN '_' || p_size ELSE '' END || '.png' AS name FROM part),
-k AS (SELECT *, list_transform(regexp_extract_all(name, '\d+|\D+'), lambda r: CASE WHEN regexp_matches(r, '^\d') THEN lpad(r, 20, '0') ELSE lower(r) END) AS runs FROM n)
+WITH n AS (SELECT p_partkey, 'Img' || (p_partkey * 7 % 1000) || CASE WHEN p_partkey % 3 = 0 THEN repeat('0', p_size) ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN '_' || p_size ELSE '' END || '.png' AS name FROM part),
+k AS (SELECT *, list_transform(regexp_extract_all(name, '\d+|\D+'), lambda r: CASE WHEN regexp_matches(r, '^\d') THEN lpad(ltrim(r, '0'), 80, '0') ELSE lower(r) END) AS runs FROM n)
 SELECT p_partkey, name, row_number() OVER (ORDER BY runs, name, p_partkey)::INT AS rn FROM k""")
 def natural_rank(spark, sf_dir):
-    name = F.concat(F.lit("Img"), (F.col("p_partkey") * 7 % 1000).cast("string"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("_"), F.col("p_size").cast("string"))).otherwise(""), F.lit(".png"))
+    zeros = F.when(F.col("p_partkey") % 3 == 0, F.repeat(F.lit("0"), F.col("p_size"))).otherwise("")
+    name = F.concat(F.lit("Img"), (F.col("p_partkey") * 7 % 1000).cast("string"), zeros, F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("_"), F.col("p_size").cast("string"))).otherwise(""), F.lit(".png"))
     parts = table(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
-    return layout.number_rows(parts, [tx.natural_key(F.col("name")), "p_partkey"])
+    return tables.number_all(parts, [tx.natural_key(F.col("name")), "p_partkey"])
 
 
 @register("""
@@ -453,3 +455,94 @@ def routine_rows(spark, sf_dir):
     rows = replies.select("n_regionkey", F.explode(st.routine_rows(F.col("reply"))).alias("r"))
     line = F.concat(F.lit("#"), "r.data", F.lit(" "), "r.campo")
     return rows.groupBy("n_regionkey").agg(F.md5(relational.ordered_text(F.col("r.data").cast("int"), line, "|")).alias("listing"))
+
+
+# --- options, stamps, prompts, lookups --------------------------------------------------------------------------------------------
+
+
+@register("""
+SELECT o_orderkey, strftime(o_orderdate, '%d-%m-%Y') AS day, strftime(o_orderdate + to_seconds(o_orderkey % 86400), '%Y%m%d_%H%M%S') AS second FROM orders""")
+def output_stamps(spark, sf_dir):
+    at = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("o_orderkey") % 86400)
+    return table(spark, sf_dir, "orders").select("o_orderkey", tx.day_stamp(F.col("o_orderdate")).alias("day"), tx.second_stamp(at).alias("second"))
+
+
+@register(r"""
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN lang WHEN doc_id % 4 < 3 THEN source ELSE 'constant' END AS prompt, 'In ' || lang || ', as ' || source || '; {{.Other}} ' || lang AS filled FROM documents""")
+def prompt_choice(spark, sf_dir):
+    """The user's text if it isn't blank, else the built-in one, else the constant; and a template filled in."""
+    k = F.col("doc_id") % 4
+    override = F.when(k == 0, F.col("lang")).when(k == 1, " \n\t")
+    chosen = tx.first_filled(override, F.when(k < 3, F.col("source")), F.lit("constant"))
+    filled = tx.fill_template(F.lit("In {{.Lang}}, as {{.Source}}; {{.Other}} {{.Lang}}"), Lang=F.col("lang"), Source=F.col("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", chosen.alias("prompt"), filled.alias("filled"))
+
+
+@register("""
+SELECT p_partkey, CASE WHEN p_size % 7 > 2 THEN (p_size % 7 - 2)::DOUBLE ELSE 5 END AS margin, CASE WHEN p_size % 5 > 1 THEN (p_size % 5 - 1)::DOUBLE ELSE 15 END AS rotate_threshold,
+  CASE WHEN p_size % 3 = 0 THEN 'contain' ELSE 'cover' END AS fit, CASE WHEN p_size % 2 = 0 THEN 300 ELSE p_size END::INT AS max_dpi, CASE WHEN p_partkey % 150 BETWEEN 1 AND 100 THEN p_partkey % 150 ELSE 85 END::INT AS quality FROM part""")
+def settled_options(spark, sf_dir):
+    size = F.col("p_size")
+    o = layout.settled_options((size % 7 - 2).cast("double"), (size % 5 - 1).cast("double"), F.when(size % 3 == 0, "").otherwise("cover"), F.when(size % 2 == 0, -size).otherwise(size), (F.col("p_partkey") % 150).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", o.alias("o")).select("p_partkey", "o.*")
+
+
+@register("""
+WITH d AS (SELECT p_partkey, (p_size * 40 + 100)::DOUBLE AS w, (p_partkey * 37 % 2000 + 100)::DOUBLE AS h FROM part)
+SELECT p_partkey, round(w * least(91.0 / w, 75.0 / h), 6) AS contain_w, round(h * least(91.0 / w, 75.0 / h), 6) AS contain_h, round(w * greatest(91.0 / w, 75.0 / h), 6) AS cover_w, round(h * greatest(91.0 / w, 75.0 / h), 6) AS cover_h FROM d""")
+def fitted_sizes(spark, sf_dir):
+    dims = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 40 + 100).cast("double").alias("w"), (F.col("p_partkey") * 37 % 2000 + 100).cast("double").alias("h"))
+    cw, ch = layout.fit_contain(F.col("w"), F.col("h"), 91.0, 75.0)
+    vw, vh = layout.fit(F.col("w"), F.col("h"), 91.0, 75.0, "Cover")
+    return dims.select("p_partkey", F.round(cw, 6).alias("contain_w"), F.round(ch, 6).alias("contain_h"), F.round(vw, 6).alias("cover_w"), F.round(vh, 6).alias("cover_h"))
+
+
+_WIDTHS = ", ".join(map(str, layout.HELVETICA_BOLD))
+
+
+@register(f"""
+WITH l AS (SELECT p_partkey, upper(p_name || CASE WHEN p_partkey % 3 = 0 THEN ' ' || p_type ELSE '' END) AS label FROM part),
+w AS (SELECT p_partkey, label, list_sum(list_transform(string_split(label, ''), lambda c: [{_WIDTHS}][unicode(c) - 31])) AS width FROM l),
+s AS (SELECT p_partkey, label, width, size FROM w, (SELECT 8 + range * 0.5 AS size FROM range(0, 9)) WHERE size = 8 OR width / 1000.0 * size * 25.4 / 72 <= 93 - 2 + 1e-9)
+SELECT p_partkey, label, max(size)::DOUBLE AS size FROM s GROUP BY 1, 2""")
+def label_sizes(spark, sf_dir):
+    label = tx.upper_label(F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" "), "p_type")).otherwise("")))
+    return table(spark, sf_dir, "part").select("p_partkey", label.alias("label"), layout.label_size(label, F.lit(93.0)).alias("size"))
+
+
+@register("SELECT p_partkey, p_name, s_suppkey * 2 AS twice FROM part JOIN supplier ON s_suppkey = p_partkey")
+def required_lookup(spark, sf_dir):
+    """Rows that the dimension lacks go."""
+    known = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("p_partkey"), (F.col("s_suppkey") * 2).alias("twice"))
+    return relational.lookup(table(spark, sf_dir, "part").select("p_partkey", "p_name"), known, "p_partkey", required=True)
+
+
+@register("SELECT p_partkey, (p_size % 3 + 1) * 1200 + p_partkey * 7 % 400 AS wait FROM part")
+def retry_waits(spark, sf_dir):
+    from foliospark.sources.models import wait_ms
+
+    return table(spark, sf_dir, "part").select("p_partkey", wait_ms(F.col("p_size") % 3 + 1, F.col("p_partkey") * 7).alias("wait"))
+
+
+@register("""
+WITH r AS (SELECT p_brand, count(*) AS n, count(*) FILTER (p_size % 3 = 0 AND p_size % 2 = 0) AS ready, min(CASE WHEN p_size % 3 = 0 AND p_size % 2 = 0 THEN p_partkey END) AS first_ready FROM part GROUP BY 1)
+SELECT * FROM r WHERE ready > 0""")
+def ready_items(spark, sf_dir):
+    """Items that are done and have a path."""
+    from foliospark.plans import pipelines
+
+    size = F.col("p_size")
+    items = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.when(size % 3 == 0, "done").when(size % 3 == 1, "error").otherwise("pending").alias("status"), F.when(size % 2 == 0, F.concat(F.lit("/x/"), "p_name")).when(size % 4 == 1, "").alias("path"))
+    made = pipelines.ready(items).groupBy("p_brand").agg(F.count("*").alias("ready"), F.min("p_partkey").alias("first_ready"))
+    return items.groupBy("p_brand").agg(F.count("*").alias("n")).join(made, "p_brand")
+
+
+@register("""
+SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::INT AS pos, n_name AS name, 'draw ' || lower(n_name) AS prompt FROM nation""")
+def prompt_items(spark, sf_dir):
+    """Item lists decoded from fenced replies with prose around them."""
+    item = F.to_json(F.struct(F.col("n_nationkey").alias("index"), F.col("n_name").alias("name"), F.lit("x").alias("slug"), F.concat(F.lit("draw "), F.lower("n_name")).alias("prompt")))
+    replies = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", item.alias("item")))).alias("items"))
+    reply = F.concat(F.lit("```json\nHere you are: ["), F.array_join(F.col("items")["item"], ", "), F.lit("] enjoy\n```"))
+    rows = replies.select("n_regionkey", F.posexplode(st.prompt_items(reply)).alias("pos", "i"))
+    return rows.select("n_regionkey", (F.col("pos") + 1).alias("pos"), "i.name", "i.prompt")

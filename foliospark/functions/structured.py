@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ MEDIA_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp",
 URL_EXTENSIONS = "png|jpg|jpeg|webp"
 
 
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c computed once, however often it is used: an expression that is used twice would be computed, and compiled, twice."""
+    return F.transform(F.array(c), use)[0]
+
+
 def strip_fences(c: Column) -> Column:
     """Without the lines that open or close a code fence, if the text starts with one."""
     bare = F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -64,19 +71,32 @@ def data_url(content: Column, ext: Column) -> Column:
 def image_reference(c: Column) -> Column:
     """struct(kind, value) of the image that a reply's text holds: a data URL of over 50 bytes, an image URL, any URL, over 100 characters
     of plain base64, else nothing."""
-    data = F.regexp_extract(c, r"(data:image/[a-zA-Z0-9+.-]+;base64,[A-Za-z0-9+/=]+)", 1)
-    image = F.regexp_extract(c, rf"(?i)(https?://[^\s\"'<>)]+\.(?:{URL_EXTENSIONS}))", 1)
-    plain = F.regexp_extract(c, r"(https?://[^\s\"'<>)]+)", 1)
-    bare = F.regexp_replace(c, r"^\s+|\s+$", "")
-    kind = F.when(F.length(data) > 50, "data").when(image != "", "image_url").when(plain != "", "url").when((F.length(bare) > 100) & bare.rlike("^[A-Za-z0-9+/]+=*$"), "base64")
-    value = F.when(kind == "data", data).when(kind == "image_url", image).when(kind == "url", plain).when(kind == "base64", bare)
-    return F.struct(kind.alias("kind"), value.alias("value"))
+
+    def parts(x: Column) -> Column:
+        return F.struct(
+            F.regexp_extract(x, r"(data:image/[a-zA-Z0-9+.-]+;base64,[A-Za-z0-9+/=]+)", 1).alias("data"),
+            F.regexp_extract(x, rf"(?i)(https?://[^\s\"'<>)]+\.(?:{URL_EXTENSIONS}))", 1).alias("image"),
+            F.regexp_extract(x, r"(https?://[^\s\"'<>)]+)", 1).alias("plain"),
+            F.regexp_replace(x, r"^\s+|\s+$", "").alias("bare"),
+        )
+
+    def chosen(p: Column) -> Column:
+        found = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+        base64 = (F.length(p["bare"]) > 100) & p["bare"].rlike("^[A-Za-z0-9+/]+=*$")
+        return F.when(F.length(p["data"]) > 50, found("data", p["data"])).when(p["image"] != "", found("image_url", p["image"])).when(p["plain"] != "", found("url", p["plain"])).when(base64, found("base64", p["bare"])).otherwise(F.lit(None))
+
+    return bound(bound(c, parts), chosen)
 
 
 def data_url_extension(c: Column) -> Column:
     return F.when(F.regexp_extract(c, "^data:image/([^;]*);", 1).isin("jpeg", "jpg"), "jpg").otherwise("png")
 
 
+def content_type_extension(c: Column) -> Column:
+    """File extension of a download by its content type, PNG if unknown."""
+    return F.when(c.contains("jpeg") | c.contains("jpg"), "jpg").when(c.contains("webp"), "webp").otherwise("png")
+
+
 def unwrap_response(status: Column, body: Column) -> Column:
     """struct(content, image, error) of a chat response: a status but 200, an error or no choices are errors; an image is looked for in
     the images, then the content's parts, then the text."""
@@ -84,4 +104,4 @@ def unwrap_response(status: Column, body: Column) -> Column:
     content = F.get_json_object(body, "$.choices[0].message.content")
     image = F.coalesce(F.get_json_object(body, "$.choices[0].message.images[0].image_url.url"), F.get_json_object(body, "$.choices[0].message.content[0].image_url.url"), image_reference(F.coalesce(content, F.lit("")))["value"])
     error = F.when(status != 200, F.concat(F.lit("status "), status.cast("string"))).when(message.isNotNull(), message).when(F.get_json_object(body, "$.choices[0]").isNull(), "no choices")
-    return F.struct(F.when(error.isNull(), content).alias("content"), F.when(error.isNull(), image).alias("image"), error.alias("error"))
+    return bound(F.struct(content.alias("content"), image.alias("image"), error.alias("error")), lambda x: F.struct(F.when(x["error"].isNull(), x["content"]).alias("content"), F.when(x["error"].isNull(), x["image"]).alias("image"), x["error"].alias("error")))

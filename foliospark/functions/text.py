@@ -30,8 +30,8 @@ def _accents() -> tuple[str, str]:
 
 
 def strip_accents(c: Column) -> Column:
-    """Letters without their marks, composed or not; letters that don't decompose (ß, ø, º) stay."""
-    return F.regexp_replace(F.translate(c, *_accents()), r"\p{Mn}", "")
+    """Letters without their marks, composed or not; letters that don't decompose (ß, ø, º) stay. ASCII texts are passed on as they are."""
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(c, *_accents()), r"\p{Mn}", "")).otherwise(c)
 
 
 def basename(c: Column) -> Column:
@@ -173,7 +173,25 @@ def ceil_div(a: Column, b: int) -> Column:
 def natural_key(c: Column) -> Column:
     """Sort key by which "img2" comes before "img10": runs of digits by value, other runs without case; the raw name breaks ties.
 
-    Each run is (text to compare, digits first): digit runs are left-padded to 20 digits.
+    A run of digits becomes its length without leading zeros, in ten digits, and then the digits, so that runs of any length compare by
+    value.
     """
     runs = F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), 1)
-    return F.struct(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(F.regexp_replace(r, "^0+(?=.)", ""), 20, "0")).otherwise(F.lower(r))).alias("runs"), c.alias("raw"))
+
+    def by_value(digits: Column) -> Column:
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+    return F.struct(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), by_value(F.regexp_replace(r, "^0+(?=.)", ""))).otherwise(F.lower(r))).alias("runs"), c.alias("raw"))
+
+
+def first_filled(*texts: Column) -> Column:
+    """The first that isn't null or blank."""
+    return F.coalesce(*[F.when(trim(t) != "", t) for t in texts])
+
+
+def day_stamp(c: Column) -> Column:
+    return F.date_format(c, "dd-MM-yyyy")
+
+
+def second_stamp(c: Column) -> Column:
+    return F.date_format(c, "yyyyMMdd_HHmmss")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliospark.functions import text as tx
+
 #: A4, margins and bands of a card sheet.
 A4_W, A4_H = 210.0, 297.0
 MARGIN, HEADER, LABEL, GAP = 10.0, 12.0, 9.0, 4.0
@@ -45,8 +47,44 @@ class TwoUpOptions:
         return A4_H / 2 - 2 * self.margin, A4_W - 2 * self.margin
 
 
+def settled_options(margin: Column, threshold: Column, fit_mode: Column, dpi: Column, quality: Column) -> Column:
+    """struct of options, those out of range, empty or null giving way to the defaults."""
+    d = TwoUpOptions()
+    return F.struct(
+        F.when(margin > 0, margin).otherwise(d.margin).alias("margin"),
+        F.when(threshold > 0, threshold).otherwise(d.rotate_threshold).alias("rotate_threshold"),
+        F.when(fit_mode != "", fit_mode).otherwise(d.fit).alias("fit"),
+        F.when(dpi > 0, dpi).otherwise(d.max_dpi).alias("max_dpi"),
+        F.when(quality.between(1, 100), quality).otherwise(d.quality).alias("quality"),
+    )
+
+
+#: Widths of Helvetica Bold's characters from space to tilde, in thousandths of its size.
+HELVETICA_BOLD = (
+    278, 333, 474, 556, 556, 889, 722, 238, 333, 333, 389, 584, 278, 333, 278, 278, 556, 556, 556, 556, 556, 556, 556, 556, 556, 556, 333, 333, 584, 584, 584, 611,
+    975, 722, 722, 722, 722, 667, 611, 778, 722, 278, 556, 722, 611, 833, 722, 778, 667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 333, 278, 333, 584, 556,
+    333, 556, 611, 556, 611, 556, 333, 611, 611, 278, 278, 556, 278, 889, 611, 611, 611, 611, 389, 556, 333, 611, 556, 778, 556, 556, 500, 389, 280, 389, 584,
+)
+#: Label sizes in points, and the width of other characters.
+LABEL_MOST, LABEL_LEAST, LABEL_STEP, OTHER_WIDTH, MM_A_POINT = 12.0, 8.0, 0.5, 556, 25.4 / 72
+
+
+def text_width(label: Column) -> Column:
+    """Width in thousandths of the font's size; accented letters are as wide as plain ones."""
+    widths = F.array(*map(F.lit, HELVETICA_BOLD))
+    codes = F.transform(F.split(tx.strip_accents(label), ""), lambda c: F.ascii(c) - 31)
+    return F.aggregate(F.filter(codes, lambda i: i > -31), F.lit(0), lambda n, i: n + F.when(i.between(1, len(HELVETICA_BOLD)), F.get(widths, i - 1)).otherwise(OTHER_WIDTH))
+
+
+def label_size(label: Column, cell_w: Column) -> Column:
+    """Largest size, in steps, at which the label leaves a millimetre at both sides of its cell; LABEL_LEAST if none does."""
+    point = text_width(label) / F.lit(1000.0) * F.lit(MM_A_POINT)
+    fitting = F.floor((cell_w - 2) / point / LABEL_STEP + F.lit(1e-9)) * LABEL_STEP
+    return F.when(point > 0, F.greatest(F.lit(LABEL_LEAST), F.least(F.lit(LABEL_MOST), fitting))).otherwise(LABEL_MOST)
+
+
 def number_rows(df: DataFrame, order: list, partition: list | None = None, out: str = "rn") -> DataFrame:
-    """1-based numbers; without a partition all rows meet in one task, which suits a book's pages, not a corpus."""
+    """1-based numbers; without a partition all rows meet in one task, which suits a book's pages. tables.number_all numbers a corpus."""
     return df.withColumn(out, F.row_number().over(W.partitionBy(*(partition or [F.lit(0)])).orderBy(*order)))
 
 

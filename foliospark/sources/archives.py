@@ -6,6 +6,7 @@ import io
 import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 MEDIA = "word/media/"
 DOCUMENT = "word/document.xml"
 
+#: What a broken, encrypted or null archive raises.
+UNREADABLE = (zipfile.BadZipFile, zlib.error, EOFError, TypeError, ValueError, NotImplementedError, RuntimeError)
+
 ENTRY_SCHEMA = "doc_path string, entry_idx int, original_name string, path_in_zip string, size bigint, format string, kept boolean, content binary, error string"
 
 
@@ -26,63 +30,59 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.where(F.lower(name).endswith(".docx") & ~name.startswith("~$")).select(F.col("path").alias("doc_path"), F.col("content").alias("archive"))
 
 
-def list_entries(archives: DataFrame, min_size: int = 0, prefix: str = MEDIA, with_content: bool = True) -> DataFrame:
+def list_entries(archives: DataFrame, min_size: int = 0, prefix: str = MEDIA, with_content: bool = True, wanted: str | None = None) -> DataFrame:
     """One row for each archive entry below prefix, in archive order; entries under min_size are listed but not inflated (kept is false).
 
-    An archive that can't be read gives one row with its error. Size and prefix are arguments, so that nothing is inflated in vain.
+    An archive that can't be read gives one row with its error. Size, prefix and the column `wanted` (paths; others aren't listed) are
+    arguments, so that nothing is inflated in vain.
     """
+    paths = F.col(wanted) if wanted else F.lit(None).cast("array<string>")
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, data in zip(batch["doc_path"], batch["archive"], strict=True):
+            for path, data, only in zip(batch["doc_path"], batch["archive"], batch["only"], strict=True):
                 rows = []
+                listed = None if only is None else set(only)
                 try:
                     with zipfile.ZipFile(io.BytesIO(data)) as z:
                         for i, info in enumerate(z.infolist()):
-                            if info.is_dir() or not info.filename.startswith(prefix):
+                            if info.is_dir() or not info.filename.startswith(prefix) or (listed is not None and info.filename not in listed):
                                 continue
                             kept = info.file_size >= min_size
                             ext = posixpath.splitext(info.filename)[1].lstrip(".").lower()
                             rows.append((path, i, posixpath.basename(info.filename), info.filename, info.file_size, ext, kept, z.read(info) if kept and with_content else None, None))
-                except (zipfile.BadZipFile, TypeError, ValueError, NotImplementedError, RuntimeError) as e:
+                except UNREADABLE as e:
                     rows = [(path, None, None, None, None, None, False, None, f"{type(e).__name__}: {e}")]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in ENTRY_SCHEMA.split(", ")]).astype({"entry_idx": "Int32", "size": "Int64"})
 
-    return archives.select("doc_path", "archive").mapInPandas(entries, ENTRY_SCHEMA)
+    return archives.select("doc_path", "archive", paths.alias("only")).mapInPandas(entries, ENTRY_SCHEMA)
 
 
 def entries_from_list(archives: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The listed entries (doc_path, path_in_zip) with their content."""
-    return list_entries(archives).join(wanted.select("doc_path", "path_in_zip"), ["doc_path", "path_in_zip"], "left_semi")
+    """The listed entries (doc_path, path_in_zip) with their content; only they are inflated."""
+    listed = wanted.groupBy("doc_path").agg(F.collect_set("path_in_zip").alias("_wanted"))
+    return list_entries(archives.join(listed, "doc_path"), wanted="_wanted")
 
 
-def document_text(xml: bytes) -> str:
-    """Text of a document part: paragraphs and rows on lines of their own, cells parted by " | ", breaks and tabs kept, lines trimmed,
-    empty lines dropped."""
-    out: list[str] = []
-    last = ""
+#: What stands between the pieces of a document's text, by the event and element that part them. Of equal neighbours in a run of
+#: separators a line break wins over a cell bar, and neither opens a text.
+LINE, BAR = "\x1e", "\x1f"
+SEPARATORS = {("start", "p"): LINE, ("end", "p"): LINE, ("start", "tr"): LINE, ("end", "tr"): LINE, ("start", "tc"): BAR, ("start", "br"): "\n", ("start", "cr"): "\n", ("start", "tab"): "\t"}
 
-    def put(text: str) -> None:
-        nonlocal last
-        if text:
-            out.append(text)
-            last = text[-1]
 
+def document_text(xml: bytes) -> str:
+    """Text of a document part: paragraphs and rows on lines of their own, cells parted by " | ", breaks and tabs kept, lines trimmed,
+    empty lines dropped. Elements are forgotten as they end, so a part of any length is read in little memory."""
+    pieces = []
     for event, node in ElementTree.iterparse(io.BytesIO(xml), events=("start", "end")):
-        tag = node.tag.rpartition("}")[2]
-        if tag in ("p", "tr"):
-            if last and last != "\n":
-                put("\n")
-        elif event == "start" and tag == "tc":
-            if last and last not in "\n ":
-                put(" | ")
-        elif event == "start" and tag in ("br", "cr"):
-            put("\n")
-        elif event == "start" and tag == "tab":
-            put("\t")
-        elif event == "end" and tag == "t":
-            put(node.text or "")
-    return "\n".join(x for x in map(str.strip, "".join(out).split("\n")) if x)
+        name = node.tag.rpartition("}")[2]
+        pieces.append(SEPARATORS.get((event, name), ""))
+        if event == "end":
+            pieces.append((node.text or "").translate({0x1E: " ", 0x1F: " "}) if name == "t" else "")
+            node.clear()
+    text = re.sub(f"{LINE}+", "\n", "".join(pieces))
+    text = re.sub(f"(^|[\n ]){BAR}+", r"\1", text)
+    return "\n".join(x for x in map(str.strip, re.sub(f"{BAR}+", " | ", text).split("\n")) if x)
 
 
 def extract_text(archives: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def extract_text(archives: DataFrame) -> DataFrame:
                         rows.append((path, document_text(z.read(DOCUMENT)), None))
                 except KeyError:
                     rows.append((path, None, f"no {DOCUMENT}"))
-                except (zipfile.BadZipFile, ElementTree.ParseError, TypeError, ValueError) as e:
+                except (*UNREADABLE, ElementTree.ParseError) as e:
                     rows.append((path, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["doc_path", "text", "error"])
 
@@ -113,9 +113,10 @@ def write_archive(entries: list[tuple[str, bytes]]) -> bytes:
 
 
 def rebuild_archives(archives: DataFrame, replacements: DataFrame) -> DataFrame:
-    """(doc_path, archive, replaced): each archive with the replacement contents (doc_path, path_in_zip, new_content) put in.
+    """(doc_path, archive, replaced, error): each archive with the replacement contents (doc_path, path_in_zip, new_content) put in.
 
-    Replacements are grouped by archive, which bounds a group by one archive's size; archives without any have a null archive.
+    Replacements are grouped by archive, which bounds a group by one archive's size; archives without any have a null archive, and so
+    have those that can't be read, with an error.
     """
     grouped = replacements.groupBy("doc_path").agg(F.collect_list(F.struct("path_in_zip", "new_content")).alias("new"))
 
@@ -124,13 +125,16 @@ def rebuild_archives(archives: DataFrame, replacements: DataFrame) -> DataFrame:
             rows = []
             for path, data, new in zip(batch["doc_path"], batch["archive"], batch["new"], strict=True):
                 swaps = {r["path_in_zip"]: bytes(r["new_content"]) for r in new} if new is not None else {}
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    names = z.namelist()
-                    count = sum(n in swaps for n in names)
-                    rows.append((path, write_archive([(n, swaps[n] if n in swaps else z.read(n)) for n in names]) if count else None, count))
-            yield pd.DataFrame(rows, columns=["doc_path", "archive", "replaced"])
-
-    return archives.join(grouped, "doc_path", "left").mapInPandas(rebuild, "doc_path string, archive binary, replaced int")
+                try:
+                    with zipfile.ZipFile(io.BytesIO(data)) as z:
+                        names = z.namelist()
+                        count = sum(n in swaps for n in names)
+                        rows.append((path, write_archive([(n, swaps[n] if n in swaps else z.read(n)) for n in names]) if count else None, count, None))
+                except UNREADABLE as e:
+                    rows.append((path, None, 0, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["doc_path", "archive", "replaced", "error"])
+
+    return archives.join(grouped, "doc_path", "left").select("doc_path", "archive", "new").mapInPandas(rebuild, "doc_path string, archive binary, replaced int, error string")
 
 
 def docx_of_lines(lines: list[str]) -> bytes:

@@ -1,4 +1,4 @@
-"""Images as rows: files, dimensions from headers, saturation, resizing."""
+"""Images as rows: files, dimensions from headers, pixels by Spark's image source, saturation, resizing."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as tx
+from foliospark.tables import shared_dir, write_files
 
 EXTENSIONS = ("png", "jpg", "jpeg", "webp")
 #: Fixed values of the saturation rule.
@@ -23,6 +24,21 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return files.where(tx.extension(F.col("path")).isin(*EXTENSIONS)).select("path", "content")
 
 
+def decode_images(rows: DataFrame, content: Column, out: str = "pixels") -> DataFrame:
+    """Add `out`: struct(height, width, channels, data) of the decoded picture, data in rows of blue, green, red and perhaps alpha bytes.
+
+    PNG and JPEG of all kinds, by Spark's image source; null for anything else. The source reads files, so each different picture is
+    written once to the shared folder under its digest.
+    """
+    spark = rows.sparkSession
+    folder = shared_dir(spark)
+    named = rows.withColumn("_name", F.sha2(content, 256))
+    write_files(named.select("_name", content.alias("_content")).where("_content is not null").dropDuplicates(["_name"]), folder, "_name", "_content")
+    images = spark.read.format("image").load(folder).select("image.*").where("height > 0")
+    images = images.select(F.substring_index("origin", "/", -1).alias("_name"), F.struct("height", "width", F.col("nChannels").alias("channels"), "data").alias(out))
+    return named.drop(out).join(images, "_name", "left").drop("_name")
+
+
 def png_bytes(pixels: np.ndarray) -> bytes:
     """A PNG of (height, width, 3 or 4) 8-bit pixels."""
     h, w, c = pixels.shape
@@ -34,63 +50,10 @@ def png_bytes(pixels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6 if c == 4 else 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
-def png_pixels(data: bytes) -> np.ndarray:
-    """(height, width, 4) 8-bit pixels of a PNG of 8-bit samples without interlacing; ValueError for anything else."""
-    if data[:8] != b"\x89PNG\r\n\x1a\n":
-        raise ValueError("no PNG")
-    at, parts, palette, alpha = 8, [], None, None
-    head = None
-    while at + 8 <= len(data):
-        size, kind = struct.unpack_from(">I4s", data, at)
-        body = data[at + 8 : at + 8 + size]
-        if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", body)
-        elif kind == b"PLTE":
-            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
-        elif kind == b"tRNS":
-            alpha = np.frombuffer(body, np.uint8)
-        elif kind == b"IDAT":
-            parts.append(body)
-        at += 12 + size
-    if not head or head[2] != 8 or head[6]:
-        raise ValueError("PNG of another kind")
-    w, h, kind = head[0], head[1], head[3]
-    c = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
-    try:
-        raw = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(h, 1 + w * c)
-    except zlib.error as e:
-        raise ValueError(str(e)) from e
-    rows = np.zeros((h, w, c), np.int64)
-    above = np.zeros((w, c), np.int64)
-    for y in range(h):
-        line, mode = raw[y, 1:].reshape(w, c).astype(np.int64), raw[y, 0]
-        if mode == 0:
-            now = line
-        elif mode == 1:
-            now = np.cumsum(line, axis=0) & 255
-        elif mode == 2:
-            now = (line + above) & 255
-        else:
-            now = np.zeros((w, c), np.int64)
-            left, corner = np.zeros(c, np.int64), np.zeros(c, np.int64)
-            for x in range(w):
-                up = above[x]
-                if mode == 3:
-                    guess = (left + up) // 2
-                else:
-                    a, b, d = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
-                    guess = np.where((a <= b) & (a <= d), left, np.where(b <= d, up, corner))
-                left, corner = (line[x] + guess) & 255, up
-                now[x] = left
-        rows[y] = above = now
-    full = np.full((h, w), 255)
-    if kind == 3:
-        index = rows[:, :, 0]
-        see = np.full(len(palette), 255) if alpha is None else np.concatenate((alpha, np.full(len(palette) - len(alpha), 255)))
-        return np.dstack((palette[index], see[index])).astype(np.uint8)
-    if c <= 2:
-        return np.dstack((rows[:, :, 0],) * 3 + (rows[:, :, 1] if c == 2 else full,)).astype(np.uint8)
-    return np.dstack((rows[:, :, :3], rows[:, :, 3] if c == 4 else full)).astype(np.uint8)
+def pixel_array(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
+    """(height, width, 3 or 4) red, green, blue and alpha bytes of decoded data; grey ones are repeated."""
+    x = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    return np.repeat(x, 3, axis=2) if channels == 1 else x[:, :, [2, 1, 0, 3][:channels]]
 
 
 def dimensions(data: bytes) -> tuple[int, int] | None:
@@ -117,6 +80,15 @@ def dimensions(data: bytes) -> tuple[int, int] | None:
     return None
 
 
+def header_size(content: Column | str) -> Column:
+    """struct(width, height) by the header; null fields if there is none."""
+
+    def sizes(column: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([dimensions(x or b"") or (None, None) for x in column], columns=["width", "height"], dtype="Int32")
+
+    return F.pandas_udf(sizes, "width int, height int")(content)
+
+
 def coloured_ratio(pixels: np.ndarray, step: int | None = None) -> float:
     """Share of opaque pixels of a saturation of SATURATION_CUT or more; large images are sampled on a grid; 0 without opaque pixels."""
     if step is None:
@@ -131,23 +103,21 @@ def coloured_ratio(pixels: np.ndarray, step: int | None = None) -> float:
     return float(np.mean(np.divide(high - low, high, out=np.zeros_like(high), where=high > 0) >= SATURATION_CUT))
 
 
-def measure_images(images: DataFrame, content: str = "content") -> DataFrame:
-    """Add width, height, ratio, coloured and error. Undecodable images have an error and count as not coloured: they pass on."""
-    result = "width int, height int, ratio double, coloured boolean, error string"
+def _ratio(pixels: str) -> Column:
+    def ratio(column: pd.DataFrame) -> pd.Series:
+        rows = column.itertuples(index=False)
+        return pd.Series([None if r.data is None else coloured_ratio(pixel_array(int(r.height), int(r.width), int(r.channels), r.data)) for r in rows], dtype="float64")
+
+    return F.pandas_udf(ratio, "double")(pixels)
 
-    @F.pandas_udf(result)
-    def measure(column: pd.Series) -> pd.DataFrame:
-        rows = []
-        for data in column:
-            size = dimensions(data) if data is not None else None
-            try:
-                ratio = coloured_ratio(png_pixels(data or b""))
-                rows.append((*(size or (None, None)), ratio, ratio >= RATIO_CUT, None))
-            except (ValueError, KeyError, IndexError, TypeError) as e:
-                rows.append((*(size or (None, None)), None, False, f"undecodable: {e}"))
-        return pd.DataFrame(rows, columns=["width", "height", "ratio", "coloured", "error"]).astype({"width": "Int32", "height": "Int32"})
 
-    return images.withColumn("_m", measure(F.col(content))).select(*images.columns, "_m.*")
+def measure_images(images: DataFrame, content: str = "content") -> DataFrame:
+    """Add width, height, ratio, coloured and error. Undecodable images have an error and count as not coloured: they pass on."""
+    decoded = decode_images(images, F.col(content), "_pixels")
+    measured = decoded.withColumn("ratio", F.when(F.col("_pixels").isNotNull(), _ratio("_pixels"))).withColumn("_size", header_size(F.col(content)))
+    coloured = F.coalesce(F.col("ratio") >= RATIO_CUT, F.lit(False))
+    error = F.when(F.col("_pixels").isNull(), "undecodable")
+    return measured.select(*images.columns, F.coalesce("_pixels.width", "_size.width").alias("width"), F.coalesce("_pixels.height", "_size.height").alias("height"), "ratio", coloured.alias("coloured"), error.alias("error"))
 
 
 def resize_pixels(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
@@ -164,43 +134,38 @@ def resize_pixels(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
     return np.rint(top * (1 - fy) + low * fy).astype(np.uint8)
 
 
-def resize_to_match(rows: DataFrame, original: str, new: str, out: str = "resized") -> DataFrame:
-    """`new` resized to the dimensions of `original`, as PNG; equal dimensions leave the bytes as they are; undecodable ones are null."""
+def _resized(pixels: str, width: str, height: str) -> Column:
+    def resize(column: pd.DataFrame, width: pd.Series, height: pd.Series) -> pd.Series:
+        rows = zip(column.itertuples(index=False), width, height, strict=True)
+        made = [None if r.data is None or pd.isna(w) else png_bytes(resize_pixels(pixel_array(int(r.height), int(r.width), int(r.channels), r.data), int(w), int(h))) for r, w, h in rows]
+        return pd.Series(made, dtype=object)
+
+    return F.pandas_udf(resize, "binary")(pixels, width, height)
 
-    @F.pandas_udf("binary")
-    def resize(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(before: bytes, after: bytes) -> bytes | None:
-            want, have = dimensions(before or b""), dimensions(after or b"")
-            if not want or not have:
-                return None
-            if want == have:
-                return after
-            try:
-                return png_bytes(resize_pixels(png_pixels(after), *want))
-            except (ValueError, KeyError, IndexError):
-                return None
 
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+def _resize(rows: DataFrame, content: str, width: Column, height: Column, needed: Column) -> DataFrame:
+    """Add _made: content as a PNG of (width, height) where `needed`, null if it can't be decoded; only those are decoded."""
+    marked = rows.withColumns({"_need": F.coalesce(needed, F.lit(False)), "_w": width.cast("int"), "_h": height.cast("int")})
+    decoded = decode_images(marked, F.when(F.col("_need"), F.col(content)), "_pixels")
+    return decoded.withColumn("_made", F.when(F.col("_pixels").isNotNull(), _resized("_pixels", "_w", "_h")))
 
-    return rows.withColumn(out, resize(F.col(original), F.col(new)))
+
+def resize_to_match(rows: DataFrame, original: str, new: str, out: str = "resized") -> DataFrame:
+    """`new` (PNG or JPEG) resized to the dimensions of `original`, as PNG; equal dimensions leave the bytes as they are; undecodable ones
+    are null."""
+    sized = rows.withColumns({"_want": header_size(F.col(original)), "_have": header_size(F.col(new))})
+    known = F.col("_want.width").isNotNull() & F.col("_have.width").isNotNull()
+    differs = known & ((F.col("_want.width") != F.col("_have.width")) | (F.col("_want.height") != F.col("_have.height")))
+    made = _resize(sized, new, F.col("_want.width"), F.col("_want.height"), differs)
+    return made.select(*[c for c in rows.columns if c != out], F.when(differs, F.col("_made")).when(known, F.col(new)).alias(out))
 
 
 def cap_resolution(rows: DataFrame, content: str, slot_w: float, slot_h: float, dpi: int = 300, out: str = "capped") -> DataFrame:
-    """Images with more pixels than a slot takes at `dpi` made smaller, as PNG; others as they are."""
-    most = int(slot_w / 25.4 * dpi), int(slot_h / 25.4 * dpi)
-
-    @F.pandas_udf("binary")
-    def cap(column: pd.Series) -> pd.Series:
-        def one(data: bytes) -> bytes | None:
-            size = dimensions(data or b"")
-            if not size or (size[0] <= most[0] and size[1] <= most[1]):
-                return data
-            scale = min(most[0] / size[0], most[1] / size[1])
-            try:
-                return png_bytes(resize_pixels(png_pixels(data), max(1, int(size[0] * scale)), max(1, int(size[1] * scale))))
-            except (ValueError, KeyError, IndexError):
-                return data
-
-        return column.map(one)
-
-    return rows.withColumn(out, cap(F.col(content)))
+    """Pictures with more pixels than a slot takes at `dpi` made smaller, as PNG; others, and undecodable ones, as they are."""
+    most_w, most_h = int(slot_w / 25.4 * dpi), int(slot_h / 25.4 * dpi)
+    sized = rows.withColumn("_size", header_size(F.col(content)))
+    w, h = F.col("_size.width"), F.col("_size.height")
+    scale = F.least(F.lit(float(most_w)) / w, F.lit(float(most_h)) / h)
+    over = F.coalesce((w > most_w) | (h > most_h), F.lit(False))
+    made = _resize(sized, content, F.greatest(F.lit(1), (w * scale).cast("int")), F.greatest(F.lit(1), (h * scale).cast("int")), over)
+    return made.select(*[c for c in rows.columns if c != out], F.coalesce(F.when(over, F.col("_made")), F.col(content)).alias(out))

@@ -1,8 +1,4 @@
-"""Model adapters: how a pipeline asks a model, replaceable in tests.
-
-A paid call must not be repeated when a task is retried, so answers are cached by the request's digest in a table that is written before
-it is used.
-"""
+"""Model and download adapters: how a pipeline asks, replaceable in tests; and the table in which answers are kept."""
 
 from __future__ import annotations
 
@@ -17,7 +13,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.operators import layout
+from foliospark.tables import path_exists, shared_dir
+
 ANSWERS = "key string, status int, body string"
+FILES = "url string, status int, content binary, content_type string"
+TRIES, WAIT_MS, JITTER_MS = 3, 1200, 400
+
+
+def wait_ms(attempt, jitter):
+    """Milliseconds to wait after a failed attempt (from 1); for numbers and columns alike."""
+    return attempt * WAIT_MS + jitter % JITTER_MS
 
 
 class TableAdapter:
@@ -31,35 +37,99 @@ class TableAdapter:
         return found.select("key", F.coalesce("status", F.lit(0)).alias("status"), "body")
 
 
+def _tried(call: urllib.request.Request, timeout: float, tries: int) -> tuple[int, bytes, str]:
+    """(status, body, content type) of a call, repeated after waits while it fails; status 0 if no answer came."""
+    status, body, kind = 0, b"", ""
+    for attempt in range(1, tries + 1):
+        try:
+            with urllib.request.urlopen(call, timeout=timeout) as r:
+                return r.status, r.read(), r.headers.get("Content-Type") or ""
+        except urllib.error.HTTPError as e:
+            status, body = e.code, e.read()[:200]
+        except OSError as e:
+            status, body = 0, json.dumps({"error": {"message": str(e)[:200]}}).encode()
+        if attempt < tries:
+            time.sleep(wait_ms(attempt, random.randrange(JITTER_MS)) / 1000)
+    return status, body, kind
+
+
 class HttpAdapter:
-    """Posts each request's JSON (key, body) from the executors, spaced and retried; the secret stays out of every column."""
+    """Posts each request's JSON (key, body) from the executors, spaced and retried; the secret stays out of every column.
 
-    def __init__(self, endpoint: str, secret: Callable[[], str], workers: int = 5, delay_ms: int = 300, tries: int = 3, timeout: float = 120.0):
-        self.endpoint, self.secret, self.workers, self.delay_ms, self.tries, self.timeout = endpoint, secret, workers, delay_ms, tries, timeout
+    Workers and spacing follow the dispatch policy for the number of requests, unless the user names a number of workers.
+    """
+
+    def __init__(self, endpoint: str, secret: Callable[[], str], workers: int = 0, tries: int = TRIES, timeout: float = 120.0):
+        self.endpoint, self.secret, self.workers, self.tries, self.timeout = endpoint, secret, workers, tries, timeout
 
     def ask(self, requests: DataFrame) -> DataFrame:
-        endpoint, secret, delay, tries, timeout = self.endpoint, self.secret, self.delay_ms / 1000, self.tries, self.timeout
+        endpoint, secret, tries, timeout = self.endpoint, self.secret, self.tries, self.timeout
+        policy = layout.dispatch_policy(F.lit(requests.count()), F.lit(self.workers))
+        workers, delay_ms = requests.sparkSession.range(1).select(policy.alias("p")).select("p.*").first()
 
         def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             key = secret()
             for batch in batches:
                 rows = []
                 for name, body in zip(batch["key"], batch["body"], strict=True):
-                    status, answer = 0, ""
-                    for attempt in range(1, tries + 1):
-                        call = urllib.request.Request(endpoint, body.encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
-                        try:
-                            with urllib.request.urlopen(call, timeout=timeout) as r:
-                                status, answer = r.status, r.read().decode()
-                            break
-                        except urllib.error.HTTPError as e:
-                            status, answer = e.code, e.read().decode(errors="replace")[:200]
-                        except OSError as e:
-                            status, answer = 0, json.dumps({"error": {"message": str(e)[:200]}})
-                        if attempt < tries:
-                            time.sleep(1.2 * attempt + random.random() * 0.4)
-                    rows.append((name, status, answer))
-                    time.sleep(delay)
+                    call = urllib.request.Request(endpoint, body.encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
+                    status, answer, _ = _tried(call, timeout, tries)
+                    rows.append((name, status, answer.decode(errors="replace")))
+                    time.sleep(delay_ms / 1000)
                 yield pd.DataFrame(rows, columns=["key", "status", "body"])
 
-        return requests.select("key", "body").repartition(self.workers, "key").mapInPandas(post, ANSWERS)
+        return requests.select("key", "body").repartition(max(1, workers), "key").mapInPandas(post, ANSWERS)
+
+
+class KeptAnswers:
+    """An adapter's answers, asked for once and kept in a table under `path`: written before they are used, read by every result that
+    needs them, and found again by later runs with the same path. Answers of a status but 200 are asked for again in a later `ask`."""
+
+    def __init__(self, adapter, path: str | None = None):
+        self.adapter, self.path = adapter, path
+
+    def _kept(self, spark) -> DataFrame:
+        best = F.max_by(F.struct("status", "body"), F.struct((F.col("status") == 200).cast("int"), "at"))
+        return spark.read.schema(f"{ANSWERS}, at timestamp").parquet(self.path).groupBy("key").agg(best.alias("a")).select("key", "a.*")
+
+    def ask(self, requests: DataFrame) -> DataFrame:
+        spark = requests.sparkSession
+        self.path = self.path or shared_dir(spark)
+        requests = requests.dropDuplicates(["key"])
+        missing = requests
+        if path_exists(spark, self.path):
+            missing = requests.join(self._kept(spark).where("status = 200").select("key"), "key", "left_anti")
+        self.adapter.ask(missing).select("key", F.col("status").cast("int").alias("status"), "body", F.current_timestamp().alias("at")).write.mode("append").parquet(self.path)
+        return self._kept(spark).join(requests.select("key"), "key", "left_semi")
+
+
+class TableFetcher:
+    """Downloads from a table (url, status, content, content_type)."""
+
+    def __init__(self, files: DataFrame):
+        self.files = files
+
+    def get(self, urls: DataFrame) -> DataFrame:
+        found = urls.select("url").distinct().join(self.files, "url", "left")
+        return found.select("url", F.coalesce("status", F.lit(0)).cast("int").alias("status"), "content", "content_type")
+
+
+class HttpFetcher:
+    """Downloads each different URL once, from the executors."""
+
+    def __init__(self, tries: int = TRIES, timeout: float = 120.0):
+        self.tries, self.timeout = tries, timeout
+
+    def get(self, urls: DataFrame) -> DataFrame:
+        tries, timeout = self.tries, self.timeout
+
+        def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for url in batch["url"]:
+                    try:
+                        status, body, kind = _tried(urllib.request.Request(url), timeout, tries)
+                    except ValueError:  # no URL that can be opened
+                        status, body, kind = 0, b"", ""
+                    yield pd.DataFrame([(url, status, body if status == 200 else None, kind)], columns=["url", "status", "content", "content_type"])
+
+        return urls.select("url").distinct().mapInPandas(fetch, FILES)

@@ -6,11 +6,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.plans import pipelines
+from foliospark import tables
+from foliospark.functions import text as tx
+from foliospark.pictures_catalogue import jpeg_bytes
+from foliospark.plans import pipelines, printing
 from foliospark.sources import archives as ar
 from foliospark.sources import images as im
-from foliospark.sources import texts
-from foliospark.sources.models import TableAdapter
+from foliospark.sources import prompts, texts
+from foliospark.sources.models import HttpAdapter, HttpFetcher, TableAdapter, TableFetcher
 
 RED = np.zeros((100, 100, 3), np.uint8)
 RED[:, :, 0] = 200
@@ -25,13 +28,18 @@ def reply(content):
     return json.dumps({"choices": [{"message": {"content": content}}]})
 
 
-def test_png_round_trip():
+def test_decoding(spark):
     pixels = np.random.default_rng(1).integers(0, 256, (7, 5, 4), dtype=np.uint8)
-    assert (im.png_pixels(im.png_bytes(pixels)) == pixels).all()
-    assert im.dimensions(im.png_bytes(pixels)) == (5, 7)
-    for bad in (b"", b"<svg/>", im.png_bytes(pixels)[:60]):
-        with pytest.raises((ValueError, KeyError, IndexError)):
-            im.png_pixels(bad)
+    photo = jpeg_bytes(spark, 16, 64, 48)
+    rows = spark.createDataFrame([(1, bytearray(im.png_bytes(pixels))), (2, bytearray(im.png_bytes(pixels[:, :, :3]))), (3, bytearray(photo)), (4, bytearray(b"<svg/>")), (5, None), (1, bytearray(im.png_bytes(pixels))), (6, bytearray(photo[:100]))], "k int, c binary")
+    got = [(r.k, r.pixels) for r in im.decode_images(rows, F.col("c")).collect()]
+    assert sorted(k for k, _ in got) == [1, 1, 2, 3, 4, 5, 6]
+    found = {k: p and im.pixel_array(*p) for k, p in got}
+    assert (found[1] == pixels).all() and (found[2] == pixels[:, :, :3]).all() and found[4] is None and found[5] is None
+    assert found[3].shape == (48, 64, 3) and found[3][24, 4, 0] > 180 > 40 > found[3][24, 4, 1] and abs(int(found[3][24, 50, 0]) - 120) < 4
+    assert im.dimensions(photo) == (64, 48) and im.dimensions(im.png_bytes(pixels)) == (5, 7)
+    grey = im.pixel_array(2, 2, 1, bytes([1, 2, 3, 4]))
+    assert grey.shape == (2, 2, 3) and (grey[:, :, 2] == [[1, 2], [3, 4]]).all()
 
 
 def test_saturation():
@@ -51,6 +59,10 @@ def test_list_and_rebuild(spark):
     assert rows[0].content is None and rows[3].error.startswith("BadZipFile")
     good = docs.where("doc_path = 'a.docx'")
     new = spark.createDataFrame([("a.docx", "word/media/sub/image1.png", bytearray(b"new"))], "doc_path string, path_in_zip string, new_content binary")
+    both = {r.doc_path: r for r in ar.rebuild_archives(docs, new).collect()}
+    assert both["bad.docx"].error.startswith("BadZipFile") and both["bad.docx"].archive is None and both["a.docx"].error is None
+    wanted = spark.createDataFrame([("a.docx", "word/media/figura2.JPG"), ("a.docx", "word/media/none.png"), ("other", "x"), ("a.docx", "word/media/figura2.JPG")], "doc_path string, path_in_zip string")
+    assert [(r.original_name, bytes(r.content)) for r in ar.entries_from_list(docs, wanted).where("error is null").collect()] == [("figura2.JPG", b"b" * 300)]
     back = ar.rebuild_archives(good, new)
     contents = {r.path_in_zip: bytes(r.content) for r in ar.list_entries(back).collect()}
     assert contents == {"word/media/image1.png": b"a" * 10, "word/media/figura2.JPG": b"b" * 300, "word/media/sub/image1.png": b"new"}
@@ -81,10 +93,22 @@ def test_folders_and_lists(spark, tmp_path):
     assert [r.item for r in texts.items_of_args(spark, "a, b", "c").collect()] == ["a", "b", "c"]
 
 
-def test_process_documents(spark):
+class Counting:
+    """An adapter that counts the requests that it is really asked."""
+
+    def __init__(self, inner, calls):
+        self.inner, self.calls = inner, calls
+
+    def ask(self, requests):
+        calls = self.calls
+        count = F.udf(lambda x: (calls.add(1), x)[1], "string")
+        return self.inner.ask(requests).withColumn("key", count("key"))
+
+
+def test_process_documents(spark, tmp_path):
     grey, big = im.png_bytes(GREY), im.png_bytes(np.full((20, 30, 3), 90, np.uint8))
     data = ar.write_archive([("word/media/red.png", im.png_bytes(RED)), ("word/media/grey.png", grey), ("word/media/bad.svg", b"<svg/>"), ("word/media/small.png", b"1")])
-    docs = docx(spark, ("a.docx", data))
+    docs = docx(spark, ("a.docx", data), ("copy.docx", data), ("broken.docx", data[:40]))
     import base64
     import hashlib
 
@@ -94,12 +118,19 @@ def test_process_documents(spark):
     url = "data:image/png;base64," + base64.b64encode(big).decode()
     triage = spark.createDataFrame([(key("triage", grey), 200, reply('{"should_colorize": true}')), (key("triage", b"<svg/>"), 429, "")], "key string, status int, body string")
     colour = spark.createDataFrame([(key("colour", grey), 200, reply(url))], "key string, status int, body string")
-    out = pipelines.process_documents(docs, TableAdapter(triage), TableAdapter(colour), "2B")
-    stages = {r.original_name: (r.stage, r.coloured) for r in out.images.collect()}
+    asked = [spark.sparkContext.accumulator(0) for _ in range(2)]
+    counting = [Counting(TableAdapter(t), n) for t, n in zip((triage, colour), asked, strict=True)]
+    out = pipelines.process_documents(docs, *counting, "2B", answers=str(tmp_path / "answers"))
+    everything = out.images.collect(), out.summary.collect(), out.archives.collect()
+    assert [n.value for n in asked] == [2, 2]  # one call for each different picture, whatever is read how often
+    assert [a.error is not None for a in everything[2] if a.doc_path == "broken.docx"] == [True]
+    pipelines.process_documents(docs, *counting, "2B", answers=str(tmp_path / "answers")).summary.collect()
+    assert [n.value for n in asked] == [3, 3]  # a later run asks again only for what failed
+    stages = {r.original_name: (r.stage, r.coloured) for r in out.images.where("doc_path = 'a.docx'").collect()}
     assert stages == {"red.png": ("local", False), "grey.png": ("approved", True), "bad.svg": ("fail_open", False)}
-    row = out.summary.first()
+    row = out.summary.where("doc_path = 'a.docx'").first()
     assert (row.listed, row.skipped, row.coloured, row.skipped_local, row.skipped_triage) == (4, 1, 1, 1, 0)
-    back = {r.original_name: bytes(r.content) for r in ar.list_entries(out.archives).collect()}
+    back = {r.original_name: bytes(r.content) for r in ar.list_entries(out.archives.where("doc_path = 'a.docx'")).collect()}
     assert im.dimensions(back["grey.png"]) == (256, 100) and back["small.png"] == b"1"
     off = pipelines.process_documents(docs, TableAdapter(triage), TableAdapter(colour), no_triage=True)
     assert {r.stage for r in off.images.collect()} == {"approved"}
@@ -120,19 +151,24 @@ def test_routines(spark):
         pipelines.write_report(got.limit(0))
 
 
-def test_generate_and_print(spark):
+def test_generate_and_print(spark, tmp_path):
     items = json.dumps([{"index": 9, "name": "Uva", "slug": "../x", "prompt": "p1"}, {"name": "Pera", "prompt": "p2"}])
     prompts = pipelines.synthesise_prompts(spark.createDataFrame([(f"```json\n{items}\n```",)], "reply string"))
     assert [(r.rn, r.slug) for r in prompts.orderBy("rn").collect()] == [(1, "01_uva"), (2, "02_pera")]
     image = "data:image/png;base64," + __import__("base64").b64encode(im.png_bytes(RED)).decode()
     answers = spark.createDataFrame([("1:1|p1", 200, reply(image)), ("1:1|p2", 500, "")], "k string, status int, body string").select(F.sha2("k", 256).alias("key"), "status", "body")
     done = {r["rn"]: r for r in pipelines.generate_images(prompts, TableAdapter(answers)).collect()}
+    assert [r.slug for r in pipelines.ready(pipelines.save_generated(pipelines.generate_images(prompts, TableAdapter(answers)), str(tmp_path))).collect()] == ["01_uva"]
+    assert [p.name for p in tmp_path.iterdir()] == ["01_uva.png"]
     assert done[1]["status"] == "done" and bytes(done[1]["content"]) == im.png_bytes(RED) and done[2]["status"] == "error"
     paths = spark.createDataFrame([(f"/x/{i}_bolo.png", 100, 50) for i in range(7)], "path string, width int, height int")
     cells = pipelines.lay_out_cards(paths).withColumn("data_uri", F.lit(None).cast("string"))
     pages = pipelines.cards_html(cells, "A & B").orderBy("page").collect()
     assert len(pages) == 2 and "A &amp; B" in pages[0].html and pages[0].html.count("BOLO") == 6
+    sheet = bytes(printing.cards_pdf(cells.withColumns({"content": F.lit(im.png_bytes(RED)), "book": F.lit(1), "label": F.lit("Pêra (é) ✓")}), ["book"]).first().pdf)
+    check_pdf(sheet, pages=2)
     two = pipelines.lay_out_two_up(paths)
+    check_pdf(bytes(printing.two_up_pdf(two.withColumns({"content": F.lit(jpeg_bytes(spark, 16)), "book": F.lit(1)}), ["book"]).first().pdf), pages=4)
     assert two.count() == 8 and two.where("rotated").count() == 8
 
 
@@ -156,3 +192,98 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {(r.stage, r.n) for r in spark.sql("SELECT stage, n FROM stages").collect()} == {("local", 1), ("approved", 1), ("triage", 1), ("fail_open", 1)}
+
+
+def check_pdf(data, pages):
+    """Every object lies where the table of places says; streams have the length they declare."""
+    import re
+
+    start = int(re.search(rb"startxref\n(\d+)\n%%EOF", data).group(1))
+    lines = data[start:].split(b"\n")
+    count = int(lines[1].split()[1])
+    for i, line in enumerate(lines[3 : 2 + count], 1):
+        assert data[int(line[:10]) :].startswith(b"%d 0 obj\n" % i)
+    for m in re.finditer(rb"/Length (\d+)>>\nstream\n", data):
+        assert data[m.end() + int(m.group(1)) :].startswith(b"\nendstream")
+    assert data.count(b"/Type/Page/") == pages and f"/Count {pages}/".encode() in data
+
+
+@pytest.fixture
+def server():
+    import http.server
+    import threading
+
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def answer(self, status, body, kind="application/json"):
+            self.send_response(status)
+            self.send_header("Content-Type", kind)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.headers["Authorization"], body["n"]))
+            failed = body["n"] == 2 or (body["n"] == 3 and [n for _, n in seen].count(3) < 2)
+            self.answer(503 if failed else 200, b"busy" if failed else json.dumps({"n": body["n"]}).encode())
+
+        def do_GET(self):
+            seen.append(("get", self.path))
+            self.answer(*((404, b"") if "none" in self.path else (200, b"bytes", "image/webp")))
+
+        def log_message(self, *_):
+            pass
+
+    s = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}", seen
+    s.shutdown()
+
+
+def test_http(spark, server):
+    at, seen = server
+    requests = spark.createDataFrame([(f"k{n}", json.dumps({"n": n})) for n in (1, 2, 3)], "key string, body string")
+    got = {r.key: (r.status, r.body) for r in HttpAdapter(at, lambda: "s3cret", workers=1, tries=2).ask(requests).collect()}
+    assert got == {"k1": (200, '{"n": 1}'), "k2": (503, "busy"), "k3": (200, '{"n": 3}')}
+    assert sorted(n for _, n in seen) == [1, 2, 2, 3, 3] and {a for a, _ in seen} == {"Bearer s3cret"}
+    dead = HttpAdapter("http://127.0.0.1:9", lambda: "x", tries=1).ask(requests.limit(1)).first()
+    assert dead.status == 0 and "error" in dead.body
+    urls = spark.createDataFrame([(f"{at}/a",), (f"{at}/none",), (f"{at}/a",), ("no url",)], "url string")
+    files = {r.url[-4:]: (r.status, r.content and bytes(r.content), r.content_type) for r in HttpFetcher(tries=1).get(urls).collect()}
+    assert files["none"][:2] == (404, None) and files[f"{at}/a"[-4:]] == (200, b"bytes", "image/webp") and files[" url"][0] == 0
+    assert [p for g, p in seen if g == "get"].count("/a") == 1
+
+
+def test_url_answers(spark):
+    replies = spark.createDataFrame([("a", "see http://x/1.png", None), ("b", "http://x/gone", None), ("c", None, "status 500"), ("d", "no", None)], "key string, image string, error string")
+    files = spark.createDataFrame([("http://x/1.png", 200, bytearray(b"p"), "image/jpg")], "url string, status int, content binary, content_type string")
+    got = {r.key: (r.content and bytes(r.content), r.format, r.error) for r in pipelines.resolve_images(replies, TableFetcher(files)).collect()}
+    assert got["a"] == (b"p", "jpg", None) and got["b"][2] == "download: status 0" and got["c"][2] == "status 500" and got["d"][2] == "no image in the reply"
+    assert {r.key for r in pipelines.resolve_images(replies).where("error like '%fetcher%'").collect()} == {"a", "b"}
+
+
+def test_prompts(spark, tmp_path):
+    (tmp_path / "mine").write_text("My prompt\nof two lines")
+    (tmp_path / "blank").write_text(" \n")
+    read = lambda name, builtin: prompts.read_prompt(spark, str(tmp_path / name), builtin, "last")
+    assert [read("mine", "b"), read("blank", "b"), read("none", "b"), read("none", " "), prompts.read_prompt(spark, None, None, "last")] == ["My prompt\nof two lines", "b", "b", "last", "last"]
+
+
+def test_number_all(spark):
+    names = [f"x{n}" for n in ("1" + "0" * 24, "99999999999999999999", 7, "007", 10)] + ["a", "X8", None]
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)] * 3, "name string, k int").repartition(3)
+    got = tables.number_all(df, [tx.natural_key(F.col("name")), "k"]).orderBy("rn").collect()
+    assert [r.rn for r in got] == list(range(1, 25))
+    assert [r.name for r in got][::3] == [None, "a", "x007", "x7", "X8", "x10", "x99999999999999999999", "x1" + "0" * 24]
+    assert tables.number_all(df.limit(0), ["k"]).count() == 0
+
+
+def test_shared_folder(spark):
+    path = tables.shared_dir(spark)
+    assert path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    with tables.scratch(spark):
+        held = tables.materialise(spark.range(3))
+        where = held.inputFiles()[0].rsplit("/", 1)[0]
+        assert held.count() == 3 and tables.path_exists(spark, where)
+    assert not tables.path_exists(spark, where)
