@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,7 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int]] = []
+        self.opened: Counter[str] = Counter()
         self.role = OPEN
         self.hidden = 0
         self.held: list[str] = []
@@ -82,6 +84,7 @@ class _Lines(HTMLParser):
         self.flush()
         while len(self.stack) > to:
             tag, role = self.stack.pop()
+            self.opened[tag] -= 1
             self.hidden -= tag in HIDDEN
             self.role = role
 
@@ -91,7 +94,7 @@ class _Lines(HTMLParser):
         if tag == "body":  # an unclosed head ends here
             self._pop(0)
         ends = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-        for i in range(len(self.stack) - 1, -1, -1):
+        for i in range(len(self.stack) - 1, -1, -1) if any(self.opened[x] for x in ends) else ():
             if self.stack[i][0] in ends:
                 self._pop(i)
                 break
@@ -103,6 +106,7 @@ class _Lines(HTMLParser):
         if role != self.role:
             self.flush()
         self.stack.append((tag, self.role))
+        self.opened[tag] += 1
         self.hidden += tag in HIDDEN
         self.role = role
 
@@ -112,9 +116,10 @@ class _Lines(HTMLParser):
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
+        for i in range(len(self.stack) - 1, -1, -1) if self.opened[tag] else ():
             if self.stack[i][0] == tag:
                 if self.stack[i][1] == self.role and tag in INLINE:
+                    self.opened[tag] -= 1
                     del self.stack[i]  # inline elements may be closed out of order
                 else:
                     self._pop(i)
@@ -144,41 +149,71 @@ def _settled(lines: list[tuple[int, str]]) -> list[tuple[int, str]]:
     return [(to.get(role, role), t) for role, t in lines]
 
 
+#: Bits of alignment rows that are kept for the way back; longer pages are halved first.
+ALIGN_BITS = 1 << 27
+
+
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """Row by row, the bits of the places of b where the length of the common subsequence doesn't grow (Hyyro's bit-parallel method)."""
+    places: dict[int, int] = {}
+    for j, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << j
+    whole = (1 << len(b)) - 1
+    row = whole
+    for x in a:
+        hit = row & places.get(x, 0)
+        row = (row + hit | row - hit) & whole
+        yield row
+
+
+def _growth(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of a and each beginning of b."""
+    row = (1 << len(b)) - 1
+    for row in _rows(a, b):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def _align(a: list[int], b: list[int]) -> list[int]:
+    """Places in a of a longest common subsequence with b, in time of len(a) * len(b) / 64 and bounded space."""
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > ALIGN_BITS:  # Hirschberg: where b is cut if a is cut in the middle
+        half = len(a) // 2
+        cut = int(np.argmax(_growth(a[:half], b) + _growth(a[:half - 1 : -1], b[::-1])[::-1]))
+        return _align(a[:half], b[:cut]) + [half + i for i in _align(a[half:], b[cut:])]
+    rows = list(_rows(a, b))
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+            if not i or rows[i - 1] >> (j - 1) & 1:
+                out.append(i)
+                j -= 1
+    return out[::-1]
+
+
 def shared_lines(a: list[int], b: list[int]) -> set[int]:
     """Places in a of the lines of a longest common subsequence with b.
 
-    Lines that the other page lacks can't be part of it; common ends always can. The rest is aligned by Hunt and Szymanski's method,
-    whose work follows the number of equal pairs.
+    Lines that the other page lacks can't be part of it; common ends always can. The rest is aligned by bit-parallel dynamic
+    programming, so that pages of many repeated lines cost no more than others.
     """
     in_b, in_a = set(b), set(a)
     left = [i for i, x in enumerate(a) if x in in_b]
     right = [j for j, x in enumerate(b) if x in in_a]
-    out: set[int] = set()
-    while left and right and a[left[0]] == b[right[0]]:
-        out.add(left.pop(0))
-        right.pop(0)
-    while left and right and a[left[-1]] == b[right[-1]]:
-        out.add(left.pop())
-        right.pop()
-    places: dict[int, list[int]] = {}
-    for at, j in enumerate(right):
-        places.setdefault(b[j], []).append(at)
-    tails: list[int] = []
-    links: list[tuple] = []
-    for i in left:
-        for at in reversed(places.get(a[i], ())):
-            k = bisect.bisect_left(tails, at)
-            link = (i, links[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(at)
-                links.append(link)
-            else:
-                tails[k], links[k] = at, link
-    link = links[-1] if links else None
-    while link:
-        out.add(link[0])
-        link = link[1]
-    return out
+    first = last = 0
+    most = min(len(left), len(right))
+    while first < most and a[left[first]] == b[right[first]]:
+        first += 1
+    while last < most - first and a[left[-1 - last]] == b[right[-1 - last]]:
+        last += 1
+    middle = left[first : len(left) - last]
+    found = _align([a[i] for i in middle], [b[j] for j in right[first : len(right) - last]])
+    return {*left[:first], *(middle[i] for i in found), *left[len(left) - last :]}
 
 
 def _line_hash(text: str) -> int:
@@ -324,7 +359,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     unless they lie in a declared article (mirrored articles would lose their text). Pages of equal open lines are copies: the nearest
     page is one of other content. Where a page declares a main part, open lines outside it go as well. Null or empty HTML has an empty
     text; a null URL makes a host of its own; pages of equal URL are neighbours in page_id order; equal rows get equal texts; a page
-    whose host has no other content is compared with none. Columns of the result's names are replaced.
+    whose host has no other content is compared with none; an empty table gives none. Pages of any length are parsed whole, and aligned
+    in bounded space. Columns of the result's names are replaced.
     """
     pages = pages.drop("text", "n_chars", "_shared")
     shared = find_shared_lines(pages)

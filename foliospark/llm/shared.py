@@ -5,16 +5,15 @@ from __future__ import annotations
 import ctypes
 import gc
 import struct
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
+from foliospark.tables import materialise, scratch, shared_dir  # noqa: F401
+
 #: Bytes of text handled at once by the vectorised helpers; bounds a task's Python memory.
 CHUNK_BYTES = 1 << 20
 
@@ -55,46 +54,6 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(task, schema)
 
 
-_local: dict[str, str] = {}
-_scratch: list[list[str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder named by spark.checkpoint.dir. Where none is set, a local session (tests) gets a temporary folder; a
-    cluster has none that all executors share, so it's an error there."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        if app not in _local:
-            _local[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
-        base = _local[app]
-    path = f"{base.rstrip('/')}/foliospark/{uuid.uuid4().hex}"
-    for held in _scratch:
-        held.append(path)
-    return path
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Intermediate tables written inside go when the block ends: for results that are written, not only planned, inside it."""
-    _scratch.append([])
-    try:
-        yield
-    finally:
-        for path in _scratch.pop():
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def dealt(df: DataFrame, parts: int, part: str = "part", *order: str) -> DataFrame:
     """Rows of part i (from 0) in task i, sorted by part and `order`; a hash of the number would give some tasks several parts."""
     return df.repartitionById(parts, part).sortWithinPartitions(part, *order)
