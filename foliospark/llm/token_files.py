@@ -12,64 +12,106 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.llm.shared import dealt, mapped, shared_dir, shuffle_partitions
-from foliospark.llm.tokens import encode_documents
+from foliospark.llm.tokens import encoding
 
 #: Ids in one block of a shard: a block has its own grammar, and reading a document opens its block alone.
 BLOCK_IDS = 1 << 20
-ROUNDS = 6
-PAIRS_A_ROUND = 256
-LEAST_COUNT = 8
+#: A pair is frequent, and becomes a nonterminal, while it occurs so often in a block without overlaps.
+FREQUENT = 16
+_CELL_BITS, _MOST = 22, 1023
 
 BLOCK_SCHEMA = "shard int, block int, first_doc bigint, ids_before bigint, n_null bigint, n_docs bigint, n_ids bigint, doc_ids binary, doc_ends binary, base bigint, rules binary, expansion_lengths binary, sequence binary"
 
 
-def repair(ids: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS_A_ROUND, least: int = LEAST_COUNT) -> tuple[int, np.ndarray, np.ndarray]:
-    """(first nonterminal, rules (n, 2), sequence): in each round the most frequent pairs become new nonterminals.
+def repair(ids: np.ndarray, frequent: int = FREQUENT) -> tuple[int, np.ndarray, np.ndarray]:
+    """(first nonterminal, rules (n, 2), sequence): pairs become nonterminals until none occurs `frequent` times without overlaps.
 
-    Pairs that overlap are replaced from the left. A rule refers to ids and to nonterminals of earlier rounds only.
+    In a round every pair is replaced wherever it is more frequent than the pairs that it overlaps, so that a round makes many rules.
+    The sequence is linked: a round looks at the places alone whose pair may still be frequent, as a pair that isn't never becomes it.
+    Counts by a hash of the pair, which are never too low, choose; counts of what was chosen decide. Of equal neighbours (aaaa) every
+    second pair is replaced, from the left. A rule refers to ids and to nonterminals of earlier rounds only.
     """
-    base = int(ids.max()) + 1 if len(ids) else 0
-    sequence, rules = ids.astype(np.uint32), np.zeros((0, 2), np.uint32)
-    for _ in range(rounds):
-        if len(sequence) < 2:
+    n, base = len(ids), int(ids.max()) + 1 if len(ids) else 0
+    if n < 2:
+        return base, np.zeros((0, 2), np.uint32), ids.astype(np.uint32)
+    symbol = np.append(ids.astype(np.uint32), np.uint32(0))
+    after = np.minimum(np.arange(1, n + 2, dtype=np.int32), n)
+    before = np.arange(-1, n, dtype=np.int32)
+    before[0] = n
+    rank = np.zeros(n + 1, np.uint32)
+    alive, waiting = np.ones(n + 1, bool), np.ones(n + 1, bool)
+    alive[n] = waiting[n - 1] = waiting[n] = False
+    rules, made = [], 0
+
+    def settle(places: np.ndarray) -> None:
+        waiting[places] = False
+        rank[places] = 0
+
+    def runs_of(at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First places (in at) and lengths of runs of equal pairs that overlap."""
+        first = np.ones(len(at), bool)
+        first[1:] = (after[at[:-1]] != at[1:]) | (kind[1:] != kind[:-1])
+        starts = np.flatnonzero(first)
+        return starts, np.diff(np.append(starts, len(at)))
+
+    while len(at := np.flatnonzero(waiting).astype(np.int32)):
+        left, right = symbol[at], symbol[after[at]]
+        bits = max(10, min(_CELL_BITS, int(2 * len(at) - 1).bit_length()))
+        cell = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
+        counts = np.minimum(np.bincount(cell, minlength=1 << bits), _MOST).astype(np.uint32) << np.uint32(_CELL_BITS)
+        kind = counts[cell] | cell
+        many = kind >= np.uint32(min(frequent, _MOST) << _CELL_BITS)
+        settle(at[~many])
+        at, left, right, kind = at[many], left[many], right[many], kind[many]
+        if not len(at):
             break
-        # Counts by a hash of the pair find the few cells that can hold a frequent pair; only their pairs are counted exactly.
-        left, right = sequence[:-1], sequence[1:]
-        cell = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(12)
-        counts = np.bincount(cell, minlength=1 << 20)
-        often = counts[counts >= least]
-        if not len(often):
-            break
-        hot = counts >= (np.partition(often, -pairs)[-pairs] if len(often) > pairs else least)
-        at = np.flatnonzero(hot[cell])
-        wide = (left[at].astype(np.uint64) << np.uint64(32)) | right[at]
-        chosen, times = np.unique(wide, return_counts=True)
-        order = np.argsort(-times, kind="stable")[:pairs]
-        chosen = np.sort(chosen[order[times[order] >= least]])
-        if not len(chosen):
-            break
-        place = np.minimum(np.searchsorted(chosen, wide), len(chosen) - 1)
-        match = chosen[place] == wide
-        at, place = at[match], place[match]
-        run = np.concatenate(([True], np.diff(at) > 1)) if len(at) else np.zeros(0, bool)
-        starts = np.flatnonzero(run)
-        inside = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
-        at, place = at[inside % 2 == 0], place[inside % 2 == 0]
-        kept = np.ones(len(sequence), bool)
-        kept[at + 1] = False
-        sequence = sequence.copy()
-        sequence[at] = base + len(rules) + place
-        sequence = sequence[kept]
-        rules = np.concatenate((rules, np.stack((chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)), axis=1).astype(np.uint32)))
-    return base, rules, sequence
+        rank[at] = kind
+        starts, sizes = runs_of(at, kind)
+        best = (kind[starts] > rank[before[at[starts]]]) & (kind[starts] > rank[after[at[starts + sizes - 1]]])
+        pairs_in = (sizes[best] + 1) // 2
+        chosen = np.repeat(starts[best], pairs_in) + 2 * (np.arange(pairs_in.sum()) - np.repeat(np.cumsum(pairs_in) - pairs_in, pairs_in))
+        coded = pa.array((left[chosen].astype(np.uint64) << np.uint64(32)) | right[chosen]).dictionary_encode()
+        of, pairs = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+        enough = np.bincount(of, minlength=len(pairs)) >= frequent
+        if not enough.any():  # counts that were too high, or pairs that stand in each other's way: the most frequent one goes first
+            coded = pa.array((left.astype(np.uint64) << np.uint64(32)) | right).dictionary_encode()
+            of, pairs = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+            starts, sizes = runs_of(at, of)
+            times = np.bincount(of[starts], weights=(sizes + 1) // 2, minlength=len(pairs))
+            settle(at[times[of] < frequent])
+            top = int(np.argmax(times))
+            if times[top] < frequent:
+                continue
+            chosen = np.flatnonzero((of == top) & ((np.arange(len(at)) - np.repeat(starts, sizes)) % 2 == 0))
+            of, pairs, enough = np.zeros(len(chosen), np.int64), pairs[top : top + 1], np.ones(1, bool)
+        here, of = at[chosen[enough[of]]], (np.cumsum(enough) - 1)[of[enough[of]]]
+        gone = after[here]
+        then = after[gone]
+        symbol[here] = base + made + of
+        after[here] = then
+        before[then] = here
+        alive[gone] = False
+        settle(gone)
+        waiting[here] = waiting[before[here]] = True
+        waiting[here[then == n]] = waiting[n] = False
+        rules.append(pairs[enough])
+        made += int(enough.sum())
+    wide = np.concatenate(rules) if rules else np.zeros(0, np.uint64)
+    return base, np.stack((wide >> np.uint64(32), wide & np.uint64(0xFFFFFFFF)), axis=1).astype(np.uint32), symbol[alive]
 
 
 def expansion_lengths(base: int, rules: np.ndarray) -> np.ndarray:
     """Ids that each nonterminal stands for."""
-    out = np.ones(base + len(rules), np.int64)
-    for i, (a, b) in enumerate(rules):
-        out[base + i] = out[a] + out[b]
-    return out[base:]
+    out = [1] * base
+    for a, b in rules.tolist():
+        out.append(out[a] + out[b])
+    return np.array(out[base:], np.int64)
+
+
+def _spread(firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each run, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(firsts - ends + sizes, sizes)
 
 
 class Block:
@@ -81,22 +123,23 @@ class Block:
         self.sequence = _unpack(sequence)
         lengths = np.concatenate((np.ones(base, np.int64), np.frombuffer(lengths, "<u4").astype(np.int64)))
         self.ends = np.cumsum(lengths[self.sequence]) if len(self.sequence) else np.zeros(0, np.int64)
-        words: list[np.ndarray] = []
-        of = lambda x: words[x - base] if x >= base else np.array([x], np.uint32)
-        for a, b in self.rules.tolist():
-            words.append(np.concatenate((of(a), of(b))))
-        self.sizes = lengths
-        self.flat = np.concatenate((np.arange(base, dtype=np.uint32), *words)) if words else np.arange(base, dtype=np.uint32)
-        self.starts = np.cumsum(lengths) - lengths
+        self.sizes, self.starts = lengths, np.cumsum(lengths) - lengths
+        self.flat = np.zeros(int(lengths.sum()), np.uint32)
+        self.flat[:base] = np.arange(base)
+        deep = np.zeros(base + len(self.rules), np.int64)  # a nonterminal is written after those that it stands for
+        for i, (a, b) in enumerate(self.rules.tolist(), base):
+            deep[i] = 1 + max(deep[a], deep[b])
+        by_depth = np.argsort(deep[base:], kind="stable")
+        for of in np.split(by_depth, np.flatnonzero(np.diff(deep[base:][by_depth])) + 1) if len(by_depth) else ():
+            for at, child in ((self.starts[base + of], self.rules[of, 0]), (self.starts[base + of] + lengths[self.rules[of, 0]], self.rules[of, 1])):
+                self.flat[_spread(at, lengths[child])] = self.flat[_spread(self.starts[child], lengths[child])]
 
     def ids(self, first: int, last: int) -> np.ndarray:
         if last <= first:
             return np.zeros(0, np.uint32)
         i, j = np.searchsorted(self.ends, [first, last - 1], side="right")
         symbols = self.sequence[i : j + 1]
-        sizes = self.sizes[symbols]
-        ends = np.cumsum(sizes)
-        out = self.flat[np.arange(int(ends[-1])) + np.repeat(self.starts[symbols] - ends + sizes, sizes)]
+        out = self.flat[_spread(self.starts[symbols], self.sizes[symbols])]
         skip = first - (int(self.ends[i - 1]) if i else 0)
         return out[skip : skip + last - first]
 
@@ -117,14 +160,21 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, doc_id: str =
     Shards are ranges of doc_id between approximate quantiles (a narrow pass; as many as there are shuffle partitions), so no sampling
     encodes the texts a second time; null ids come first. A shard is cut into blocks of about block_ids ids, never inside a document.
     A block holds its grammar (rules and expansion lengths), the compressed sequence and the end of each document in ids. Null or
-    empty texts hold the end id alone; repeated ids keep all their rows, side by side; an empty table writes no block; other columns
-    are not stored.
+    empty texts hold the end id alone; repeated ids keep all their rows, side by side; an empty table writes no block; texts of any
+    length are encoded whole, and one longer than a block is a block; other columns are not stored. doc_id must be an integer.
     """
     n = shuffle_partitions(docs.sparkSession)
     cuts = docs.agg(F.percentile_approx(doc_id, [i / n for i in range(1, n)] or [0.5], 10000)).first()[0] or []
-    bounds = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast(f"array<{docs.schema[doc_id].dataType.simpleString()}>")
-    encoded = encode_documents(docs, tokenizer, doc_id, text)
-    placed = encoded.withColumn("shard", F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col(doc_id))), F.lit(0)))
+    bounds = np.array(sorted(set(cuts)), np.int64)
+    encode = encoding(tokenizer, doc_id)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in encode(batches):
+            keys = batch.column(0).cast(pa.int64())
+            shard = np.searchsorted(bounds, keys.fill_null(bounds[0] if len(bounds) else 0).to_numpy(zero_copy_only=False), side="left")
+            yield pa.RecordBatch.from_arrays([keys, batch.column(1), pa.array(shard.astype(np.int32))], names=["doc_id", "ids", "shard"])
+
+    placed = docs.select(doc_id, text).transform(mapped, place, "doc_id bigint, ids binary, shard int")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -153,7 +203,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, doc_id: str =
             yield flush()
         held = []
 
-    rows = placed.select(F.col(doc_id).cast("long").alias("doc_id"), "ids", "shard").transform(dealt, n, "shard", "doc_id", "ids")
+    rows = placed.transform(dealt, n, "shard", "doc_id", "ids")
     rows.transform(mapped, write, BLOCK_SCHEMA).write.parquet(path)
 
 
