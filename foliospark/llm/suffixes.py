@@ -26,6 +26,8 @@ GATHER = 1_000_000
 GATHER_BYTES = 24 << 20
 #: Suffixes that are compared with the bytes before them at once (more where one group has more).
 SLAB = 20_000
+#: Bytes of a text that are hashed at once; longer texts are taken in overlapping pieces. Must be under 2 ** _PLACE_BITS.
+PIECE = 4 << 20
 _PLACE_BITS = 28
 
 
@@ -36,6 +38,23 @@ def span_of(length: int) -> int:
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Of texts side by side: place, first and last window start, text number and context hash of each anchor, by place."""
+    if len(data) <= PIECE:
+        return _anchors(data, offsets, length)
+    found = []
+    for at in range(0, len(data), PIECE):  # a piece has the windows that start in it
+        part = data[at : at + PIECE + length - 1]
+        inner = np.clip(offsets - at, 0, len(part))
+        number = np.flatnonzero(np.diff(inner))
+        place, first, last, text, context = _anchors(part, np.concatenate((inner[number], inner[-1:])), length)
+        found.append([place + at, first + at, last + at, number[text] if len(text) else text, context])
+    for before, after in zip(found, found[1:], strict=False):  # windows on both sides of a seam may have one anchor
+        if len(before[0]) and len(after[0]) and before[0][-1] == after[0][0] and before[3][-1] == after[3][0]:
+            after[1][0] = before[1][-1]
+            before[:] = [c[:-1] for c in before]
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     span = span_of(length)
     none = np.zeros(0, np.int64)
     if len(data) < length:
@@ -395,8 +414,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
 
     A byte goes if a string of `length` bytes that covers it starts anywhere else too, in the same text or another, on the texts as they
     come. Null texts count as empty; texts shorter than `length` stay whole; rows of equal text (of `length` bytes or more) lose all of
-    it; kept_text leaves out characters of which bytes have gone; equal rows get equal results; texts are told apart by their length and a 64-bit hash. Columns of the result's names are
-    replaced.
+    it; kept_text leaves out characters of which bytes have gone; equal rows get equal results, an empty table none; texts of any length
+    are taken whole. Texts are told apart by their length and a 64-bit hash. Columns of the result's names are replaced.
     """
     docs = docs.drop("n_bytes", "removed_spans", "kept", "kept_text", "text_hash", "spans")
     content = F.coalesce(F.col(text), F.lit("")).cast("binary")
