@@ -75,9 +75,8 @@ def item_windows(words: list[bytes], window: int = WINDOW) -> Iterator[tuple[byt
 def build_tables(items: Iterable[tuple[int, str | None]], window: int = WINDOW) -> list[WuManber]:
     by_length: dict[int, dict[tuple[bytes, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
     for item, text in items:
-        if item is not None:
-            for pattern in item_windows(words_of(text), window):
-                by_length[len(pattern)][pattern].add(item)
+        for pattern in item_windows(words_of(text), window):
+            by_length[len(pattern)][pattern].update(() if item is None else (item,))
     return [WuManber(patterns, m) for m, patterns in sorted(by_length.items())]
 
 
@@ -115,7 +114,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, item: str = "item_
     """Add n_words, hit_spans (of words, end exclusive) and items (occurring item ids, ascending) to each document.
 
     A document word inside any occurrence of an item's window is hit. Null or empty texts have no words; items without words have
-    no windows; ties and repeated rows each get their own result; an empty benchmark finds nothing. The pattern tables are broadcast
+    no windows, items without an id hit words but aren't listed; ties and repeated rows each get their own result; an empty benchmark
+    finds nothing. Texts of any length are searched whole. The pattern tables are broadcast
     in blocks of bounded size, the documents being scanned once for each block without any shuffle. Columns of the result's names
     are replaced.
     """
