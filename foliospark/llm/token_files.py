@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.llm.shared import dealt, mapped, shared_dir, shuffle_partitions
-from foliospark.llm.tokens import encoding
+from foliospark.llm.tokens import encoding, id_kind
 
 #: Ids in one block of a shard: a block has its own grammar, and reading a document opens its block alone.
 BLOCK_IDS = 1 << 20
@@ -50,7 +50,9 @@ def repair(ids: np.ndarray, frequent: int = FREQUENT) -> tuple[int, np.ndarray,
     def runs_of(at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First places (in at) and lengths of runs of equal pairs that overlap."""
         first = np.ones(len(at), bool)
-        first[1:] = (after[at[:-1]] != at[1:]) | (kind[1:] != kind[:-1])
+        first[1:] = kind[1:] != kind[:-1]
+        same = np.flatnonzero(~first)
+        first[same] = after[at[same - 1]] != at[same]
         starts = np.flatnonzero(first)
         return starts, np.diff(np.append(starts, len(at)))
 
@@ -68,8 +70,10 @@ def repair(ids: np.ndarray, frequent: int = FREQUENT) -> tuple[int, np.ndarray,
         rank[at] = kind
         starts, sizes = runs_of(at, kind)
         best = (kind[starts] > rank[before[at[starts]]]) & (kind[starts] > rank[after[at[starts + sizes - 1]]])
-        pairs_in = (sizes[best] + 1) // 2
-        chosen = np.repeat(starts[best], pairs_in) + 2 * (np.arange(pairs_in.sum()) - np.repeat(np.cumsum(pairs_in) - pairs_in, pairs_in))
+        chosen, more = starts[best], (sizes[best] - 1) // 2
+        long = np.flatnonzero(more)
+        if len(long):
+            chosen = np.concatenate((chosen, chosen[np.repeat(long, more[long])] + 2 * _spread(np.ones(len(long), np.int64), more[long])))
         coded = pa.array((left[chosen].astype(np.uint64) << np.uint64(32)) | right[chosen]).dictionary_encode()
         of, pairs = coded.indices.to_numpy(), coded.dictionary.to_numpy()
         enough = np.bincount(of, minlength=len(pairs)) >= frequent
@@ -166,7 +170,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, doc_id: str =
     n = shuffle_partitions(docs.sparkSession)
     cuts = docs.agg(F.percentile_approx(doc_id, [i / n for i in range(1, n)] or [0.5], 10000)).first()[0] or []
     bounds = np.array(sorted(set(cuts)), np.int64)
-    encode = encoding(tokenizer, doc_id)
+    kind = id_kind(tokenizer)
+    encode, width = encoding(tokenizer, doc_id, kind=kind), np.dtype(kind).itemsize
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in encode(batches):
@@ -181,9 +186,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, doc_id: str =
         shard, block, size, before = None, 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
+            ids = np.frombuffer(b"".join(x for _, x in held), kind)
             base, rules, sequence = repair(ids)
-            ends = np.cumsum([len(x) // 4 for _, x in held])
+            ends = np.cumsum([len(x) // width for _, x in held])
             keys = np.array([0 if k is None else k for k, _ in held], "<i8")
             row = {"shard": shard, "block": block, "first_doc": held[0][0], "ids_before": before, "n_null": sum(k is None for k, _ in held), "n_docs": len(held), "n_ids": len(ids), "doc_ids": keys.tobytes(), "doc_ends": ends.astype("<i8").tobytes(), "base": base, "rules": rules.astype("<u4").tobytes(), "expansion_lengths": expansion_lengths(base, rules).astype("<u4").tobytes(), "sequence": _pack(sequence)}
             return pa.RecordBatch.from_pylist([row], schema=arrow)
@@ -192,9 +197,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, doc_id: str =
         for batch in batches:
             for key, ids, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 ids = ids.as_py()
-                if held and (at != shard or size + len(ids) > 4 * block_ids):
+                if held and (at != shard or size + len(ids) > width * block_ids):
                     yield flush()
-                    block, before = (block + 1, before + size // 4) if at == shard else (0, 0)
+                    block, before = (block + 1, before + size // width) if at == shard else (0, 0)
                     held, size = [], 0
                 shard = at
                 held.append((key, ids))

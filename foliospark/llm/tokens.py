@@ -125,6 +125,13 @@ class WordTokens:
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if w else ids[cuts[i] : cuts[i + 1]] for i, (t, w) in enumerate(zip(texts, whole, strict=True))]
 
 
+def id_kind(path: str) -> str:
+    """The narrowest kind of integer that holds the tokenizer's ids."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def word_tokens(path: str) -> WordTokens:
     """One encoder for each path in a worker."""
     if path not in _cache:
@@ -144,19 +151,22 @@ def runs(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, i
         yield first, len(texts)
 
 
-def encoding(path: str, doc_id: str = "doc_id", end_id: int = END_ID) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From batches of (id, text) to batches of (id, ids)."""
+def encoding(path: str, doc_id: str = "doc_id", end_id: int = END_ID, kind: str = "<u4") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From batches of (id, text) to batches of (id, ids), ids as integers of a kind."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_tokens(path)
-        end = np.array([end_id], np.uint32)
+        end = np.array([end_id], kind)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):  # texts become Python strings a slice at a time
                 part = batch.slice(at, SLICE_ROWS)
                 texts = part.column(1).to_pylist()
                 for first, last in runs(texts):
-                    ids = [np.concatenate((x, end)).astype("<u4").tobytes() for x in encoder.encode(texts[first:last])]
-                    yield pa.RecordBatch.from_arrays([part.column(0).slice(first, last - first), pa.array(ids, pa.binary())], names=[doc_id, "ids"])
+                    made = encoder.encode(texts[first:last])
+                    bounds = np.cumsum([0, *(len(x) + 1 for x in made)]) * end.itemsize
+                    flat = np.concatenate([y for x in made for y in (x.astype(kind), end)])
+                    ids = pa.Array.from_buffers(pa.large_binary(), len(made), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(first, last - first), ids], names=[doc_id, "ids"])
 
     return encode
 
