@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.llm import decontaminate, jaccard, licences, media, packing, pages, sharding, suffixes, token_files, toxicity
+from foliospark.llm import alignment, decontaminate, divergence, jaccard, licences, media, packing, pages, sharding, suffixes, token_files, toxicity
 from foliospark.llm.licences import TEMPLATES, THRESHOLD, template_bigrams
 
 
@@ -62,8 +62,10 @@ def queries() -> dict:
         "op8_size_aware_jaccard": jaccard.op8_size_aware_jaccard,
         "op9_interleaved_media": media.op9_interleaved_media,
         "op10_licence_dice": licences.op10_licence_dice,
+        "op11_cross_tokenizer_alignment": alignment.op11_cross_tokenizer_alignment,
+        "op13_source_divergence": divergence.op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_wu_manber": _CONTAMINATION_SQL, "op8_size_aware_jaccard": _JACCARD_SQL, "op10_licence_dice": _licence_sql()}
+    return {"op5_wu_manber": _CONTAMINATION_SQL, "op8_size_aware_jaccard": _JACCARD_SQL, "op10_licence_dice": _licence_sql(), "op13_source_divergence": divergence.SQL}
