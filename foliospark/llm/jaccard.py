@@ -447,18 +447,18 @@ class _Block:
         return self.bound.linked(overlap, int(self.n[i]), int(self.n[j]))
 
 
-def _exact(bound: Bound, rows: list[dict]) -> list[int]:
+def _exact(bound: Bound, rows: list[dict], near=_near) -> list[int]:
     """The component, as its smallest set_id, of each row by links between these rows."""
     block, forest = _Block(bound, rows), Forest()
     ids = [r["set_id"] for r in rows]
     for i in range(1, len(rows)):
-        for j in _near(bound, block.sig, block.n, block.lone, i, i).tolist():
+        for j in near(bound, block.sig, block.n, block.lone, i, i).tolist():
             if forest.root(ids[i]) != forest.root(ids[j]) and block.linked(i, j):
                 forest.join(ids[i], ids[j])
     return [forest.root(x) for x in ids]
 
 
-def _cross_links(members: DataFrame, passing: DataFrame, bound: Bound) -> DataFrame:
+def _cross_links(members: DataFrame, passing: DataFrame, bound: Bound, near=_near) -> DataFrame:
     """Edges between roots of `members` and `passing` sets of the same candidate component that link but have other roots.
 
     Passing sets go to the blocks of their component that hold sets of their size class or the next ones; a task holds one block of
@@ -492,8 +492,7 @@ def _cross_links(members: DataFrame, passing: DataFrame, bound: Bound) -> DataFr
                 while words.shape[1] > len(sig):
                     words = words[:, : words.shape[1] // 2] ^ words[:, words.shape[1] // 2 :]
                 k = len(held)
-                near = _near(bound, np.vstack((words, sig)), np.append(block.n, alone.n), np.append(block.lone, alone.lone), k, k)
-                for j in near.tolist():
+                for j in near(bound, np.vstack((words, sig)), np.append(block.n, alone.n), np.append(block.lone, alone.lone), k, k).tolist():
                     if forest.root(row["root"]) != forest.root(roots[j]):
                         overlap = len(np.intersect1d(block.tokens[j], alone.tokens[0], assume_unique=True))
                         if bound.linked(overlap, int(block.n[j]), row["n"]):
@@ -511,14 +510,15 @@ def _relabel(members: DataFrame, edges: DataFrame) -> DataFrame:
     return members.join(roots, "root", "left").withColumn("root", F.coalesce("_to", "root")).drop("_to")
 
 
-def link_sets(sets: DataFrame, components: DataFrame, bound: Bound) -> DataFrame:
+def link_sets(sets: DataFrame, components: DataFrame, bound: Bound, near=_near) -> DataFrame:
     """(set_id, root) of every set with a link: exact components inside each candidate component.
 
     A component of up to BLOCK_SETS sets and BLOCK_BYTES bytes is one block. A larger one is dealt into blocks of one size class each;
     then a few sets of each block's largest part visit the blocks of sizes that they may link with, which joins the large parts, and
     every set that is not in the component's largest part after that visits them too, so that each pair that may link is compared.
+    near: which rows before one may link with it by size and signature; other signatures than signature() come with their own.
     """
-    members = sets.drop("prefix", "list_cost").join(components.select(F.col("node").alias("set_id"), F.col("root").alias("component")), "set_id")
+    members = sets.select("set_id", "n", "tokens", "signature").join(components.select(F.col("node").alias("set_id"), F.col("root").alias("component")), "set_id")
     members = materialise(members)
     sizes = members.groupBy("component").agg(F.count("*").alias("_k"), F.sum(F.octet_length("tokens")).alias("_b"))
     several = (F.col("_k") > BLOCK_SETS) | (F.col("_b") > BLOCK_BYTES)
@@ -531,7 +531,7 @@ def link_sets(sets: DataFrame, components: DataFrame, bound: Bound) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(held: list[dict]) -> pa.RecordBatch:
-            roots = _exact(bound, held)
+            roots = _exact(bound, held, near)
             columns = [pa.array([r[c] for r in held], t) for c, t in (("component", pa.int64()), ("class", pa.int32()), ("block", pa.string()), ("several", pa.bool_()), ("set_id", pa.int64()))]
             return pa.RecordBatch.from_arrays([*columns, pa.array(roots, pa.int64())], names=["component", "class", "block", "several", "set_id", "root"])
 
@@ -556,10 +556,10 @@ def link_sets(sets: DataFrame, components: DataFrame, bound: Bound) -> DataFrame
     largest = several.groupBy("component", "block", "root").count().groupBy("component", "block").agg(F.max_by("root", F.struct("count", "root")).alias("root"))
     pivots = several.join(largest, ["component", "block", "root"])
     pivots = pivots.withColumn("_i", F.row_number().over(W.partitionBy("component", "block").orderBy("set_id"))).where(F.col("_i") <= PIVOTS).drop("_i")
-    several = materialise(_relabel(several, _cross_links(several, pivots, bound)))
+    several = materialise(_relabel(several, _cross_links(several, pivots, bound, near)))
     largest = several.groupBy("component", "root").count().groupBy("component").agg(F.max_by("root", F.struct("count", "root")).alias("_most"))
     rest = several.join(largest, "component").where(F.col("root") != F.col("_most")).drop("_most")
-    several = _relabel(several, _cross_links(several, rest, bound))
+    several = _relabel(several, _cross_links(several, rest, bound, near))
     return single.unionByName(several.select("set_id", "root"))
 
 

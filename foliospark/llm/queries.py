@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.llm import alignment, decontaminate, divergence, jaccard, licences, media, packing, pages, sharding, suffixes, token_files, toxicity
+from foliospark.llm import alignment, decontaminate, divergence, jaccard, licences, media, packing, pages, setsketch, sharding, suffixes, token_files, toxicity
 from foliospark.llm.licences import TEMPLATES, THRESHOLD, template_bigrams
 
 
@@ -50,6 +50,9 @@ c AS (SELECT a AS doc_id, min(b) AS least FROM r GROUP BY 1)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
 
 
+_NEAR_SQL = f"SELECT *, doc_id = component_id AS kept FROM ({_JACCARD_SQL.replace('>= 85 *', '>= 80 *')})"
+
+
 def queries() -> dict:
     return {
         "op1_page_differencing": pages.op1_page_differencing,
@@ -63,9 +66,10 @@ def queries() -> dict:
         "op9_interleaved_media": media.op9_interleaved_media,
         "op10_licence_dice": licences.op10_licence_dice,
         "op11_cross_tokenizer_alignment": alignment.op11_cross_tokenizer_alignment,
+        "op12_setsketch_near_dedup": setsketch.op12_setsketch_near_dedup,
         "op13_source_divergence": divergence.op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_wu_manber": _CONTAMINATION_SQL, "op8_size_aware_jaccard": _JACCARD_SQL, "op10_licence_dice": _licence_sql(), "op13_source_divergence": divergence.SQL}
+    return {"op5_wu_manber": _CONTAMINATION_SQL, "op8_size_aware_jaccard": _JACCARD_SQL, "op10_licence_dice": _licence_sql(), "op12_setsketch_near_dedup": _NEAR_SQL, "op13_source_divergence": divergence.SQL}
