@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from foliospark.llm import alignment, decontaminate, divergence, jaccard, licences, media, packing, pages, setsketch, sharding, suffixes, token_files, toxicity
-from foliospark.llm.licences import TEMPLATES, THRESHOLD, template_bigrams
+from foliospark.llm.licences import THRESHOLD, all_templates, template_bigrams
 
 
 def _licence_sql() -> str:
-    known = ", ".join("{'id': '%s', 'n': %d, 'bigrams': [%s]}" % (i, len(b), ", ".join(f"'{x}'" for x in b)) for i, t in TEMPLATES if (b := template_bigrams(t)))
+    known = ", ".join("{'id': '%s', 'n': %d, 'bigrams': [%s]}" % (i, len(b), ", ".join(f"'{x}'" for x in b)) for i, t in all_templates() if (b := template_bigrams(t)))
     return rf"""
 WITH normal AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\n]+', ' ', 'g') AS t FROM documents),
 paragraphs AS (SELECT doc_id, t, regexp_split_to_array(t, '\n *\n') AS p FROM normal),
@@ -16,10 +16,11 @@ units AS (SELECT doc_id, list_concat(string_split(t, chr(10)),
     CASE WHEN len(p) > 1 THEN [replace(t, chr(10), ' ')] ELSE [] END) AS u FROM paragraphs),
 words AS (SELECT doc_id, list_filter(list_transform(u, lambda x: list_filter(string_split(x, ' '), lambda w: w <> '')), lambda w: len(w) > 1) AS w FROM units),
 bigrams AS (SELECT doc_id, list_transform(w, lambda x: list_distinct(list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1]))) AS b FROM words),
-pairs AS (SELECT doc_id, unnest(b) AS b FROM bigrams),
-hits AS (SELECT doc_id, k.id AS id, 2.0::DOUBLE * len(list_intersect(b, k.bigrams)) / (len(b) + k.n) AS dice
-    FROM pairs, (SELECT unnest([{known}]) AS k)),
-kept AS (SELECT doc_id, id, dice, max(dice) OVER (PARTITION BY doc_id) AS best FROM hits WHERE dice >= {THRESHOLD}::DOUBLE),
+pairs AS (SELECT row_number() OVER () AS unit, doc_id, b FROM (SELECT doc_id, unnest(b) AS b FROM bigrams)),
+hits AS (SELECT unit, doc_id, k.id AS id, 2.0::DOUBLE * len(list_intersect(b, k.bigrams)) / (len(b) + k.n) AS dice
+    FROM pairs, (SELECT unnest([{known}]) AS k) WHERE 2.0 * least(len(b), k.n) >= {THRESHOLD}::DOUBLE * (len(b) + k.n)),
+likest AS (SELECT * FROM hits WHERE dice >= {THRESHOLD}::DOUBLE QUALIFY dice = max(dice) OVER (PARTITION BY unit)),
+kept AS (SELECT doc_id, id, dice, max(dice) OVER (PARTITION BY doc_id) AS best FROM likest),
 found AS (SELECT doc_id, count(*) AS n_matches, array_to_string(list_sort(list(DISTINCT id)), ',') AS license_ids,
     min(CASE WHEN dice = best THEN id END) AS best_license, round(max(dice), 6) AS best_dice FROM kept GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_matches, 0)::BIGINT AS n_matches, coalesce(license_ids, '') AS license_ids, best_license, best_dice, n_matches IS NOT NULL AS licensed
