@@ -32,13 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from foliospark import files_catalogue, pictures_catalogue  # noqa: F401  add their queries
+    from foliospark import files_catalogue, pictures_catalogue, sources_catalogue  # noqa: F401  add their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from foliospark import files_catalogue, pictures_catalogue  # noqa: F401
+    from foliospark import files_catalogue, pictures_catalogue, sources_catalogue  # noqa: F401
 
     return dict(_SQL)
 

@@ -84,7 +84,7 @@ def label_size(label: Column, cell_w: Column) -> Column:
 
 
 def number_rows(df: DataFrame, order: list, partition: list | None = None, out: str = "rn") -> DataFrame:
-    """1-based numbers; without a partition all rows meet in one task, which suits a book's pages. tables.number_all numbers a corpus."""
+    """1-based numbers by one window: each group of the partition meets in one task. tables.number_groups has no such bound."""
     return df.withColumn(out, F.row_number().over(W.partitionBy(*(partition or [F.lit(0)])).orderBy(*order)))
 
 
@@ -135,11 +135,11 @@ def place_in_slot(df: DataFrame, w: str, h: str, options: TwoUpOptions | None =
     return df.withColumns({"rotated": rotated, "draw_w": F.when(rotated, rw).otherwise(pw), "draw_h": F.when(rotated, rh).otherwise(ph)})
 
 
-def pair_two_up(df: DataFrame, item: str, rn: str = "rn", duplicate: bool = True, partition: list[str] | None = None) -> DataFrame:
-    """Pairs (1, 2), (3, 4), ...; an odd last item stands twice, or alone with an empty right side."""
+def pair_two_up(df: DataFrame, item: str, rn: str = "rn", duplicate: bool = True, partition: list[str] | None = None, none="") -> DataFrame:
+    """Pairs (1, 2), (3, 4), ...; an odd last item stands twice, or alone with `none` on the right side."""
     side = (F.col(rn) - 1) % 2
     pairs = df.groupBy(*(partition or []), F.floor((F.col(rn) - 1) / 2).cast("int").alias("pair")).agg(F.max(F.when(side == 0, F.col(item))).alias("left"), F.max(F.when(side == 1, F.col(item))).alias("right"))
-    return pairs.withColumn("right", F.coalesce("right", F.col("left") if duplicate else F.lit("")))
+    return pairs.withColumn("right", F.coalesce("right", F.col("left") if duplicate else F.lit(none)))
 
 
 def capped_dimensions(w: Column, h: Column, slot_w: float, slot_h: float, dpi: int = 300) -> tuple[Column, Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -109,3 +111,21 @@ def example_blocks(lines: DataFrame, partition: str, order: str, line: str = "li
     description = F.max(F.when(F.col("_head"), tx.trim(F.regexp_replace("_line", "^#+", ""))))
     body = F.sort_array(F.collect_list(F.when(~F.col("_head"), F.struct(F.col(order).alias("o"), F.col("_line").alias("v")))))
     return marked.groupBy(partition, "block").agg(F.coalesce(description, F.lit("")).alias("description"), F.array_join(F.transform(body, lambda x: x["v"]), " ").alias("body"))
+
+
+def visible_nodes(nodes: DataFrame, node: str, parent: str, shown: Column) -> DataFrame:
+    """The nodes (column `node`) of a tree that are shown and all of whose ancestors are; a root has a null parent, and a node whose
+    parent isn't in the table isn't visible. Nodes are distinct. Level by level from the roots, so rounds are as many as the tree is
+    deep; Spark's own bounds on a recursion's rows and levels are lifted in the session."""
+    spark = nodes.sparkSession
+    for bound in ("spark.sql.cteRecursionRowLimit", "spark.sql.cteRecursionLevelLimit"):
+        spark.conf.set(bound, "-1")
+    names = [f"visible_{uuid.uuid4().hex}" for _ in range(2)]
+    kept = nodes.where(shown).select(F.col(node).alias("node"), F.col(parent).alias("parent"))
+    kept.where("parent is null").createOrReplaceTempView(names[0])
+    kept.where("parent is not null").createOrReplaceTempView(names[1])
+    try:
+        return spark.sql(f"WITH RECURSIVE v(node) AS (SELECT node FROM {names[0]} UNION ALL SELECT c.node FROM v JOIN {names[1]} c ON c.parent = v.node) SELECT node AS `{node}` FROM v")
+    finally:
+        for n in names:
+            spark.catalog.dropTempView(n)

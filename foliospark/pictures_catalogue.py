@@ -128,12 +128,6 @@ def archive_folder(spark, sf_dir):
     return found.select(tx.basename(F.col("doc_path")).alias("name"), "text")
 
 
-@register("SELECT unnest(['uva', 'pera', 'maçã verde', '#1', 'kiwi']) AS item")
-def item_args(spark, sf_dir):
-    """Arguments split at commas; no line is a comment here."""
-    return texts.items_of_args(spark, " uva , pera,, ", "maçã verde", ",", "#1,kiwi")
-
-
 def _answer(content: Column) -> Column:
     """A model's response with this text."""
     return F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")))

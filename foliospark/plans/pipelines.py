@@ -14,7 +14,7 @@ from foliospark.plans import options
 from foliospark.sources import archives as ar
 from foliospark.sources import images as im
 from foliospark.sources.models import KeptAnswers
-from foliospark.tables import materialise, write_files
+from foliospark.tables import materialise, number_groups, write_files
 
 DONE, ERROR = "done", "error"
 
@@ -121,9 +121,9 @@ def compile_routines(docs: DataFrame, model, prompt: str = "") -> tuple[DataFram
     return rows, judged.where("error is not null").select("doc_path", "error")
 
 
-def ordered_report(rows: DataFrame) -> DataFrame:
-    """Rows of a report by date, then raw text; a report is one document, so its rows meet in one task."""
-    return layout.number_rows(rows, relational.date_order(F.col("data"), F.col("doc_path"), F.col("seq")))
+def ordered_report(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Rows with rn, their number in their report (each value of `by`, or all rows) by date, then raw text; reports of any length."""
+    return number_groups(rows, by or [], [tx.resilient_date(F.col("data")), "data", "doc_path", "seq"])
 
 
 def reports(rows: DataFrame, *by: str) -> DataFrame:
@@ -149,7 +149,7 @@ def write_report(rows: DataFrame) -> bytes:
 def synthesise_prompts(reply: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """(rn, name, slug, prompt, status) of a model's item list (one row, column reply): numbered anew, slugs made clean and unique."""
     rows = reply.select(F.posexplode(st.prompt_items(F.col("reply"))).alias("pos", "i")).select("pos", "i.*")
-    numbered = layout.number_rows(rows, ["pos"])
+    numbered = rows.withColumn("rn", F.col("pos") + 1)
     made = tx.slug(F.col("rn"), F.coalesce(F.col("name"), F.lit("")))
     return numbered.select("rn", F.coalesce("name", F.lit("")).alias("name"), made.alias("slug"), F.coalesce("prompt", F.lit("")).alias("prompt"), F.lit("pending").alias("status"))
 
@@ -160,7 +160,8 @@ def generate_images(prompts: DataFrame, model, aspect: str = "1:1", fetch=None,
     key = F.sha2(F.concat_ws("|", F.lit(aspect), "prompt"), 256)
     message = F.array(F.struct(F.lit("user").alias("role"), F.array(F.struct(F.lit("text").alias("type"), F.col("prompt").alias("text"))).alias("content")))
     keyed = prompts.withColumn("key", key)
-    replies = KeptAnswers(model, answers).ask(keyed.select("key", st.chat_request(F.lit("image"), message, F.lit(aspect)).alias("body")))
+    place = [F.col("rn").alias("order")] if "rn" in prompts.columns else []  # prompts go out in their order
+    replies = KeptAnswers(model, answers).ask(keyed.select("key", *place, st.chat_request(F.lit("image"), message, F.lit(aspect)).alias("body")))
     reply = st.unwrap_response(F.col("status"), F.col("body"))
     found = resolve_images(replies.select("key", reply["image"].alias("image"), reply["error"].alias("error")), fetch)
     keep = [c for c in prompts.columns if c not in ("status", "content", "format", "error")]
@@ -181,11 +182,11 @@ def save_generated(items: DataFrame, folder: str) -> DataFrame:
     return named.withColumn("path", F.concat(F.lit(folder.rstrip("/") + "/"), "_name")).drop("_name")
 
 
-def lay_out_cards(items: DataFrame, name: str = "path", columns: int = 2, rows: int = 3, uppercase: bool = True) -> DataFrame:
-    """Cells of a card sheet in natural order of file names."""
+def lay_out_cards(items: DataFrame, name: str = "path", columns: int = 2, rows: int = 3, uppercase: bool = True, by: list[str] | None = None) -> DataFrame:
+    """Cells of the card sheets of each value of `by` (or of one) in natural order of file names, then of whole names."""
     options.check_grid(columns, rows)
     label = tx.card_label(F.col(name))
-    numbered = layout.number_rows(items, [tx.natural_key(tx.basename(F.col(name)))])
+    numbered = number_groups(items, by or [], [tx.natural_key(tx.basename(F.col(name))), name])
     return layout.card_cells(numbered, columns=columns, rows=rows).withColumn("label", tx.upper_label(label) if uppercase else label)
 
 
@@ -197,11 +198,11 @@ def cards_html(cells: DataFrame, title: str = "", columns: int = 2, by: list[str
     return pages.select(*by, "page", F.concat(F.lit(f'<section style="grid-template-columns:repeat({columns},1fr)"><h1>'), tx.html_escape(F.lit(title)), F.lit("</h1>"), "_cards", F.lit("</section>")).alias("html"))
 
 
-def lay_out_two_up(images: DataFrame, options_: layout.TwoUpOptions | None = None) -> DataFrame:
-    """(pair, side, path, rotated, draw_w, draw_h) of images (path, width, height) two a page, in natural order."""
-    o = (options_ or layout.TwoUpOptions()).settled()
-    numbered = layout.number_rows(images.select("path", "width", "height"), [tx.natural_key(tx.basename(F.col("path"))), "path"])
-    pairs = layout.pair_two_up(numbered, "path", duplicate=o.duplicate)
-    sides = pairs.select("pair", F.posexplode(F.array("left", "right")).alias("side", "path")).where(F.col("path") != "")
-    placed = sides.join(images.select("path", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height")).dropDuplicates(["path"]), "path", "left")
+def lay_out_two_up(images: DataFrame, options_: layout.TwoUpOptions | None = None, by: list[str] | None = None) -> DataFrame:
+    """(by, pair, side, path, rotated, draw_w, draw_h) of images (by, path, width, height) two a page, in natural order in each book."""
+    o, by = (options_ or layout.TwoUpOptions()).settled(), by or []
+    numbered = number_groups(images.select(*by, "path", "width", "height"), by, [tx.natural_key(tx.basename(F.col("path"))), "path"])
+    pairs = layout.pair_two_up(numbered.withColumn("_image", F.struct("path", "width", "height")), "_image", duplicate=o.duplicate, partition=by, none=None)
+    sides = pairs.select(*by, "pair", F.posexplode(F.array("left", "right")).alias("side", "_i")).where(F.col("_i.path") != "")
+    placed = sides.select(*by, "pair", "side", F.col("_i.path").alias("path"), *(F.col(f"_i.{c}").cast("double").alias(c) for c in ("width", "height")))
     return layout.place_in_slot(placed, "width", "height", o)

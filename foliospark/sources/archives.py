@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import posixpath
 import re
+import warnings
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -112,27 +113,42 @@ def write_archive(entries: list[tuple[str, bytes]]) -> bytes:
     return out.getvalue()
 
 
+def rebuild_archive(data: bytes, swaps: dict[str, bytes]) -> tuple[bytes, int]:
+    """(archive, entries replaced): every entry in its place, with its name, date, attributes, comment and method; entries of a listed
+    name get its content, the others keep their own, those that share a name each theirs."""
+    out, count = io.BytesIO(), 0
+    with zipfile.ZipFile(io.BytesIO(data)) as old, zipfile.ZipFile(out, "w") as new:
+        new.comment = old.comment
+        for info in old.infolist():
+            kept = zipfile.ZipInfo(info.filename, info.date_time)
+            for field in ("compress_type", "comment", "external_attr", "internal_attr", "create_system", "extra"):
+                setattr(kept, field, getattr(info, field))
+            replaced = info.filename in swaps
+            count += replaced
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore", UserWarning)  # a name that comes twice is meant
+                new.writestr(kept, swaps[info.filename] if replaced else old.read(info))
+    return out.getvalue(), count
+
+
 def rebuild_archives(archives: DataFrame, replacements: DataFrame) -> DataFrame:
     """(doc_path, archive, replaced, error): each archive with the replacement contents (doc_path, path_in_zip, new_content) put in.
 
-    Replacements are grouped by archive, which bounds a group by one archive's size; archives without any have a null archive, and so
-    have those that can't be read, with an error.
+    Replacements are grouped by archive, which bounds a group by one archive's size; archives of which no entry is listed have a null
+    archive, and so have those that can't be read, with an error.
     """
     grouped = replacements.groupBy("doc_path").agg(F.collect_list(F.struct("path_in_zip", "new_content")).alias("new"))
 
     def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for path, data, new in zip(batch["doc_path"], batch["archive"], batch["new"], strict=True):
                 swaps = {r["path_in_zip"]: bytes(r["new_content"]) for r in new} if new is not None else {}
                 try:
-                    with zipfile.ZipFile(io.BytesIO(data)) as z:
-                        names = z.namelist()
-                        count = sum(n in swaps for n in names)
-                        rows.append((path, write_archive([(n, swaps[n] if n in swaps else z.read(n)) for n in names]) if count else None, count, None))
+                    made, count = rebuild_archive(data, swaps)
+                    row = (path, made if count else None, count, None)
                 except UNREADABLE as e:
-                    rows.append((path, None, 0, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["doc_path", "archive", "replaced", "error"])
+                    row = (path, None, 0, f"{type(e).__name__}: {e}")
+                yield pd.DataFrame([row], columns=["doc_path", "archive", "replaced", "error"])
 
     return archives.join(grouped, "doc_path", "left").select("doc_path", "archive", "new").mapInPandas(rebuild, "doc_path string, archive binary, replaced int, error string")
 

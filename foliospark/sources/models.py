@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 import time
 import urllib.error
@@ -10,11 +11,12 @@ import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.operators import layout
-from foliospark.tables import path_exists, shared_dir
+from foliospark.tables import materialise, number_all, path_exists, shared_dir
 
 ANSWERS = "key string, status int, body string"
 FILES = "url string, status int, content binary, content_type string"
@@ -53,10 +55,53 @@ def _tried(call: urllib.request.Request, timeout: float, tries: int) -> tuple[in
     return status, body, kind
 
 
+def next_start(now: float, began: float, worker: int, workers: int, delay: float) -> float:
+    """When a worker may start its next request: the first of its own moments, began + (worker + k * workers) * delay, that is not past.
+
+    The moments of different workers lie `delay` or more apart, so requests of all of them do, also of workers that are behind.
+    """
+    if delay <= 0:
+        return now
+    turn = workers * delay
+    return began + worker * delay + max(0, math.ceil((now - began - worker * delay) / turn - 1e-9)) * turn
+
+
+def dispatched(requests: DataFrame, order: list[str], workers: int, delay_ms: int, call: Callable[[dict], tuple], schema: str) -> DataFrame:
+    """call(row) of each request from `workers` tasks that run at once, no two starts within delay_ms anywhere; written before it is used.
+
+    The requests are numbered in their order; request i falls to worker i % workers, which keeps its order. The workers are one barrier
+    stage: they agree on the moment from which their starts are counted, and if one is lost all begin anew. A cluster with fewer task
+    slots than workers gets as many workers as it has.
+    """
+    spark = requests.sparkSession
+    workers = max(1, min(workers, spark.sparkContext.defaultParallelism))
+    columns = [f.strip().split()[0] for f in schema.split(",")]
+    numbered = number_all(requests, order, "_place").withColumn("_worker", ((F.col("_place") - 1) % workers).cast("int"))
+    delay = delay_ms / 1000
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        context = BarrierTaskContext.get()
+        began = max(map(float, context.allGather(repr(time.time()))))
+        worker = context.partitionId()
+        started = None
+        for batch in batches:
+            rows = []
+            for row in batch.to_dict("records"):
+                earliest = time.time() if started is None else max(time.time(), started + delay)
+                started = next_start(earliest, began, worker, workers, delay)
+                time.sleep(max(0.0, started - time.time()))
+                rows.append(call(row))
+            yield pd.DataFrame(rows, columns=columns)
+
+    dealt = numbered.repartitionById(workers, "_worker").sortWithinPartitions("_place").drop("_worker", "_place")
+    return materialise(dealt.mapInPandas(run, schema, barrier=True))
+
+
 class HttpAdapter:
     """Posts each request's JSON (key, body) from the executors, spaced and retried; the secret stays out of every column.
 
-    Workers and spacing follow the dispatch policy for the number of requests, unless the user names a number of workers.
+    Workers and spacing follow the dispatch policy for the number of requests, unless the user names a number of workers. Requests
+    start in the order of their column `order`, if they have one, else of their keys, spaced over all workers (see dispatched).
     """
 
     def __init__(self, endpoint: str, secret: Callable[[], str], workers: int = 0, tries: int = TRIES, timeout: float = 120.0):
@@ -64,21 +109,17 @@ class HttpAdapter:
 
     def ask(self, requests: DataFrame) -> DataFrame:
         endpoint, secret, tries, timeout = self.endpoint, self.secret, self.tries, self.timeout
+        order = ["order", "key"] if "order" in requests.columns else ["key"]
+        requests = materialise(requests.select(*dict.fromkeys([*order, "key", "body"])))
         policy = layout.dispatch_policy(F.lit(requests.count()), F.lit(self.workers))
         workers, delay_ms = requests.sparkSession.range(1).select(policy.alias("p")).select("p.*").first()
 
-        def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            key = secret()
-            for batch in batches:
-                rows = []
-                for name, body in zip(batch["key"], batch["body"], strict=True):
-                    call = urllib.request.Request(endpoint, body.encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
-                    status, answer, _ = _tried(call, timeout, tries)
-                    rows.append((name, status, answer.decode(errors="replace")))
-                    time.sleep(delay_ms / 1000)
-                yield pd.DataFrame(rows, columns=["key", "status", "body"])
+        def post(row: dict) -> tuple:
+            headers = {"Content-Type": "application/json", "Authorization": f"Bearer {secret()}"}
+            status, answer, _ = _tried(urllib.request.Request(endpoint, row["body"].encode(), headers), timeout, tries)
+            return row["key"], status, answer.decode(errors="replace")
 
-        return requests.select("key", "body").repartition(max(1, workers), "key").mapInPandas(post, ANSWERS)
+        return dispatched(requests, order, workers, delay_ms, post, ANSWERS)
 
 
 class KeptAnswers:
@@ -95,8 +136,9 @@ class KeptAnswers:
     def ask(self, requests: DataFrame) -> DataFrame:
         spark = requests.sparkSession
         self.path = self.path or shared_dir(spark)
-        requests = requests.dropDuplicates(["key"])
-        missing = requests
+        if "order" in requests.columns:
+            requests = requests.groupBy("key").agg(F.min("order").alias("order"), F.min_by("body", "order").alias("body"))
+        requests = missing = requests.dropDuplicates(["key"])
         if path_exists(spark, self.path):
             missing = requests.join(self._kept(spark).where("status = 200").select("key"), "key", "left_anti")
         self.adapter.ask(missing).select("key", F.col("status").cast("int").alias("status"), "body", F.current_timestamp().alias("at")).write.mode("append").parquet(self.path)

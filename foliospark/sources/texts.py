@@ -18,8 +18,13 @@ def items_of_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.where((bare != "") & ~bare.startswith("#")).select(F.explode(tx.split_items(bare)).alias("item"))
 
 
+def items_of_arg_rows(rows: DataFrame, value: str = "value") -> DataFrame:
+    """The other columns and each item of arguments that commas part; none is a comment."""
+    return rows.select(*(c for c in rows.columns if c != value), F.explode(tx.split_items(F.col(value))).alias("item"))
+
+
 def items_of_args(spark: SparkSession, *args: str) -> DataFrame:
-    return spark.createDataFrame([(a,) for a in args], "value string").select(F.explode(tx.split_items(F.col("value"))).alias("item"))
+    return items_of_arg_rows(spark.createDataFrame([(a,) for a in args], "value string"))
 
 
 def read_settings(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The cascade and running progress over streams: extensions, for files that keep arriving."""
+"""The cascade over streams, an extension for files that keep arriving; running progress is in progress.py."""
 
 from __future__ import annotations
 

@@ -56,40 +56,47 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def number_all(df: DataFrame, order: list, out: str = "rn") -> DataFrame:
-    """1-based numbers over a whole table without bringing it into one task.
+def _placed(df: DataFrame, order: list) -> DataFrame:
+    """df with _place (long), the 0-based place of each row in the order, nulls last.
 
-    Rows are dealt by ranges of the order, numbered inside a range and moved by the counts of the ranges before (one row a range, as
-    many as shuffle partitions, so they may be broadcast). The order should end in a key: rows equal in it share a range.
+    One shuffle: rows are dealt by ranges of the order and sorted inside; a row's id holds its range and its place there, to which the
+    sizes of the ranges before are added (one row a range, as many as shuffle partitions, so they may be broadcast). Rows equal in the
+    whole order share a range, so it should end in a key.
     """
     spark = df.sparkSession
     names = [f"_o{i}" for i in range(len(order))]
     keyed = df.withColumns({n: (F.col(o) if isinstance(o, str) else o) for n, o in zip(names, order, strict=True)})
-    ranged = keyed.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), *[F.col(n).asc_nulls_last() for n in names])
-    ranged = materialise(ranged.withColumn("_range", F.spark_partition_id()))
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    by = [F.col(n).asc_nulls_last() for n in names]
+    ranged = keyed.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by).sortWithinPartitions(*by)
+    ranged = materialise(ranged.drop(*names).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    counts = ranged.groupBy(part.alias("_range")).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(counts.select(F.col("_range").alias("_r"), before.alias("_before")))
-    inside = W.partitionBy("_range").orderBy(*[F.col(n).asc_nulls_last() for n in names])
-    numbered = ranged.withColumn("_in", F.row_number().over(inside)).join(starts, F.col("_range") == F.col("_r"))
-    return numbered.select(*df.columns, (F.col("_before") + F.col("_in")).cast("int" if out == "rn" else "long").alias(out))
+    starts = F.broadcast(counts.select("_range", before.alias("_before")))
+    return ranged.join(starts, part == F.col("_range")).withColumn("_place", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_range", "_before")
+
+
+def number_all(df: DataFrame, order: list, out: str = "rn") -> DataFrame:
+    """1-based numbers (long) over a whole table without bringing it into one task; see _placed."""
+    return _placed(df, order).select(*df.columns, (F.col("_place") + 1).alias(out))
+
+
+def number_groups(df: DataFrame, by: list[str], order: list, out: str = "rn") -> DataFrame:
+    """1-based numbers (long) inside each group of `by`, of any size: the groups stand one after another in the order of a whole table,
+    so that a row's number is its place less that of its group's first row. That place is one small row a group, combined before the
+    shuffle; a group that holds most of the rows is dealt over many ranges and not gathered. Null counts as a group of its own."""
+    if not by:
+        return number_all(df, order, out)
+    placed = materialise(_placed(df, [*by, *order]))
+    key = F.struct(*[F.col(b).alias(f"k{i}") for i, b in enumerate(by)])
+    firsts = placed.groupBy(key.alias("_key")).agg(F.min("_place").alias("_first"))
+    joined = placed.withColumn("_group", key).join(firsts, F.col("_group").eqNullSafe(F.col("_key")))
+    return joined.select(*df.columns, (F.col("_place") - F.col("_first") + 1).alias(out))
 
 
 def write_files(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> None:
-    """Each row's bytes as one file of a folder: a path, or the URI of any file system that pyarrow opens (hdfs, s3, file). Executors and
-    readers must share it; a repeated task writes the same files again; null contents are left out."""
-    from pyarrow import fs
-
-    def place() -> tuple:
-        where, path = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
-        where.create_dir(path, recursive=True)
-        return where, path
-
-    def write(part) -> None:
-        where, path = place()
-        for row in part:
-            with where.open_output_stream(f"{path}/{row[0].replace(chr(92), '/').rsplit('/', 1)[-1]}") as f:
-                f.write(bytes(row[1]))
-
-    place()
-    rows.select(name, content).where(F.col(content).isNotNull()).foreachPartition(write)
+    """Each row's bytes as one file of a folder (a path, or the URI of any file system that pyarrow opens), which executors and readers
+    share: all files or none, sub-folders in names kept, null contents left out. See sources.files."""
+    from foliospark.sources.files import write_folder
+
+    write_folder(rows, folder, name, content)
