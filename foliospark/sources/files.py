@@ -55,7 +55,7 @@ class FileSink(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> FileWriter:
         if [f.dataType.typeName() for f in schema] != ["string", "binary"]:
             raise ValueError("the sink takes two columns: a name (string) and a content (binary)")
-        return FileWriter(self.options["path"], uuid.uuid4().hex, overwrite)
+        return FileWriter(self.options["path"], uuid.uuid4().hex, overwrite, self.options.get("joined") == "true")
 
 
 class FileWriter(DataSourceArrowWriter):
@@ -63,8 +63,8 @@ class FileWriter(DataSourceArrowWriter):
     names, and if any fails for good, none does. Null contents are left out; of rows of one name in a task the last wins, of several
     tasks' any one. A retried or doubled task leaves nothing, since the attempts' folders go at the end."""
 
-    def __init__(self, folder: str, job: str, overwrite: bool):
-        self.folder, self.job, self.overwrite = folder, job, overwrite
+    def __init__(self, folder: str, job: str, overwrite: bool, joined: bool = False):
+        self.folder, self.job, self.overwrite, self.joined = folder, job, overwrite, joined
 
     def _staging(self, path: str) -> str:
         return f"{path.rstrip('/')}/.attempts-{self.job}"
@@ -74,18 +74,25 @@ class FileWriter(DataSourceArrowWriter):
         own = f"{self._staging(path)}/{uuid.uuid4().hex}"
         names: dict[str, None] = {}
         made: set[str] = set()
-        for batch in iterator:
-            for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                if not content.is_valid or not name.is_valid or not safe_name(name.as_py()):
-                    continue
-                target = f"{own}/{safe_name(name.as_py())}"
-                parent = posixpath.dirname(target)
-                if parent not in made:
-                    where.create_dir(parent, recursive=True)
-                    made.add(parent)
-                with where.open_output_stream(target) as f:
-                    f.write(content.as_buffer())
-                names[safe_name(name.as_py())] = None
+        at, file = None, None
+        try:
+            for batch in iterator:
+                for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                    if not content.is_valid or not name.is_valid or not (plain := safe_name(name.as_py())):
+                        continue
+                    if not (self.joined and plain == at):
+                        if file is not None:
+                            file.close()
+                        target = f"{own}/{plain}"
+                        if (parent := posixpath.dirname(target)) not in made:
+                            where.create_dir(parent, recursive=True)
+                            made.add(parent)
+                        at, file = plain, where.open_output_stream(target)
+                        names[plain] = None
+                    file.write(content.as_buffer())
+        finally:
+            if file is not None:
+                file.close()
         return Written(own, list(names))
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -117,11 +124,12 @@ class FileWriter(DataSourceArrowWriter):
             where.delete_dir(staging)
 
 
-def write_folder(rows: DataFrame, folder: str, name: str = "name", content: str = "content", overwrite: bool = False) -> None:
-    """Each row's bytes as one file of a folder, sub-folders in its name kept; all files or, if the job fails, none."""
+def write_folder(rows: DataFrame, folder: str, name: str = "name", content: str = "content", overwrite: bool = False, joined: bool = False) -> None:
+    """Each row's bytes as one file of a folder, sub-folders in its name kept; all files or, if the job fails, none. joined: rows of one
+    name that follow one another in a task are one file, written as they come."""
     spark = rows.sparkSession
     spark.dataSource.register(FileSink)
-    rows.selectExpr(f"CAST(`{name}` AS string) AS name", f"CAST(`{content}` AS binary) AS content").write.format(SINK).mode("overwrite" if overwrite else "append").save(folder)
+    rows.selectExpr(f"CAST(`{name}` AS string) AS name", f"CAST(`{content}` AS binary) AS content").write.format(SINK).mode("overwrite" if overwrite else "append").option("joined", str(joined).lower()).save(folder)
 
 
 # --- source -----------------------------------------------------------------------------------------------------------------------

@@ -160,12 +160,13 @@ def resize_to_match(rows: DataFrame, original: str, new: str, out: str = "resize
     return made.select(*[c for c in rows.columns if c != out], F.when(differs, F.col("_made")).when(known, F.col(new)).alias(out))
 
 
-def cap_resolution(rows: DataFrame, content: str, slot_w: float, slot_h: float, dpi: int = 300, out: str = "capped") -> DataFrame:
-    """Pictures with more pixels than a slot takes at `dpi` made smaller, as PNG; others, and undecodable ones, as they are."""
-    most_w, most_h = int(slot_w / 25.4 * dpi), int(slot_h / 25.4 * dpi)
-    sized = rows.withColumn("_size", header_size(F.col(content)))
+def cap_resolution(rows: DataFrame, content: str, slot_w: Column | float, slot_h: Column | float, dpi: int = 300, out: str = "capped") -> DataFrame:
+    """Pictures with more pixels than their place (millimetres; numbers, or columns) takes at `dpi` made smaller, as PNG; others, and
+    undecodable ones, as they are."""
+    most_w, most_h = ((F.lit(x) / 25.4 * dpi).cast("int") for x in (slot_w, slot_h))
+    sized = rows.withColumns({"_size": header_size(F.col(content)), "_most_w": most_w, "_most_h": most_h})
     w, h = F.col("_size.width"), F.col("_size.height")
-    scale = F.least(F.lit(float(most_w)) / w, F.lit(float(most_h)) / h)
-    over = F.coalesce((w > most_w) | (h > most_h), F.lit(False))
+    scale = F.least(F.col("_most_w").cast("double") / w, F.col("_most_h").cast("double") / h)
+    over = F.coalesce((w > F.col("_most_w")) | (h > F.col("_most_h")), F.lit(False))
     made = _resize(sized, content, F.greatest(F.lit(1), (w * scale).cast("int")), F.greatest(F.lit(1), (h * scale).cast("int")), over)
     return made.select(*[c for c in rows.columns if c != out], F.coalesce(F.when(over, F.col("_made")), F.col(content)).alias(out))

@@ -6,16 +6,18 @@ import io
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.catalogue import register, table
 from foliospark.functions import text as tx
-from foliospark.operators import relational
-from foliospark.plans import pipelines
+from foliospark.operators import layout, relational
+from foliospark.plans import pipelines, printing
 from foliospark.sources import archives as ar
 from foliospark.sources import files, texts
+from foliospark.sources import images as im
 from foliospark.streaming import cascade, progress
 from foliospark.tables import number_groups, shared_dir
 
@@ -156,3 +158,56 @@ def visible_pages(spark, sf_dir):
     shown = relational.visible_nodes(nodes, "node", "parent", ~F.col("hidden")).withColumn("_shown", F.lit(True))
     joined = pages.join(shown, F.array_join("steps", "/") == F.col("node"), "left")
     return joined.select("page_id", F.coalesce("_shown", F.lit(False)).alias("visible"))
+
+
+def _drawn_at(books: DataFrame, key: str, pattern: str) -> DataFrame:
+    """key and the groups of each place where an uncompressed content stream of a book has the pattern."""
+    found = F.regexp_extract_all(F.decode("pdf", "ISO-8859-1"), F.lit(pattern), 0)
+    return books.select(key, F.posexplode(found).alias("n", "_m"))
+
+
+@register(r"""
+WITH n AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
+t AS (SELECT DISTINCT p_brand, i // 6 AS page, 'Pág. ' || (i // 6 + 1) || ' / ' || ((n + 5) // 6) AS text, 'page' AS kind FROM n),
+l AS (SELECT p_brand, i // 6 AS page, 'K' || p_partkey AS text, 'label' AS kind FROM n)
+SELECT p_brand, kind, text, count(*) AS n FROM (SELECT * FROM t UNION ALL SELECT * FROM l UNION ALL SELECT p_brand, page, 'Sheet (' || p_brand || ')', 'title' FROM (SELECT DISTINCT p_brand, page FROM t)) GROUP BY ALL""")
+def sheet_texts(spark, sf_dir):
+    """Card sheets of each brand written as files page by page; titles, page labels and card labels read back from them. All books have
+    one title; its word TITLE becomes the brand afterwards."""
+    items = table(spark, sf_dir, "part").select("p_brand", F.concat(F.lit("k"), F.col("p_partkey"), F.lit(".png")).alias("path"))
+    cells = pipelines.lay_out_cards(items, by=["p_brand"]).withColumn("content", F.lit(None).cast("binary"))
+    folder = shared_dir(spark)
+    printing.write_documents(printing.card_sheets(cells, ["p_brand"], title="Sheet (TITLE)"), ["p_brand"], folder, F.concat("p_brand", F.lit(".pdf")))
+    books = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"([^/]*)\.pdf$", 1).alias("p_brand"), F.col("content").alias("pdf"))
+    books = books.withColumn("p_brand", F.url_decode("p_brand"))
+    drawn = _drawn_at(books, "p_brand", r"BT /F[12] [0-9.]+ Tf [0-9. ]+ rg [0-9. ]+ Td \((?:[^()\\]|\\.)*\) Tj\sET")
+    text = F.regexp_replace(F.regexp_extract("_m", r"Td \((.*)\) Tj", 1), r"\\([()\\])", "$1")
+    kind = F.when(F.col("_m").startswith("BT /F2"), "page").when(F.col("_m").contains(" Tj\n"), "title").otherwise("label")
+    return drawn.select("p_brand", kind.alias("kind"), F.replace(text, F.lit("TITLE"), F.col("p_brand")).alias("text")).groupBy("p_brand", "kind", "text").agg(F.count("*").alias("n"))
+
+
+@register(r"""
+WITH d AS (SELECT s_nationkey, s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 400 ELSE 100 END AS w, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i, count(*) OVER (PARTITION BY s_nationkey) AS c FROM supplier),
+o AS (SELECT *, i % 2 AS side FROM d UNION ALL SELECT *, 1 FROM d WHERE i = c - 1 AND c % 2 = 1),
+p AS (SELECT *, 100.0::DOUBLE AS dw, 200.0::DOUBLE AS dh FROM o)
+SELECT s_nationkey, i // 2 AS page, side, w = 400 AS rotated, round((side * 148.5 + 5 + (138.5 - dw) / 2) * 72 / 25.4, 1) AS x, round(5 * 72 / 25.4, 1) AS y, round(dw * 72 / 25.4, 1) AS seen_w, round(dh * 72 / 25.4, 1) AS seen_h,
+  floor(w * least(floor(dw / 25.4 * 20) / w, floor(dh / 25.4 * 20) / 200) + 1e-9)::BIGINT AS pixels_w
+FROM p""")
+def pair_places(spark, sf_dir):
+    """Two-up books of each nation at 20 points an inch: where pictures stand, how large, turned or not, and with how many pixels."""
+    k = F.col("s_suppkey")
+    wide, tall = (F.lit(im.png_bytes(np.full((200, w, 3), 90, np.uint8))) for w in (400, 100))
+    images = table(spark, sf_dir, "supplier").select("s_nationkey", F.concat(F.lit("i"), k, F.lit(".png")).alias("path"), F.when(k % 2 == 0, 400).otherwise(100).alias("width"), F.lit(200).alias("height"))
+    options = layout.TwoUpOptions(max_dpi=20)
+    placed = pipelines.lay_out_two_up(images, options, by=["s_nationkey"]).withColumn("content", F.when(F.col("width") == 400, wide).otherwise(tall))
+    books = printing.two_up_pdf(placed, ["s_nationkey"], options)
+    number = r"(-?[0-9.]+)"
+    drawn = _drawn_at(books, "s_nationkey", rf"q {number} {number} {number} {number} {number} {number} cm /I(\d+) Do Q")
+    of = lambda i, t="double": F.regexp_extract("_m", rf"q {number} {number} {number} {number} {number} {number} cm /I(\d+) Do", i).cast(t)
+    turned = of(1) == 0
+    drawn = drawn.select("s_nationkey", turned.alias("rotated"), F.when(turned, -of(3)).otherwise(of(1)).alias("seen_w"), F.when(turned, of(2)).otherwise(of(4)).alias("seen_h"), F.when(turned, of(5) + of(3)).otherwise(of(5)).alias("x"), of(6).alias("y"), of(7, "int").alias("object"))
+    sizes = _drawn_at(books, "s_nationkey", r"(\d+) 0 obj\n<</Type/XObject/Subtype/Image/Width (\d+)").select("s_nationkey", F.regexp_extract("_m", r"^(\d+)", 1).cast("int").alias("object"), F.regexp_extract("_m", r"Width (\d+)", 1).cast("long").alias("pixels_w"))
+    both = drawn.join(sizes, ["s_nationkey", "object"])
+    place = F.col("object") - printing.FIRST_ID  # a page has four objects: itself, its content, two pictures
+    rounded = [F.round(c, 1).alias(c) for c in ("x", "y", "seen_w", "seen_h")]
+    return both.select("s_nationkey", F.floor(place / 4).alias("page"), (place % 4 - 2).cast("long").alias("side"), "rotated", *rounded, "pixels_w")
