@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from foliospark.catalogue import register, table
 from foliospark.functions import text as tx
 from foliospark.operators import layout, relational
+from foliospark.operators import search as indexed
 from foliospark.plans import pipelines, printing
 from foliospark.sources import archives as ar
 from foliospark.sources import files, texts
@@ -211,3 +212,11 @@ def pair_places(spark, sf_dir):
     place = F.col("object") - printing.FIRST_ID  # a page has four objects: itself, its content, two pictures
     rounded = [F.round(c, 1).alias(c) for c in ("x", "y", "seen_w", "seen_h")]
     return both.select("s_nationkey", F.floor(place / 4).alias("page"), (place % 4 - 2).cast("long").alias("side"), "rotated", *rounded, "pixels_w")
+
+
+@register("SELECT doc_id, n_chars FROM documents WHERE contains(lower(concat_ws(' ', lang, source, text)), 'src1 the')")
+def indexed_search(spark, sf_dir):
+    """The rows that search() finds, by an index of the documents' trigrams."""
+    docs, folder = table(spark, sf_dir, "documents"), shared_dir(spark)
+    indexed.write_index(docs, folder, "doc_id", "lang", "source", "text")
+    return indexed.search_indexed(docs, folder, "doc_id", " SRC1 The ", "lang", "source", "text").select("doc_id", "n_chars")
