@@ -9,6 +9,7 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark import BarrierTaskContext
@@ -21,6 +22,9 @@ from foliospark.tables import materialise, number_all, path_exists, shared_dir
 ANSWERS = "key string, status int, body string"
 FILES = "url string, status int, content binary, content_type string"
 TRIES, WAIT_MS, JITTER_MS = 3, 1200, 400
+#: From the moment at which the last worker is ready to the first start, so that none misses its first turn: a task asks about once a
+#: second whether the others are there.
+LEAD_MS = 1500
 
 
 def wait_ms(attempt, jitter):
@@ -81,10 +85,11 @@ def dispatched(requests: DataFrame, order: list[str], workers: int, delay_ms: in
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context = BarrierTaskContext.get()
-        began = max(map(float, context.allGather(repr(time.time()))))
+        first = next(batches, None)  # at hand before the starts are counted
+        began = max(map(float, context.allGather(repr(time.time())))) + (LEAD_MS / 1000 if delay else 0)
         worker = context.partitionId()
         started = None
-        for batch in batches:
+        for batch in chain([] if first is None else [first], batches):
             rows = []
             for row in batch.to_dict("records"):
                 earliest = time.time() if started is None else max(time.time(), started + delay)

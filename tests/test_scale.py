@@ -87,7 +87,8 @@ def test_requests_are_spaced_over_all_workers(spark, server, n, user, delay):
     answers = models.KeptAnswers(adapter).ask(requests)
     assert answers.count() == n and {r.status for r in answers.collect()} == {200} and len(starts) == n  # each asked once, however often read
     gaps = [b[0] - a[0] for a, b in zip(sorted(starts), sorted(starts)[1:], strict=False)]
-    assert all(g > delay - 0.08 for g in gaps)
+    assert all(g >= delay / 4 for g in gaps)  # the server sees a start later by the time that a connection takes, a worker's first most
+    assert sum(gaps) > (n - 1) * delay - 0.3
     if delay and not user:
         assert max(gaps) < 2.5  # and no longer than a worker's turns
         first = [int(b) for _, b in sorted(starts)][:3]
