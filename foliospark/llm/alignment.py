@@ -180,11 +180,31 @@ def tokenise(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id",
 #: places[i], so places[i] - i tokens of b end before it does; it ends a group if an end of b at the same offset follows.
 _MERGED = "sort_array(concat(transform(a_ends, e -> 2 * e), transform(b_ends, e -> 2 * e + 1)))"
 _PLACES = "filter(sequence(0, size(merged) - 1), k -> merged[k] % 2 = 0)"
+#: A pair of token numbers, of a and b, is one long; cuts are the last tokens of each group, steps how many tokens a group has.
+_ONE_EACH = PAIR_BASE + 1
+_CUTS = f"filter(transform(places, (k, i) -> IF(merged[k + 1] = merged[k] + 1, i * {PAIR_BASE}L + (k - i), NULL)), c -> c IS NOT NULL)"
+_STEPS = f"zip_with(cuts, concat(array(-{_ONE_EACH}L), slice(cuts, 1, size(cuts) - 1)), (c, p) -> c - p)"
+#: Each token of a is linked with the token of b that its last byte is in. Where a group is more than one token of each, a token of a is
+#: also linked with those of b from the one its first byte is in.
+_LAST = f"transform(places, (k, i) -> a[i] * {PAIR_BASE}L + b[k - i])"
 _FIRST = "IF(i = 0, 0, places[i - 1] - i + 1 + IF(merged[places[i - 1] + 1] = merged[places[i - 1]] + 1, 1, 0))"
-_LINKS = f"flatten(transform(places, (k, i) -> transform(sequence({_FIRST}, k - i), j -> a[i] * {PAIR_BASE}L + b[j])))"
-_IDS_A = "array_join(transform(places, (k, i) -> concat(CAST(a[i] AS string), IF(merged[k + 1] = merged[k] + 1, ';', ','))), '')"
-_PLACES_B = "filter(sequence(0, size(merged) - 1), k -> merged[k] % 2 = 1)"
-_IDS_B = f"array_join(transform({_PLACES_B}, (k, j) -> concat(CAST(b[j] AS string), IF(k > 0, IF(merged[k - 1] = merged[k] - 1, ';', ','), ','))), '')"
+_EARLIER = f"transform(slice(b, {_FIRST} + 1, places[i] - i - {_FIRST}), y -> a[i] * {PAIR_BASE}L + y)"
+
+
+def _number(of: str, pair: str) -> str:
+    """The token number (or count) of a or b in such a pair."""
+    return f"CAST(shiftright({pair}, 32) AS int)" if of == "a" else f"CAST({pair} & {PAIR_BASE - 1}L AS int)"
+
+
+def _run(ids: str) -> str:
+    """The ids of the group that ends with cut c and has d tokens, comma-joined."""
+    return f"array_join(CAST(slice({ids}, {_number(ids, 'c')} - {_number(ids, 'd')} + 2, {_number(ids, 'd')}) AS array<string>), ',')"
+
+
+_WIDE = f"filter(zip_with(cuts, steps, (c, d) -> IF(d = {_ONE_EACH}L, NULL, struct(c, d))), g -> g IS NOT NULL)"
+_REST = f"flatten(transform({_WIDE}, g -> flatten(transform(sequence({_number('a', 'g.c')} - {_number('a', 'g.d')} + 1, {_number('a', 'g.c')}), i -> {_EARLIER}))))"
+_SINGLE = f"concat(CAST(a[{_number('a', 'c')}] AS string), '|', CAST(b[{_number('b', 'c')}] AS string))"
+_GROUPS = f"zip_with(cuts, steps, (c, d) -> IF(d = {_ONE_EACH}L, {_SINGLE}, concat({_run('a')}, '|', {_run('b')})))"
 
 
 def _let(name: str, value: str, result: str) -> str:
@@ -192,11 +212,6 @@ def _let(name: str, value: str, result: str) -> str:
     return f"transform(array({value}), {name} -> {result})[0]"
 
 
-def _groups(ids: str) -> str:
-    """Each group's ids from those of all tokens with ; after the last of a group and , after the others."""
-    return f"filter(split({ids}, ';'), x -> x <> '')"
-
-
 def align(tokens: DataFrame) -> DataFrame:
     """The tokens' table with n_groups, groups ("a1,a2|b1" for each) and links (a's id * PAIR_BASE + b's id of each linked pair).
 
@@ -204,9 +219,11 @@ def align(tokens: DataFrame) -> DataFrame:
     into groups; a link is a pair of tokens whose byte ranges overlap, so those of a token of a are a run of tokens of b. All steps are
     linear or sort once, whatever the length of a text or group. Rows without tokens have no groups and links.
     """
-    joined = f"zip_with({_groups(_IDS_A)}, {_groups(_IDS_B)}, (x, y) -> concat(x, '|', y))"
     none = "named_struct('links', CAST(array() AS array<bigint>), 'groups', CAST(array() AS array<string>))"
-    made = f"IF(size(a) = 0, {none}, {_let('merged', _MERGED, _let('places', _PLACES, f'struct({_LINKS} AS links, {joined} AS groups)'))})"
+    made = f"struct(concat({_LAST}, {_REST}) AS links, {_GROUPS} AS groups)"
+    for name, value in (("steps", _STEPS), ("cuts", _CUTS), ("places", _PLACES), ("merged", _MERGED)):
+        made = _let(name, value, made)
+    made = f"IF(size(a) = 0, {none}, {made})"
     return tokens.withColumn("_made", F.expr(made)).withColumn("n_groups", F.size(F.array_intersect("a_ends", "b_ends")).cast("long")).select("*", "_made.*").drop("_made")
 
 
