@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 FOLDER_PREFIX, FOLDER_LENGTH, NO_FOLDER, NO_ITEM = "imagens ", 45, "doc", "item"
 
 #: White space that a trim takes: all of it, not spaces alone.
-_EDGE = r"^\s+|\s+$"
+_EDGE = " \t\n\x0b\f\r"
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGE, "")
+    return F.btrim(c, F.lit(_EDGE))
 
 
 def _accents() -> tuple[str, str]:
@@ -55,7 +55,9 @@ def folder_name(c: Column, prefix: str = FOLDER_PREFIX, length: int = FOLDER_LEN
 
 def slug(number: Column, name: Column) -> Column:
     """Two-digit number (longer ones whole), underscore, name in lower case with letters, digits and underscores alone."""
-    bare = F.regexp_replace(F.replace(F.lower(trim(name)), F.lit(" "), F.lit("_")), r"[^\p{L}\p{N}_]", "")
+    plain = F.replace(F.lower(trim(name)), F.lit(" "), F.lit("_"))
+    ascii_only = F.octet_length(plain) == F.char_length(plain)
+    bare = F.when(ascii_only, F.regexp_replace(plain, "[^a-z0-9_]+", "")).otherwise(F.regexp_replace(plain, r"[^\p{L}\p{N}_]+", ""))
     return F.format_string("%02d_%s", number, F.when(bare == "", NO_ITEM).otherwise(bare))
 
 

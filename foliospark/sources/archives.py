@@ -10,6 +10,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -68,19 +69,37 @@ def entries_from_list(archives: DataFrame, wanted: DataFrame) -> DataFrame:
 #: What stands between the pieces of a document's text, by the event and element that part them. Of equal neighbours in a run of
 #: separators a line break wins over a cell bar, and neither opens a text.
 LINE, BAR = "\x1e", "\x1f"
-SEPARATORS = {("start", "p"): LINE, ("end", "p"): LINE, ("start", "tr"): LINE, ("end", "tr"): LINE, ("start", "tc"): BAR, ("start", "br"): "\n", ("start", "cr"): "\n", ("start", "tab"): "\t"}
+STARTS = {"p": LINE, "tr": LINE, "tc": BAR, "br": "\n", "cr": "\n", "tab": "\t"}
+ENDS = {"p": LINE, "tr": LINE}
 
 
 def document_text(xml: bytes) -> str:
     """Text of a document part: paragraphs and rows on lines of their own, cells parted by " | ", breaks and tabs kept, lines trimmed,
-    empty lines dropped. Elements are forgotten as they end, so a part of any length is read in little memory."""
-    pieces = []
-    for event, node in ElementTree.iterparse(io.BytesIO(xml), events=("start", "end")):
-        name = node.tag.rpartition("}")[2]
-        pieces.append(SEPARATORS.get((event, name), ""))
-        if event == "end":
-            pieces.append((node.text or "").translate({0x1E: " ", 0x1F: " "}) if name == "t" else "")
-            node.clear()
+    empty lines dropped. Nothing but the text is held, so a part of any length is read in little memory."""
+    pieces: list[str] = []
+    parser = expat.ParserCreate(namespace_separator=" ")
+    parser.buffer_text = True
+
+    def hear(data: str) -> None:
+        pieces.append(data.translate({0x1E: " ", 0x1F: " "}))
+
+    def start(tag: str, _) -> None:
+        name = tag.rpartition(" ")[2]
+        if name in STARTS:
+            pieces.append(STARTS[name])
+        parser.CharacterDataHandler = hear if name == "t" else None
+
+    def end(tag: str) -> None:
+        name = tag.rpartition(" ")[2]
+        if name in ENDS:
+            pieces.append(ENDS[name])
+        parser.CharacterDataHandler = None
+
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    try:
+        parser.Parse(xml, True)
+    except expat.ExpatError as e:
+        raise ElementTree.ParseError(str(e)) from e
     text = re.sub(f"{LINE}+", "\n", "".join(pieces))
     text = re.sub(f"(^|[\n ]){BAR}+", r"\1", text)
     return "\n".join(x for x in map(str.strip, re.sub(f"{BAR}+", " | ", text).split("\n")) if x)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,11 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as tx
-from foliospark.tables import shared_dir, write_files
+from foliospark.tables import delete_path, materialise, shared_dir, write_files
 
 EXTENSIONS = ("png", "jpg", "jpeg", "webp")
 #: Fixed values of the saturation rule.
 SATURATION_CUT, RATIO_CUT, SAMPLE_PIXELS, OPAQUE = 0.15, 0.05, 250_000, 128
+#: Pictures that are files at the same time while they are decoded, and those of one folder, about.
+TURN_FILES, FOLDER_FILES = 1 << 18, 1 << 10
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -28,17 +31,33 @@ def decode_images(rows: DataFrame, content: Column, out: str = "pixels") -> Data
     """Add `out`: struct(height, width, channels, data) of the decoded picture, data in rows of blue, green, red and perhaps alpha bytes.
 
     PNG and JPEG of all kinds, by Spark's image source; null for anything else. The source reads files, so each different picture is
-    written once to the shared folder under its digest.
+    written once to the shared folder, under its digest: in turns of about TURN_FILES pictures, each dealt over sub-folders of about
+    FOLDER_FILES by the digest. A turn's files are deleted when its pixels stand in a table.
     """
     spark = rows.sparkSession
-    folder = shared_dir(spark)
     named = rows.withColumn("_name", F.sha2(content, 256))
-    write_files(named.select("_name", content.alias("_content")).where("_content is not null").dropDuplicates(["_name"]), folder, "_name", "_content")
-    images = spark.read.format("image").load(folder).select("image.*").where("height > 0")
-    images = images.select(F.substring_index("origin", "/", -1).alias("_name"), F.struct("height", "width", F.col("nChannels").alias("channels"), "data").alias(out))
+    pictures = materialise(named.select("_name", content.alias("_content")).where("_content is not null").dropDuplicates(["_name"]))
+    count = pictures.count()
+    turns, folders = max(1, -(-count // TURN_FILES)), max(1, -(-min(count, TURN_FILES) // FOLDER_FILES))
+    digits = F.conv(F.substring("_name", 1, 15), 16, 10).cast("long")
+    placed = pictures.withColumns({"_turn": digits % turns, "_file": F.concat_ws("/", F.floor(digits / turns) % folders, "_name")})
+    decoded = [_decode_turn(placed.where(F.col("_turn") == turn), out) for turn in range(turns)]
+    images = reduce(DataFrame.unionByName, decoded)
     return named.drop(out).join(images, "_name", "left").drop("_name")
 
 
+def _decode_turn(pictures: DataFrame, out: str) -> DataFrame:
+    """(_name, out) of the decodable pictures (_name, _file, _content), whose files stand in the shared folder only meanwhile."""
+    spark = pictures.sparkSession
+    folder = shared_dir(spark)
+    write_files(pictures, folder, "_file", "_content")
+    images = spark.read.format("image").option("recursiveFileLookup", "true").load(folder).select("image.*").where("height > 0")
+    pixels = F.struct("height", "width", F.col("nChannels").alias("channels"), "data").alias(out)
+    made = materialise(images.select(F.substring_index("origin", "/", -1).alias("_name"), pixels))
+    delete_path(spark, folder)
+    return made
+
+
 def png_bytes(pixels: np.ndarray) -> bytes:
     """A PNG of (height, width, 3 or 4) 8-bit pixels."""
     h, w, c = pixels.shape

@@ -287,3 +287,23 @@ def test_shared_folder(spark):
         where = held.inputFiles()[0].rsplit("/", 1)[0]
         assert held.count() == 3 and tables.path_exists(spark, where)
     assert not tables.path_exists(spark, where)
+
+
+def test_decoding_in_turns(spark, monkeypatch):
+    """Files of a turn lie in several folders and go; more turns give the same pixels; nulls, repeats and broken pictures keep their rows."""
+    written = []
+    wrote = im.write_files
+    monkeypatch.setattr(im, "write_files", lambda rows, folder, *names: (written.append((folder, [r._file for r in rows.select("_file").collect()])), wrote(rows, folder, *names)))
+    pictures = [im.png_bytes(np.full((2, 3, 3), i, np.uint8)) for i in range(12)]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate([*pictures, pictures[0], b"broken", None])], "n int, content binary")
+    want = {i: bytes([i]) * 18 for i in range(12)} | {12: bytes(18), 13: None, 14: None}
+    for turn_files, folder_files in ((1 << 18, 1 << 10), (5, 2)):
+        monkeypatch.setattr(im, "TURN_FILES", turn_files)
+        monkeypatch.setattr(im, "FOLDER_FILES", folder_files)
+        written.clear()
+        found = im.decode_images(rows, F.col("content")).collect()
+        assert {r.n: r.pixels and bytes(r.pixels.data) for r in found} == want
+        assert len(written) == (1 if turn_files > 13 else 3) and sum(len(x) for _, x in written) == 13
+        assert len({x.split("/")[0] for _, names in written for x in names}) == (1 if turn_files > 13 else 3)
+        assert not any(tables.path_exists(spark, folder) for folder, _ in written)
+    assert im.decode_images(rows.limit(0), F.col("content")).count() == 0
