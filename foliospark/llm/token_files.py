@@ -18,7 +18,7 @@ from foliospark.llm.tokens import encoding, id_kind
 BLOCK_IDS = 1 << 20
 #: A pair is frequent, and becomes a nonterminal, while it occurs so often in a block without overlaps.
 FREQUENT = 16
-_CELL_BITS, _MOST = 22, 1023
+_CELL_BITS = 22
 
 BLOCK_SCHEMA = "shard int, block int, first_doc bigint, ids_before bigint, n_null bigint, n_docs bigint, n_ids bigint, doc_ids binary, doc_ends binary, base bigint, rules binary, expansion_lengths binary, sequence binary"
 
@@ -38,7 +38,7 @@ def repair(ids: np.ndarray, frequent: int = FREQUENT) -> tuple[int, np.ndarray,
     after = np.minimum(np.arange(1, n + 2, dtype=np.int32), n)
     before = np.arange(-1, n, dtype=np.int32)
     before[0] = n
-    rank = np.zeros(n + 1, np.uint32)
+    rank = np.zeros(n + 1, np.uint64)
     alive, waiting = np.ones(n + 1, bool), np.ones(n + 1, bool)
     alive[n] = waiting[n - 1] = waiting[n] = False
     rules, made = [], 0
@@ -60,9 +60,9 @@ def repair(ids: np.ndarray, frequent: int = FREQUENT) -> tuple[int, np.ndarray,
         left, right = symbol[at], symbol[after[at]]
         bits = max(10, min(_CELL_BITS, int(2 * len(at) - 1).bit_length()))
         cell = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
-        counts = np.minimum(np.bincount(cell, minlength=1 << bits), _MOST).astype(np.uint32) << np.uint32(_CELL_BITS)
-        kind = counts[cell] | cell
-        many = kind >= np.uint32(min(frequent, _MOST) << _CELL_BITS)
+        counts = np.bincount(cell, minlength=1 << bits)[cell].view(np.uint64)
+        kind = counts << np.uint64(_CELL_BITS) | cell
+        many = counts >= frequent
         settle(at[~many])
         at, left, right, kind = at[many], left[many], right[many], kind[many]
         if not len(at):
