@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs; all but
 the last return the columns of documents.
+
+In every stage null and empty texts are documents without words: they aren't toxic, near any other, repeated or contaminated, so they
+stay (null may become empty in the third stage), and they are packed as one end id each. Rows of null doc_id stay as well. Of rows that
+agree in doc_id and text the second stage keeps one; before it they are scored alike. Other columns, whatever their names, are left out
+by the first stage. Texts of any length are taken whole. Empty tables give empty tables.
 """
 
 from __future__ import annotations
