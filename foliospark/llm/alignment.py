@@ -1,7 +1,8 @@
-"""Cross-tokenizer alignment: groups of tokens between common byte offsets, and links of tokens that overlap, by higher-order functions."""
+"""Cross-tokenizer alignment: groups of tokens between common byte offsets, and links of tokens that overlap."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,6 +146,31 @@ def _encoder(kind: type, path: str):
     return _cache[kind.__name__, path]
 
 
+def _kept(made: Encoded, keep: np.ndarray) -> Encoded:
+    """The same texts, those not kept without tokens."""
+    sizes = np.diff(made.bounds)
+    of = np.repeat(keep, sizes)
+    return Encoded(made.ids[of], made.lengths[of], np.concatenate(([0], np.cumsum(np.where(keep, sizes, 0)))), made.spelt)
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iterator[tuple[pa.Array, Encoded, Encoded]]:
+    """Keys and tokens by both tokenizers of runs of rows (key, text); texts that have no tokens by the contract have none."""
+    first, second = _encoder(ByteLevelIds, path_a), _encoder(SentenceIds, path_b)
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(at, SLICE_ROWS)
+            texts = part.column(1).to_pylist()
+            for i, j in runs(texts):
+                spaced = [" " + (t or "") for t in texts[i:j]]
+                a, b = first.encode(spaced), second.encode(spaced)
+                keep = a.spelt & b.spelt & np.array([bool(t) for t in texts[i:j]])
+                yield part.column(0).slice(i, j - i), _kept(a, keep), _kept(b, keep)
+
+
+def _lists(bounds: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
+
+
 TOKENS = [T.StructField(c, T.ArrayType(T.IntegerType() if c in "ab" else T.LongType(), False)) for c in ("a", "a_ends", "b", "b_ends")]
 
 
@@ -153,78 +180,111 @@ def tokenise(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id",
     Texts that are null or empty, or whose tokens of either kind don't spell " " + text, have empty arrays.
     """
 
-    def columns(made: Encoded, keep: np.ndarray) -> list[pa.Array]:
-        sizes = np.diff(made.bounds)
+    def columns(made: Encoded) -> list[pa.Array]:
         ends = np.cumsum(made.lengths)
-        ends -= np.repeat(np.concatenate(([0], ends))[made.bounds[:-1]], sizes)
-        of = np.repeat(keep, sizes)
-        bounds = pa.array(np.concatenate(([0], np.cumsum(np.where(keep, sizes, 0)))).astype(np.int32))
-        return [pa.ListArray.from_arrays(bounds, pa.array(made.ids[of])), pa.ListArray.from_arrays(bounds, pa.array(ends[of]))]
+        ends -= np.repeat(np.concatenate(([0], ends))[made.bounds[:-1]], np.diff(made.bounds))
+        return [_lists(made.bounds, made.ids), _lists(made.bounds, ends)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = _encoder(ByteLevelIds, path_a), _encoder(SentenceIds, path_b)
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                texts = part.column(1).to_pylist()
-                for i, j in runs(texts):
-                    spaced = [" " + (t or "") for t in texts[i:j]]
-                    a, b = first.encode(spaced), second.encode(spaced)
-                    keep = a.spelt & b.spelt & np.array([bool(t) for t in texts[i:j]])
-                    yield pa.RecordBatch.from_arrays([part.column(0).slice(i, j - i), *columns(a, keep), *columns(b, keep)], names=[doc_id, "a", "a_ends", "b", "b_ends"])
+        for keys, a, b in _encoded(batches, path_a, path_b):
+            yield pa.RecordBatch.from_arrays([keys, *columns(a), *columns(b)], names=[doc_id, "a", "a_ends", "b", "b_ends"])
 
     return docs.select(doc_id, text).transform(mapped, run, T.StructType([docs.schema[doc_id], *TOKENS]))
 
 
-#: In the order of one text's bytes, all token ends, those of a (even) before those of b (odd) at equal offsets. Token i of a stands at
-#: places[i], so places[i] - i tokens of b end before it does; it ends a group if an end of b at the same offset follows.
-_MERGED = "sort_array(concat(transform(a_ends, e -> 2 * e), transform(b_ends, e -> 2 * e + 1)))"
-_PLACES = "filter(sequence(0, size(merged) - 1), k -> merged[k] % 2 = 0)"
-#: A pair of token numbers, of a and b, is one long; cuts are the last tokens of each group, steps how many tokens a group has.
-_ONE_EACH = PAIR_BASE + 1
-_CUTS = f"filter(transform(places, (k, i) -> IF(merged[k + 1] = merged[k] + 1, i * {PAIR_BASE}L + (k - i), NULL)), c -> c IS NOT NULL)"
-_STEPS = f"zip_with(cuts, concat(array(-{_ONE_EACH}L), slice(cuts, 1, size(cuts) - 1)), (c, p) -> c - p)"
-#: Each token of a is linked with the token of b that its last byte is in. Where a group is more than one token of each, a token of a is
-#: also linked with those of b from the one its first byte is in.
-_LAST = f"transform(places, (k, i) -> a[i] * {PAIR_BASE}L + b[k - i])"
-_FIRST = "IF(i = 0, 0, places[i - 1] - i + 1 + IF(merged[places[i - 1] + 1] = merged[places[i - 1]] + 1, 1, 0))"
-_EARLIER = f"transform(slice(b, {_FIRST} + 1, places[i] - i - {_FIRST}), y -> a[i] * {PAIR_BASE}L + y)"
+#: Ids are written in so many digits at most, a byte of eight being their separator.
+_DIGITS = 7
 
 
-def _number(of: str, pair: str) -> str:
-    """The token number (or count) of a or b in such a pair."""
-    return f"CAST(shiftright({pair}, 32) AS int)" if of == "a" else f"CAST({pair} & {PAIR_BASE - 1}L AS int)"
+def _decimals(ids: np.ndarray) -> np.ndarray:
+    """Each id's decimal digits in the first bytes of eight, the others 0."""
+    most = int(ids.max()) + 1 if len(ids) else 0
+    if most > 10**_DIGITS:
+        raise ValueError(f"ids of more than {_DIGITS} digits")
+    if len(_spelt[0]) < most:
+        _spelt[0] = np.frombuffer(b"".join(b"%d" % i + bytes(8 - len(str(i))) for i in range(most)), "<u8")
+    return _spelt[0][ids]
 
 
-def _run(ids: str) -> str:
-    """The ids of the group that ends with cut c and has d tokens, comma-joined."""
-    return f"array_join(CAST(slice({ids}, {_number(ids, 'c')} - {_number(ids, 'd')} + 2, {_number(ids, 'd')}) AS array<string>), ',')"
+_spelt = [np.zeros(0, np.uint64)]
 
 
-_WIDE = f"filter(zip_with(cuts, steps, (c, d) -> IF(d = {_ONE_EACH}L, NULL, struct(c, d))), g -> g IS NOT NULL)"
-_REST = f"flatten(transform({_WIDE}, g -> flatten(transform(sequence({_number('a', 'g.c')} - {_number('a', 'g.d')} + 1, {_number('a', 'g.c')}), i -> {_EARLIER}))))"
-_SINGLE = f"concat(CAST(a[{_number('a', 'c')}] AS string), '|', CAST(b[{_number('b', 'c')}] AS string))"
-_GROUPS = f"zip_with(cuts, steps, (c, d) -> IF(d = {_ONE_EACH}L, {_SINGLE}, concat({_run('a')}, '|', {_run('b')})))"
+def _forget() -> None:
+    _spelt[0] = np.zeros(0, np.uint64)
 
 
-def _let(name: str, value: str, result: str) -> str:
-    """SQL with `value` computed once under a name; a column could be put in place of each of its uses by the optimizer."""
-    return f"transform(array({value}), {name} -> {result})[0]"
+CACHES.append(_forget)
+
+
+def align_texts(a: Encoded, b: Encoded) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Of several texts on end: each one's groups ("a1,a2|b1;a3|b2", empty without tokens), their numbers, links, and links before each text.
+
+    A token's bytes are some, and both tokenizers' tokens spell the same texts. Offsets where tokens of both end cut a text into groups.
+    A link (a's id * PAIR_BASE + b's id) is a pair of tokens whose byte ranges overlap: those of a token of a are the tokens of b from
+    the one that its first byte is in to the one that its last byte is in. All steps are linear, whatever the length of a text or group.
+    """
+    ends_a, ends_b = np.cumsum(a.lengths), np.cumsum(b.lengths)
+    size = int(ends_a[-1]) if len(ends_a) else 0
+    at_a, at_b = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
+    at_a[ends_a] = at_b[ends_b] = True
+    until = np.cumsum(at_b, dtype=np.int32)  # tokens of b that end at an offset or before
+    first = until[ends_a - a.lengths]
+    counts = until[ends_a - 1] - first + 1
+    linked = np.concatenate(([0], np.cumsum(counts)))
+    links = np.repeat(a.ids.astype(np.int64) * PAIR_BASE, counts) + b.ids[np.arange(int(linked[-1])) + np.repeat(first - linked[:-1], counts)]
+
+    cut_a, cut_b = at_b[ends_a], at_a[ends_b]  # tokens that end a group
+    groups_a, groups_b = np.concatenate(([0], np.cumsum(cut_a))), np.concatenate(([0], np.cumsum(cut_b)))
+    after_a, after_b = np.flatnonzero(cut_a) + 1, np.concatenate(([0], np.flatnonzero(cut_b) + 1))
+    written = np.empty(len(a.ids) + len(b.ids), np.uint64)  # a group's tokens of a, then those of b
+    comma, bar, semicolon = (np.uint64(ord(c) << 8 * _DIGITS) for c in ",|;")
+    written[np.arange(len(a.ids)) + after_b[groups_a[:-1]]] = _decimals(a.ids) | np.where(cut_a, bar, comma)
+    written[np.arange(len(b.ids)) + after_a[groups_b[:-1]]] = _decimals(b.ids) | np.where(cut_b, semicolon, comma)
+    bounds = (a.bounds + b.bounds).tolist()
+    groups = [written[i:j].astype("<u8").tobytes().translate(None, b"\0")[:-1] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+    return groups, np.diff(groups_a[a.bounds]), links, linked[a.bounds]
 
 
 def align(tokens: DataFrame) -> DataFrame:
-    """The tokens' table with n_groups, groups ("a1,a2|b1" for each) and links (a's id * PAIR_BASE + b's id of each linked pair).
+    """The tokens' table with n_groups, groups ("a1,a2|b1" for each) and links (see align_texts).
 
-    Both arrays of ends rise strictly and end alike. array_intersect of the ends gives the offsets where both end, which cut the text
-    into groups; a link is a pair of tokens whose byte ranges overlap, so those of a token of a are a run of tokens of b. All steps are
-    linear or sort once, whatever the length of a text or group. Rows without tokens have no groups and links.
+    Both arrays of ends rise strictly and end alike. Rows without tokens have no groups and links.
     """
-    none = "named_struct('links', CAST(array() AS array<bigint>), 'groups', CAST(array() AS array<string>))"
-    made = f"struct(concat({_LAST}, {_REST}) AS links, {_GROUPS} AS groups)"
-    for name, value in (("steps", _STEPS), ("cuts", _CUTS), ("places", _PLACES), ("merged", _MERGED)):
-        made = _let(name, value, made)
-    made = f"IF(size(a) = 0, {none}, {made})"
-    return tokens.withColumn("_made", F.expr(made)).withColumn("n_groups", F.size(F.array_intersect("a_ends", "b_ends")).cast("long")).select("*", "_made.*").drop("_made")
+
+    def read(batch: pa.RecordBatch, name: str) -> Encoded:
+        ids, ends = batch.column(name), batch.column(f"{name}_ends").flatten().to_numpy()
+        bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))))
+        lengths = np.diff(ends, prepend=0)
+        begins = bounds[:-1][np.diff(bounds) > 0]
+        lengths[begins] = ends[begins]
+        return Encoded(ids.flatten().to_numpy(), lengths, bounds, np.ones(batch.num_rows, bool))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                groups, n_groups, links, bounds = align_texts(read(part, "a"), read(part, "b"))
+                listed = pa.array([g.decode().split(";") if g else [] for g in groups], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n_groups), listed, _lists(bounds, links)], names=[*part.schema.names, "n_groups", "groups", "links"])
+
+    return tokens.transform(mapped, run, T.StructType([*tokens.schema, T.StructField("n_groups", T.LongType()), T.StructField("groups", T.ArrayType(T.StringType())), LINKS]))
+
+
+LINKS = T.StructField("links", T.ArrayType(T.LongType(), False))
+COUNTED = [*(T.StructField(c, T.LongType()) for c in ("n_a", "n_b", "n_groups", "n_links")), T.StructField("groups_sha256", T.StringType()), LINKS]
+
+
+def tokenise_and_align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256 ("" without tokens) and links, the tokens staying in the task that made them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, a, b in _encoded(batches, path_a, path_b):
+            groups, n_groups, links, bounds = align_texts(a, b)
+            counts = [pa.array(x.astype(np.int64)) for x in (np.diff(a.bounds), np.diff(b.bounds), n_groups, np.diff(bounds))]
+            digests = pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in groups], pa.string())
+            yield pa.RecordBatch.from_arrays([keys, *counts, digests, _lists(bounds, links)], names=[doc_id, *(c.name for c in COUNTED)])
+
+    return docs.select(doc_id, text).transform(mapped, run, T.StructType([docs.schema[doc_id], *COUNTED]))
 
 
 def count_pairs(linked: DataFrame) -> DataFrame:
@@ -259,10 +319,7 @@ def alignment_table(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "do
     that the tokens of one of them don't spell, have zeros and an empty groups_sha256. Repeated rows and null ids each keep a row and
     count; an empty table gives none; other columns aren't looked at. Documents and their links are written to the shared folder once.
     """
-    made = align(tokenise(docs, path_a, path_b, doc_id, text))
-    digest = F.when(F.size("a") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("")
-    count = lambda c: F.size(c).cast("long")
-    made = made.select(doc_id, count("a").alias("n_a"), count("b").alias("n_b"), "n_groups", count("links").alias("n_links"), digest.alias("groups_sha256"), "links")
+    made = tokenise_and_align(docs, path_a, path_b, doc_id, text)
     linked = materialise(made.withColumn("_row", F.monotonically_increasing_id()))
     scored = score_links(linked, materialise(count_pairs(linked)), "_row").withColumnsRenamed({"n_best": "_best", "count_sum": "_sum"})
     none = lambda c: F.coalesce(c, F.lit(0)).cast("long")

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from foliospark.llm import alignment
@@ -112,3 +113,36 @@ def test_no_documents(spark):
     assert alignment.alignment_table(none, A, B).count() == 0
     odd = alignment.alignment_table(spark.createDataFrame([(None, "text"), (None, None)], "doc_id long, text string"), A, B).collect()
     assert sorted(r.n_a for r in odd) == [0, 1] and {r.doc_id for r in odd} == {None}
+
+
+def test_groups_and_links_of_any_boundaries():
+    """Random cuts of texts on end, groups of many tokens and texts without tokens among them, against nested loops."""
+    rng = np.random.default_rng(11)
+    sides, want = ([], []), []
+    for n in (0, 1, 40, 0, 300, 7, 0):
+        cuts = [sorted({*rng.choice(np.arange(1, n + 1), n // k, replace=False).tolist(), n} - {0}) for k in (2, 3)]
+        spans = [list(zip([0, *c[:-1]], c, strict=True)) if c else [] for c in cuts]
+        ids = [rng.integers(0, 12_000, len(c)).tolist() for c in cuts]
+        for side, i, c in zip(sides, ids, spans, strict=True):
+            side.append((i, [e - s for s, e in c]))
+        both = sorted({*cuts[0]} & {*cuts[1]})
+        groups = ["|".join(",".join(str(t) for t, (_, e) in zip(i, c, strict=True) if before < e <= end) for i, c in zip(ids, spans, strict=True)) for before, end in zip([0, *both[:-1]], both)]
+        links = sorted(x * alignment.PAIR_BASE + y for x, (s, e) in zip(ids[0], spans[0], strict=True) for y, (u, v) in zip(ids[1], spans[1], strict=True) if s < v and u < e)
+        want.append((";".join(groups).encode(), len(groups), links))
+    a, b = (alignment.Encoded(np.array(sum((i for i, _ in side), []), np.int32), np.array(sum((n for _, n in side), []), np.int64), np.cumsum([0, *(len(i) for i, _ in side)]), np.ones(len(side), bool)) for side in sides)
+    groups, n_groups, links, bounds = alignment.align_texts(a, b)
+    assert [(g, n, sorted(links[i:j].tolist())) for g, n, i, j in zip(groups, n_groups.tolist(), bounds[:-1], bounds[1:], strict=True)] == want
+
+
+def test_tokens_and_groups_of_a_table(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    got = sorted(alignment.align(alignment.tokenise(docs, A, B)).collect(), key=lambda r: r.doc_id)
+    want = brute(TEXTS)
+    assert [(len(r.a), len(r.b), r.n_groups, len(r.links), hashlib.sha256(";".join(r.groups).encode()).hexdigest() if r.groups else "") for r in got] == [(*w[:4], w[6]) for w in want]
+
+
+def test_no_step_of_a_text_is_interpreted(spark):
+    """Higher-order functions are interpreted, an expression for each token: 1467 of 2190 CPU seconds a GB went there."""
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    for made in (alignment.align(alignment.tokenise(docs, A, B)), alignment.tokenise_and_align(docs, A, B)):
+        assert "lambda" not in made._jdf.queryExecution().toString()
