@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.llm.shared import mapped, materialise
-from foliospark.llm.tokens import encoding
+from foliospark.llm.tokens import encoding, forget_words
 
 CAPACITY = 4096
 #: Blocks in which pieces of one length are ranked.
@@ -104,7 +104,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").transform(mapped, cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return docs.select("doc_id", "text").transform(mapped, cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint", forget_words)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.llm.shared import dealt, mapped, shared_dir, shuffle_partitions
-from foliospark.llm.tokens import encoding, id_kind
+from foliospark.llm.tokens import encoding, forget_words, id_kind
 
 #: Ids in one block of a shard: a block has its own grammar, and reading a document opens its block alone.
 BLOCK_IDS = 1 << 20
@@ -35,10 +35,10 @@ def repair(ids: np.ndarray, frequent: int = FREQUENT) -> tuple[int, np.ndarray,
     if n < 2:
         return base, np.zeros((0, 2), np.uint32), ids.astype(np.uint32)
     symbol = np.append(ids.astype(np.uint32), np.uint32(0))
-    after = np.minimum(np.arange(1, n + 2, dtype=np.int32), n)
-    before = np.arange(-1, n, dtype=np.int32)
+    after = np.minimum(np.arange(1, n + 2), n)
+    before = np.arange(-1, n)
     before[0] = n
-    rank = np.zeros(n + 1, np.uint64)
+    rank = np.zeros(n + 1, np.int64)
     alive, waiting = np.ones(n + 1, bool), np.ones(n + 1, bool)
     alive[n] = waiting[n - 1] = waiting[n] = False
     rules, made = [], 0
@@ -47,38 +47,44 @@ def repair(ids: np.ndarray, frequent: int = FREQUENT) -> tuple[int, np.ndarray,
         waiting[places] = False
         rank[places] = 0
 
+    def pairs_at(places: np.ndarray) -> pa.DictionaryArray:
+        return pa.array((_take(symbol, places).astype(np.uint64) << np.uint64(32)) | _take(symbol, _take(after, places))).dictionary_encode()
+
     def runs_of(at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First places (in at) and lengths of runs of equal pairs that overlap."""
         first = np.ones(len(at), bool)
         first[1:] = kind[1:] != kind[:-1]
         same = np.flatnonzero(~first)
         first[same] = after[at[same - 1]] != at[same]
+        if first.all():
+            return np.arange(len(at)), np.ones(len(at), np.int64)
         starts = np.flatnonzero(first)
         return starts, np.diff(np.append(starts, len(at)))
 
-    while len(at := np.flatnonzero(waiting).astype(np.int32)):
-        left, right = symbol[at], symbol[after[at]]
+    while len(at := np.flatnonzero(waiting)):
         bits = max(10, min(_CELL_BITS, int(2 * len(at) - 1).bit_length()))
-        cell = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
-        counts = np.bincount(cell, minlength=1 << bits)[cell].view(np.uint64)
-        kind = counts << np.uint64(_CELL_BITS) | cell
+        cell = ((_take(symbol, at) * np.uint32(0x9E3779B1) ^ _take(symbol, _take(after, at)) * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)).astype(np.int64)
+        counts = _take(np.bincount(cell, minlength=1 << bits), cell)
         many = counts >= frequent
-        settle(at[~many])
-        at, left, right, kind = at[many], left[many], right[many], kind[many]
+        settle(_take(at, np.flatnonzero(~many)))
+        many = np.flatnonzero(many)
+        at, kind = _take(at, many), _take(counts, many) << _CELL_BITS | _take(cell, many)
         if not len(at):
             break
         rank[at] = kind
         starts, sizes = runs_of(at, kind)
-        best = (kind[starts] > rank[before[at[starts]]]) & (kind[starts] > rank[after[at[starts + sizes - 1]]])
-        chosen, more = starts[best], (sizes[best] - 1) // 2
+        best = np.flatnonzero(_take(kind, starts) > _take(rank, _take(before, _take(at, starts))))
+        starts, sizes = _take(starts, best), _take(sizes, best)
+        best = np.flatnonzero(_take(kind, starts) > _take(rank, _take(after, _take(at, starts + sizes - 1))))
+        chosen, more = _take(starts, best), (_take(sizes, best) - 1) // 2
         long = np.flatnonzero(more)
         if len(long):
             chosen = np.concatenate((chosen, chosen[np.repeat(long, more[long])] + 2 * _spread(np.ones(len(long), np.int64), more[long])))
-        coded = pa.array((left[chosen].astype(np.uint64) << np.uint64(32)) | right[chosen]).dictionary_encode()
+        coded = pairs_at(_take(at, chosen))
         of, pairs = coded.indices.to_numpy(), coded.dictionary.to_numpy()
         enough = np.bincount(of, minlength=len(pairs)) >= frequent
         if not enough.any():  # counts that were too high, or pairs that stand in each other's way: the most frequent one goes first
-            coded = pa.array((left.astype(np.uint64) << np.uint64(32)) | right).dictionary_encode()
+            coded = pairs_at(at)
             of, pairs = coded.indices.to_numpy(), coded.dictionary.to_numpy()
             starts, sizes = runs_of(at, of)
             times = np.bincount(of[starts], weights=(sizes + 1) // 2, minlength=len(pairs))
@@ -104,6 +110,11 @@ def repair(ids: np.ndarray, frequent: int = FREQUENT) -> tuple[int, np.ndarray,
     return base, np.stack((wide >> np.uint64(32), wide & np.uint64(0xFFFFFFFF)), axis=1).astype(np.uint32), symbol[alive]
 
 
+def _take(of: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """of[at] for places that are sure to be in it, which numpy needn't check one by one."""
+    return of.take(at, mode="clip")
+
+
 def expansion_lengths(base: int, rules: np.ndarray) -> np.ndarray:
     """Ids that each nonterminal stands for."""
     out = [1] * base
@@ -126,15 +137,16 @@ class Block:
         self.rules = np.frombuffer(rules, "<u4").reshape(-1, 2)
         self.sequence = _unpack(sequence)
         lengths = np.concatenate((np.ones(base, np.int64), np.frombuffer(lengths, "<u4").astype(np.int64)))
-        self.ends = np.cumsum(lengths[self.sequence]) if len(self.sequence) else np.zeros(0, np.int64)
+        self.ends = np.cumsum(lengths.take(self.sequence)) if len(self.sequence) else np.zeros(0, np.int64)
         self.sizes, self.starts = lengths, np.cumsum(lengths) - lengths
         self.flat = np.zeros(int(lengths.sum()), np.uint32)
         self.flat[:base] = np.arange(base)
-        deep = np.zeros(base + len(self.rules), np.int64)  # a nonterminal is written after those that it stands for
-        for i, (a, b) in enumerate(self.rules.tolist(), base):
-            deep[i] = 1 + max(deep[a], deep[b])
-        by_depth = np.argsort(deep[base:], kind="stable")
-        for of in np.split(by_depth, np.flatnonzero(np.diff(deep[base:][by_depth])) + 1) if len(by_depth) else ():
+        deep = [0] * base  # a nonterminal is written after those that it stands for
+        for a, b in self.rules.tolist():
+            deep.append(1 + max(deep[a], deep[b]))
+        deep = np.array(deep[base:], np.int64)
+        by_depth = np.argsort(deep, kind="stable")
+        for of in np.split(by_depth, np.flatnonzero(np.diff(deep[by_depth])) + 1) if len(by_depth) else ():
             for at, child in ((self.starts[base + of], self.rules[of, 0]), (self.starts[base + of] + lengths[self.rules[of, 0]], self.rules[of, 1])):
                 self.flat[_spread(at, lengths[child])] = self.flat[_spread(self.starts[child], lengths[child])]
 
@@ -143,7 +155,7 @@ class Block:
             return np.zeros(0, np.uint32)
         i, j = np.searchsorted(self.ends, [first, last - 1], side="right")
         symbols = self.sequence[i : j + 1]
-        out = self.flat[_spread(self.starts[symbols], self.sizes[symbols])]
+        out = _take(self.flat, _spread(self.starts.take(symbols), self.sizes.take(symbols)))
         skip = first - (int(self.ends[i - 1]) if i else 0)
         return out[skip : skip + last - first]
 
@@ -179,7 +191,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, doc_id: str =
             shard = np.searchsorted(bounds, keys.fill_null(bounds[0] if len(bounds) else 0).to_numpy(zero_copy_only=False), side="left")
             yield pa.RecordBatch.from_arrays([keys, batch.column(1), pa.array(shard.astype(np.int32))], names=["doc_id", "ids", "shard"])
 
-    placed = docs.select(doc_id, text).transform(mapped, place, "doc_id bigint, ids binary, shard int")
+    placed = docs.select(doc_id, text).transform(mapped, place, "doc_id bigint, ids binary, shard int", forget_words)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -231,8 +243,10 @@ def read_token_files(spark, path: str) -> DataFrame:
                 null = np.arange(len(keys)) < row["n_null"]  # nulls come first
                 for i in range(0, len(keys), 1000):
                     part = slice(i, i + 1000)
-                    ids = [block.ids(int(a), int(b)).astype("<u4").tobytes() for a, b in zip(begins[part], ends[part], strict=True)]
-                    columns = [pa.array(keys[part], mask=null[part]), pa.array(row["start"] + begins[part]), pa.array((ends - begins)[part]), pa.array(ids, pa.binary())]
+                    first, last = int(begins[i]), int(ends[part][-1])
+                    bounds = 4 * (np.append(begins[part], last) - first)
+                    ids = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(block.ids(first, last).astype("<u4", copy=False))]).cast(pa.binary())
+                    columns = [pa.array(keys[part], mask=null[part]), pa.array(row["start"] + begins[part]), pa.array((ends - begins)[part]), ids]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids"])
 
     return placed.select("base", "rules", "expansion_lengths", "sequence", "doc_ids", "doc_ends", "n_null", "start").transform(mapped, read, "doc_id bigint, start bigint, n_tokens bigint, ids binary")

@@ -1,10 +1,12 @@
 """Each operator on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names; and brute force."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -193,6 +195,37 @@ def test_tokens_equal_the_library():
     assert [x.tolist() for x in ours.encode(texts)] == [encode(t) for t in texts]
 
 
+def test_latin_texts_are_split_at_once():
+    """The words of Latin-1 texts equal the pattern's, contractions and all, without a pass of the regular expression over each text."""
+    ours, split = tokens.WordTokens(TOKENIZER), tokens._splitter(tokens._PATTERN, 0x250)
+    rng = random.Random(5)
+    pool = ["'", "'", "''", "s", "t", "re", "ve", "m", "ll", "d", "l", "r", "v", " ", "\n", "1", "23", "\u00b2", "\u00df", "\u00e9", "\u00a0", "\x85", "\x1c", "-", "<|endoftext|>"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(12))) for _ in range(5000)] + ["".join(map(chr, range(256))).lower()]
+    data = "\n".join([*texts, "\n"]).encode("latin-1")
+    starts, found = tokens.latin_words(np.frombuffer(data, np.uint8))
+    assert [w.decode("latin-1") for w in found.to_pylist()] == [w for t in texts for w in split(t)]
+    assert all(data[i : i + len(w)] == w for i, w in zip(starts.tolist(), found.to_pylist(), strict=True))
+    ours.split = lambda text: pytest.fail("a text split by itself")
+    encode = library()
+    assert [x.tolist() for x in ours.encode(texts)] == [encode(t) for t in texts]
+
+
+def test_words_at_once_equal_the_library(tmp_path):
+    ours, encode, rng = tokens.WordTokens(TOKENIZER), library(), random.Random(6)
+    letters = "aabcdeeefghiiklmnnoprrsstttuvwxyz\u00e9\u00fc\u00df\u0142"
+    made_up = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 30))) for _ in range(5000)] + ["a" * 3000, "\x00", "\x7f", "</w>", "<", "'s"]
+    assert [x.tolist() for x in ours.encode([*made_up, " ".join(made_up)])] == [*map(encode, made_up), encode(" ".join(made_up))]
+    # a model whose entries don't show where a word ends
+    file = json.loads(Path(TOKENIZER).read_text())
+    names = [*tokens._byte_letters(), "ab", "abc"]
+    file["model"] |= {"vocab": {n: i for i, n in enumerate(names)}, "merges": [["a", "b"], ["ab", "c"]], "end_of_word_suffix": None}
+    file["added_tokens"] = []
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(file))
+    odd = tokens.WordTokens(str(other))
+    assert odd.split and [x.tolist() for x in odd.encode(["abc ab", "cab \u00e9", None])] == [odd.tokenizer.encode("abc ab").ids, odd.tokenizer.encode("cab \u00e9").ids, []]
+
+
 def test_token_files(spark):
     rows = odd_docs(random.Random(3)) + [(-5, "negative"), (0, "zero")]
     from foliospark.llm.shared import shared_dir
