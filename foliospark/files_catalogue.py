@@ -98,10 +98,11 @@ def _pictures(spark, sf_dir: str) -> DataFrame:
             for key, size in zip(batch["p_partkey"], batch["p_size"], strict=True):
                 pixels = np.full((10, 100, 3), 120, np.uint8)
                 pixels[:, : int(size) % 12, 1:] = 0
-                rows.append((int(key), f"p{key}.png", b"broken" if key % 10 == 0 else im.png_bytes(pixels)))
-            yield pd.DataFrame(rows, columns=["p_partkey", "path", "content"])
+                rows.append((int(key), int(size), f"p{key}.png", b"broken" if key % 10 == 0 else im.png_bytes(pixels)))
+            yield pd.DataFrame(rows, columns=["p_partkey", "p_size", "path", "content"])
 
-    return table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInPandas(make, "p_partkey bigint, path string, content binary")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # rows are small, pictures aren't
+    return parts.mapInPandas(make, "p_partkey bigint, p_size int, path string, content binary")
 
 
 @register("""
@@ -121,8 +122,7 @@ def resized_images(spark, sf_dir):
 SELECT CASE WHEN p_partkey % 10 > 0 AND p_size % 12 >= 5 THEN 'local' WHEN p_size % 4 = 0 THEN 'triage' WHEN p_size % 4 = 1 THEN 'fail_open' ELSE 'approved' END AS stage, count(*) AS n FROM part GROUP BY 1""")
 def image_cascade(spark, sf_dir):
     """Pictures through the saturation rule and a table of replies."""
-    size = table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    items = _pictures(spark, sf_dir).join(size, "p_partkey").withColumn("format", F.lit("png"))
+    items = _pictures(spark, sf_dir).withColumn("format", F.lit("png"))
     items = items.withColumn("content", F.concat("content", F.col("p_partkey").cast("string").cast("binary"))).withColumnRenamed("p_partkey", "image_key")
     reply = F.when(F.col("p_size") % 4 == 0, '{\\"should_colorize\\": false, \\"reason\\": \\"text\\"}').otherwise('{\\"should_colorize\\": true}')
     answers = items.select(pipelines.request_key("triage", F.col("content")).alias("key"), F.when(F.col("p_size") % 4 == 1, 429).otherwise(200).alias("status"), F.concat(F.lit('{"choices": [{"message": {"content": "'), reply, F.lit('"}}]}')).alias("body"))

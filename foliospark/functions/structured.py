@@ -37,14 +37,19 @@ def json_array(c: Column) -> Column:
 
 def triage_verdict(c: Column) -> Column:
     """struct(should_colorize, reason, error) of a model's reply; a missing flag is false, a reply without an object or of wrong types is an error."""
-    found = json_object(c)
-    parsed = F.from_json(found, "should_colorize boolean, reason string, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    error = F.when(found.isNull(), "no JSON object").when(parsed["_bad"].isNotNull(), "bad JSON")
-    return F.struct(
-        F.when(error.isNull(), F.coalesce(parsed["should_colorize"], F.lit(False))).alias("should_colorize"),
-        F.when(error.isNull(), F.coalesce(parsed["reason"], F.lit(""))).alias("reason"),
-        error.alias("error"),
-    )
+
+    def read(found: Column) -> Column:
+        return F.struct(found.alias("found"), F.from_json(found, "should_colorize boolean, reason string, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("parsed"))
+
+    def judged(x: Column) -> Column:
+        error = F.when(x["found"].isNull(), "no JSON object").when(x["parsed"]["_bad"].isNotNull(), "bad JSON")
+        return F.struct(
+            F.when(error.isNull(), F.coalesce(x["parsed"]["should_colorize"], F.lit(False))).alias("should_colorize"),
+            F.when(error.isNull(), F.coalesce(x["parsed"]["reason"], F.lit(""))).alias("reason"),
+            error.alias("error"),
+        )
+
+    return bound(bound(bound(c, json_object), read), judged)
 
 
 def routine_rows(c: Column) -> Column:

@@ -40,7 +40,7 @@ def request_key(stage: str, content) -> object:
 
 def judge_images(items: DataFrame, triage, prompt: str = "", model: str = "triage", enabled: bool = True, key: str = "image_key") -> DataFrame:
     """Add stage and reason to images (image_key, content, format): the saturation rule, then the model for those that pass it."""
-    measured = im.measure_images(items)
+    measured = materialise(im.measure_images(items))  # what the local rule lets pass is read three times
 
     def ask(rows: DataFrame) -> DataFrame:
         keyed = rows.select(key, "content", "format", request_key("triage", F.col("content")).alias("_ask"))

@@ -17,6 +17,8 @@ from foliospark.tables import delete_path, materialise, shared_dir, write_files
 EXTENSIONS = ("png", "jpg", "jpeg", "webp")
 #: Fixed values of the saturation rule.
 SATURATION_CUT, RATIO_CUT, SAMPLE_PIXELS, OPAQUE = 0.15, 0.05, 250_000, 128
+#: What pixels_of gives: a row of Spark's image source, whose fields mean what decode_images says.
+PIXELS = "origin string, height int, width int, channels int, mode int, data binary"
 #: Pictures that are files at the same time while they are decoded, and those of one folder, about.
 TURN_FILES, FOLDER_FILES = 1 << 18, 1 << 10
 
@@ -27,12 +29,45 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return files.where(tx.extension(F.col("path")).isin(*EXTENSIONS)).select("path", "content")
 
 
+def pixels_of(spark: SparkSession, content: Column) -> Column:
+    """PIXELS of each picture, as decode_images has them, decoded where its row is: no file is written and no row moves.
+
+    It calls what Spark's image source decodes a file's bytes with. That is no SQL function but a method of a Scala object, which
+    expressions reach by its class; so this needs a classic session. A decoder's exception makes a null. The executors' ImageIO is told
+    not to keep each picture's bytes in a temporary file, which takes most of the time of a small one.
+    """
+    jvm, to = spark._jvm, spark._jvm.org.apache.spark.sql.classic.ExpressionUtils
+    catalyst, sql = jvm.org.apache.spark.sql.catalyst.expressions, jvm.org.apache.spark.sql
+    kind = lambda name: jvm.java.lang.Class.forName(name, True, jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    of = lambda name: sql.types.ObjectType(kind(name))
+    held = lambda value, name="java.lang.String": catalyst.Literal(value, of(name))
+    seq = lambda *x: jvm.PythonUtils.toSeq(list(x))
+
+    def static(name, returns, method, arg):
+        return catalyst.objects.StaticInvoke(kind(name), returns, method, seq(arg), seq(), True, True, True, jvm.scala.Option.empty())
+
+    def call(target, method, returns, *args, null_if_null=True):
+        return catalyst.objects.Invoke(target, method, returns, seq(*args), seq(), null_if_null, True, True)
+
+    in_memory = F.reflect(F.lit("javax.imageio.ImageIO"), F.lit("setUseCache"), F.lit(False)).isNotNull()
+    data, told, scala_object = to.expression(content._jc), to.expression(F.when(in_memory, content)._jc), "org.apache.spark.ml.image.ImageSchema$"
+    name = catalyst.If(catalyst.IsNull(data), held(None), held(scala_object))  # of the data, lest the object become a constant of the plan
+    at = call(static("java.lang.Class", of("java.lang.Class"), "forName", name), "getField", of("java.lang.reflect.Field"), held("MODULE$"))
+    decoder = call(at, "get", of(scala_object), held(None, "java.lang.Object"), null_if_null=False)
+    found = call(decoder, "decode", of("scala.Option"), held(None), told, null_if_null=False)
+    image = call(catalyst.objects.UnwrapOption(of("org.apache.spark.sql.Row"), found), "getStruct", of("org.apache.spark.sql.Row"), to.expression(F.lit(0)._jc))
+    values = call(image, "toSeq", of("scala.collection.immutable.Seq"))
+    pixels = static("org.apache.spark.sql.catalyst.InternalRow", sql.types.DataType.fromDDL(PIXELS), "fromSeq", values)
+    return Column(to.column(catalyst.TryEval(pixels)))
+
+
 def decode_images(rows: DataFrame, content: Column, out: str = "pixels") -> DataFrame:
     """Add `out`: struct(height, width, channels, data) of the decoded picture, data in rows of blue, green, red and perhaps alpha bytes.
 
     PNG and JPEG of all kinds, by Spark's image source; null for anything else. The source reads files, so each different picture is
     written once to the shared folder, under its digest: in turns of about TURN_FILES pictures, each dealt over sub-folders of about
-    FOLDER_FILES by the digest. A turn's files are deleted when its pixels stand in a table.
+    FOLDER_FILES by the digest. A turn's files are deleted when its pixels stand in a table. For pictures that stand in many places;
+    files cost milliseconds each, so many different ones go by pixels_of.
     """
     spark = rows.sparkSession
     named = rows.withColumn("_name", F.sha2(content, 256))
@@ -122,21 +157,23 @@ def coloured_ratio(pixels: np.ndarray, step: int | None = None) -> float:
     return float(np.mean(np.divide(high - low, high, out=np.zeros_like(high), where=high > 0) >= SATURATION_CUT))
 
 
-def _ratio(pixels: str) -> Column:
-    def ratio(column: pd.DataFrame) -> pd.Series:
-        rows = column.itertuples(index=False)
-        return pd.Series([None if r.data is None else coloured_ratio(pixel_array(int(r.height), int(r.width), int(r.channels), r.data)) for r in rows], dtype="float64")
+def _measured(pixels: Column) -> Column:
+    """struct(width, height, ratio) of decoded pictures; null fields for the others."""
+
+    def measure(column: pd.DataFrame) -> pd.DataFrame:
+        rows = column[["height", "width", "channels", "data"]].itertuples(index=False)
+        found = [(None, None, None) if r.data is None else (int(r.width), int(r.height), coloured_ratio(pixel_array(int(r.height), int(r.width), int(r.channels), r.data))) for r in rows]
+        return pd.DataFrame(found, columns=["width", "height", "ratio"]).astype({"width": "Int32", "height": "Int32", "ratio": "float64"})
 
-    return F.pandas_udf(ratio, "double")(pixels)
+    return F.pandas_udf(measure, "width int, height int, ratio double")(pixels)
 
 
 def measure_images(images: DataFrame, content: str = "content") -> DataFrame:
     """Add width, height, ratio, coloured and error. Undecodable images have an error and count as not coloured: they pass on."""
-    decoded = decode_images(images, F.col(content), "_pixels")
-    measured = decoded.withColumn("ratio", F.when(F.col("_pixels").isNotNull(), _ratio("_pixels"))).withColumn("_size", header_size(F.col(content)))
-    coloured = F.coalesce(F.col("ratio") >= RATIO_CUT, F.lit(False))
-    error = F.when(F.col("_pixels").isNull(), "undecodable")
-    return measured.select(*images.columns, F.coalesce("_pixels.width", "_size.width").alias("width"), F.coalesce("_pixels.height", "_size.height").alias("height"), "ratio", coloured.alias("coloured"), error.alias("error"))
+    measured = images.withColumns({"_seen": _measured(pixels_of(images.sparkSession, F.col(content))), "_size": header_size(F.col(content))})
+    coloured = F.coalesce(F.col("_seen.ratio") >= RATIO_CUT, F.lit(False))
+    error = F.when(F.col("_seen.width").isNull(), "undecodable")
+    return measured.select(*images.columns, F.coalesce("_seen.width", "_size.width").alias("width"), F.coalesce("_seen.height", "_size.height").alias("height"), F.col("_seen.ratio").alias("ratio"), coloured.alias("coloured"), error.alias("error"))
 
 
 def resize_pixels(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
@@ -153,9 +190,9 @@ def resize_pixels(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
     return np.rint(top * (1 - fy) + low * fy).astype(np.uint8)
 
 
-def _resized(pixels: str, width: str, height: str) -> Column:
+def _resized(pixels: Column, width: str, height: str) -> Column:
     def resize(column: pd.DataFrame, width: pd.Series, height: pd.Series) -> pd.Series:
-        rows = zip(column.itertuples(index=False), width, height, strict=True)
+        rows = zip(column[["height", "width", "channels", "data"]].itertuples(index=False), width, height, strict=True)
         made = [None if r.data is None or pd.isna(w) else png_bytes(resize_pixels(pixel_array(int(r.height), int(r.width), int(r.channels), r.data), int(w), int(h))) for r, w, h in rows]
         return pd.Series(made, dtype=object)
 
@@ -165,8 +202,7 @@ def _resized(pixels: str, width: str, height: str) -> Column:
 def _resize(rows: DataFrame, content: str, width: Column, height: Column, needed: Column) -> DataFrame:
     """Add _made: content as a PNG of (width, height) where `needed`, null if it can't be decoded; only those are decoded."""
     marked = rows.withColumns({"_need": F.coalesce(needed, F.lit(False)), "_w": width.cast("int"), "_h": height.cast("int")})
-    decoded = decode_images(marked, F.when(F.col("_need"), F.col(content)), "_pixels")
-    return decoded.withColumn("_made", F.when(F.col("_pixels").isNotNull(), _resized("_pixels", "_w", "_h")))
+    return marked.withColumn("_made", _resized(pixels_of(rows.sparkSession, F.when(F.col("_need"), F.col(content))), "_w", "_h"))
 
 
 def resize_to_match(rows: DataFrame, original: str, new: str, out: str = "resized") -> DataFrame:

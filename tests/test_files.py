@@ -307,3 +307,20 @@ def test_decoding_in_turns(spark, monkeypatch):
         assert len({x.split("/")[0] for _, names in written for x in names}) == (1 if turn_files > 13 else 3)
         assert not any(tables.path_exists(spark, folder) for folder, _ in written)
     assert im.decode_images(rows.limit(0), F.col("content")).count() == 0
+
+
+def test_measured_where_they_are(spark, monkeypatch):
+    """Pictures are measured, judged and resized without a file, with the pixels that the image source gives."""
+    photo, pixels = jpeg_bytes(spark, 16, 64, 48), np.random.default_rng(1).integers(0, 256, (7, 5, 4), dtype=np.uint8)
+    png = im.png_bytes(pixels)
+    contents = [png, im.png_bytes(pixels[:, :, :3]), photo, png, b"<svg/>", None, photo[:100], png[:50], b""]
+    rows = spark.createDataFrame([(i, c and bytearray(c)) for i, c in enumerate(contents)], "n int, content binary").repartition(2)
+    want = {r.n: r.pixels and tuple(r.pixels) for r in im.decode_images(rows, F.col("content")).collect()}
+    monkeypatch.setattr(im, "write_files", lambda *_: pytest.fail("a file for each picture"))
+    got = {r.n: r.p and (r.p.height, r.p.width, r.p.channels, r.p.data) for r in rows.select("n", im.pixels_of(spark, F.col("content")).alias("p")).collect()}
+    assert got == want and [got[i] is None for i in range(9)] == [False] * 4 + [True] * 5
+    measured = {r.n: r for r in im.measure_images(rows).collect()}
+    assert [(measured[i].width, measured[i].height, measured[i].error) for i in (0, 2, 5, 7)] == [(5, 7, None), (64, 48, None), (None, None, "undecodable"), (5, 7, "undecodable")]
+    assert measured[0].ratio == im.coloured_ratio(pixels) and measured[2].ratio == im.coloured_ratio(im.pixel_array(*want[2])) and measured[4].ratio is None
+    small = im.resize_to_match(rows.withColumn("new", F.lit(im.png_bytes(RED))), "content", "new")
+    assert {r.n: r.resized and im.dimensions(bytes(r.resized)) for r in small.collect()} == {0: (5, 7), 1: (5, 7), 2: (64, 48), 3: (5, 7), 4: None, 5: None, 6: None, 7: (5, 7), 8: None}
