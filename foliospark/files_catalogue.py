@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +24,8 @@ def _archives(spark, sf_dir: str) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                lines = (text or "").split("\n")
-                with_text = ar.docx_of_lines(lines)
-                with zipfile.ZipFile(io.BytesIO(with_text)) as z:
-                    entries = [(n, z.read(n)) for n in z.namelist()]
-                entries += [(f"word/media/image{k}.{e}", bytes(doc_id % 50 * k)) for k, e in ((1, "png"), (2, "JPG"), (10, "svg"))]
-                rows.append((f"doc{doc_id}.docx", ar.write_archive(entries)))
+                media = [(f"word/media/image{k}.{e}", bytes(doc_id % 50 * k)) for k, e in ((1, "png"), (2, "JPG"), (10, "svg"))]
+                rows.append((f"doc{doc_id}.docx", ar.docx_of_lines((text or "").split("\n"), media)))
             yield pd.DataFrame(rows, columns=["doc_path", "archive"])
 
     return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(make, "doc_path string, archive binary")
@@ -69,8 +63,7 @@ FROM documents, (VALUES (1, 'png'), (2, 'JPG'), (10, 'svg')) v(k, e)""")
 def rebuilt_archives(spark, sf_dir):
     docs = _archives(spark, sf_dir)
     new = _labelled(spark, sf_dir).withColumns({"path_in_zip": F.lit("word/media/image2.JPG"), "new_content": F.lit(b"changed")})
-    rebuilt = ar.rebuild_archives(docs, new).withColumnRenamed("archive", "_new").join(docs, "doc_path").select("doc_path", F.coalesce("_new", "archive").alias("archive"))
-    return ar.list_entries(rebuilt).select("doc_path", "original_name", "size")
+    return ar.list_entries(ar.rebuild_archives(docs, new, keep=True), with_content=False).select("doc_path", "original_name", "size")
 
 
 @register(r"""

@@ -8,7 +8,7 @@ import re
 import warnings
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from xml.etree import ElementTree
 from xml.parsers import expat
 
@@ -22,6 +22,9 @@ DOCUMENT = "word/document.xml"
 #: What a broken, encrypted or null archive raises.
 UNREADABLE = (zipfile.BadZipFile, zlib.error, EOFError, TypeError, ValueError, NotImplementedError, RuntimeError)
 
+#: Rows, and bytes of them, that Python gives back at once: a table costs about a millisecond, whatever it holds.
+BATCH_ROWS, BATCH_BYTES = 1 << 12, 4 << 20
+
 ENTRY_SCHEMA = "doc_path string, entry_idx int, original_name string, path_in_zip string, size bigint, format string, kept boolean, content binary, error string"
 
 
@@ -32,6 +35,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.where(F.lower(name).endswith(".docx") & ~name.startswith("~$")).select(F.col("path").alias("doc_path"), F.col("content").alias("archive"))
 
 
+def in_batches(rows: Iterable[tuple], columns: list[str], content: int) -> Iterator[pd.DataFrame]:
+    """Rows in tables of bounded size; `content` is the place of their bytes."""
+    held, weight = [], 0
+    for row in rows:
+        held.append(row)
+        weight += len(row[content] or b"")
+        if weight >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+            yield pd.DataFrame(held, columns=columns)
+            held, weight = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 def list_entries(archives: DataFrame, min_size: int = 0, prefix: str = MEDIA, with_content: bool = True, wanted: str | None = None) -> DataFrame:
     """One row for each archive entry below prefix, in archive order; entries under min_size are listed but not inflated (kept is false).
 
@@ -40,22 +56,27 @@ def list_entries(archives: DataFrame, min_size: int = 0, prefix: str = MEDIA, wi
     """
     paths = F.col(wanted) if wanted else F.lit(None).cast("array<string>")
 
+    columns = [c.split()[0] for c in ENTRY_SCHEMA.split(", ")]
+
+    def of_archive(path: str, data: bytes, listed: set[str] | None) -> list[tuple]:
+        rows = []
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                for i, info in enumerate(z.infolist()):
+                    if info.is_dir() or not info.filename.startswith(prefix) or (listed is not None and info.filename not in listed):
+                        continue
+                    kept = info.file_size >= min_size
+                    ext = posixpath.splitext(info.filename)[1].lstrip(".").lower()
+                    rows.append((path, i, posixpath.basename(info.filename), info.filename, info.file_size, ext, kept, z.read(info) if kept and with_content else None, None))
+        except UNREADABLE as e:
+            return [(path, None, None, None, None, None, False, None, f"{type(e).__name__}: {e}")]
+        return rows
+
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, data, only in zip(batch["doc_path"], batch["archive"], batch["only"], strict=True):
-                rows = []
-                listed = None if only is None else set(only)
-                try:
-                    with zipfile.ZipFile(io.BytesIO(data)) as z:
-                        for i, info in enumerate(z.infolist()):
-                            if info.is_dir() or not info.filename.startswith(prefix) or (listed is not None and info.filename not in listed):
-                                continue
-                            kept = info.file_size >= min_size
-                            ext = posixpath.splitext(info.filename)[1].lstrip(".").lower()
-                            rows.append((path, i, posixpath.basename(info.filename), info.filename, info.file_size, ext, kept, z.read(info) if kept and with_content else None, None))
-                except UNREADABLE as e:
-                    rows = [(path, None, None, None, None, None, False, None, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in ENTRY_SCHEMA.split(", ")]).astype({"entry_idx": "Int32", "size": "Int64"})
+        archives = (x for batch in batches for x in zip(batch["doc_path"], batch["archive"], batch["only"], strict=True))
+        rows = (row for path, data, only in archives for row in of_archive(path, data, None if only is None else set(only)))
+        for held in in_batches(rows, columns, columns.index("content")):
+            yield held.astype({"entry_idx": "Int32", "size": "Int64"})
 
     return archives.select("doc_path", "archive", paths.alias("only")).mapInPandas(entries, ENTRY_SCHEMA)
 
@@ -150,36 +171,48 @@ def rebuild_archive(data: bytes, swaps: dict[str, bytes]) -> tuple[bytes, int]:
     return out.getvalue(), count
 
 
-def rebuild_archives(archives: DataFrame, replacements: DataFrame) -> DataFrame:
+def replace_entries(data: bytes, swaps: dict[str, bytes]) -> tuple[bytes | None, int]:
+    """rebuild_archive of an archive that has an entry of a listed name; others are only read (what can't be is an error), with None."""
+    with zipfile.ZipFile(io.BytesIO(data)) as old:
+        if not any(info.filename in swaps for info in old.infolist()):
+            for info in old.infolist():
+                old.read(info)
+            return None, 0
+    return rebuild_archive(data, swaps)
+
+
+def rebuild_archives(archives: DataFrame, replacements: DataFrame, keep: bool = False) -> DataFrame:
     """(doc_path, archive, replaced, error): each archive with the replacement contents (doc_path, path_in_zip, new_content) put in.
 
     Replacements are grouped by archive, which bounds a group by one archive's size; archives of which no entry is listed have a null
-    archive, and so have those that can't be read, with an error.
+    archive, and so have those that can't be read, with an error. keep: both have the archive as it was instead.
     """
     grouped = replacements.groupBy("doc_path").agg(F.collect_list(F.struct("path_in_zip", "new_content")).alias("new"))
 
+    def of_archive(path: str, data: bytes, new) -> tuple:
+        swaps = {r["path_in_zip"]: bytes(r["new_content"]) for r in new} if new is not None else {}
+        try:
+            made, count = replace_entries(data, swaps)
+            error = None
+        except UNREADABLE as e:
+            made, count, error = None, 0, f"{type(e).__name__}: {e}"
+        return path, data if keep and made is None else made, count, error
+
     def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, data, new in zip(batch["doc_path"], batch["archive"], batch["new"], strict=True):
-                swaps = {r["path_in_zip"]: bytes(r["new_content"]) for r in new} if new is not None else {}
-                try:
-                    made, count = rebuild_archive(data, swaps)
-                    row = (path, made if count else None, count, None)
-                except UNREADABLE as e:
-                    row = (path, None, 0, f"{type(e).__name__}: {e}")
-                yield pd.DataFrame([row], columns=["doc_path", "archive", "replaced", "error"])
+        archives = (x for batch in batches for x in zip(batch["doc_path"], batch["archive"], batch["new"], strict=True))
+        yield from in_batches((of_archive(*x) for x in archives), ["doc_path", "archive", "replaced", "error"], 1)
 
     return archives.join(grouped, "doc_path", "left").select("doc_path", "archive", "new").mapInPandas(rebuild, "doc_path string, archive binary, replaced int, error string")
 
 
-def docx_of_lines(lines: list[str]) -> bytes:
-    """A minimal document of one paragraph a line."""
+def docx_of_lines(lines: list[str], more: Iterable[tuple[str, bytes]] = ()) -> bytes:
+    """A minimal document of one paragraph a line, and `more` entries."""
     from xml.sax.saxutils import escape
 
     space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     clean = [re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]", "", x) for x in lines]
     body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' for x in clean)
-    return write_archive([("[Content_Types].xml", b"<Types/>"), (DOCUMENT, f"<w:document {space}><w:body>{body}</w:body></w:document>".encode())])
+    return write_archive([("[Content_Types].xml", b"<Types/>"), (DOCUMENT, f"<w:document {space}><w:body>{body}</w:body></w:document>".encode()), *more])
 
 
 def report_docx(rows: list[tuple[str, str, str]], header: tuple[str, str, str] = ("Data", "Campo", "Experiência")) -> bytes:

@@ -63,8 +63,7 @@ def rebuilt_entries(spark, sf_dir):
     docs = _mixed_archives(spark, sf_dir)
     labelled = table(spark, sf_dir, "labels").select(F.format_string("doc%d.docx", "doc_id").alias("doc_path")).distinct()
     new = labelled.withColumns({"path_in_zip": F.lit("word/media/image2.png"), "new_content": F.lit(b"changed")})
-    rebuilt = ar.rebuild_archives(docs, new).withColumnRenamed("archive", "_new").join(docs, "doc_path").select("doc_path", F.coalesce("_new", "archive").alias("archive"))
-    entries = ar.list_entries(rebuilt, prefix="")
+    entries = ar.list_entries(ar.rebuild_archives(docs, new, keep=True), prefix="")
     return entries.select(F.col("doc_path").alias("name"), "entry_idx", "path_in_zip", "size", F.when(F.octet_length("content").isin(1, 2, 7) & ~F.col("path_in_zip").isin("text.txt", "word/media/image1.png"), F.col("content").cast("string")).alias("short"))
 
 

@@ -80,3 +80,26 @@ def test_rebuild_by_entry(spark):
     both = ar.rebuild_archive(data, {"twice": b"x"})
     with zipfile.ZipFile(io.BytesIO(both[0])) as z:
         assert both[1] == 2 and [z.read(i) for i in z.infolist()][1:3] == [b"x", b"x"]
+
+
+def test_rebuild_keeps_what_it_does_not_change(spark, monkeypatch):
+    """With keep, untouched and unreadable archives come back as they are, one row for each given; only changed ones are written anew."""
+    data, torn = archive(("word/media/i.png", b"old" * 100, 8)), bytearray(archive(("word/media/i.png", b"old" * 100, 8)))
+    torn[50] ^= 255
+    docs = spark.createDataFrame([("a", bytearray(data)), ("a", bytearray(data)), ("none", bytearray(data)), ("torn", torn), ("bad", bytearray(b"x"))], "doc_path string, archive binary")
+    new = spark.createDataFrame([("a", "word/media/i.png", bytearray(b"new")), ("none", "missing", bytearray(b"new"))], "doc_path string, path_in_zip string, new_content binary")
+    got = sorted((r.doc_path, bytes(r.archive), r.replaced, r.error is None) for r in ar.rebuild_archives(docs, new, keep=True).collect())
+    changed = ar.rebuild_archive(data, {"word/media/i.png": b"new"})[0]
+    assert got == [("a", changed, 1, True), ("a", changed, 1, True), ("bad", b"x", 0, False), ("none", data, 0, True), ("torn", bytes(torn), 0, False)]
+    monkeypatch.setattr(ar, "rebuild_archive", lambda *_: pytest.fail("written in vain"))
+    assert ar.replace_entries(data, {"missing": b"new"}) == ar.replace_entries(data, {}) == (None, 0)
+
+
+def test_rows_of_many_archives_come_together(monkeypatch):
+    rows = [(f"d{i}", b"x" * 10) for i in range(10)]
+    together = lambda: [len(t) for t in ar.in_batches(iter(rows), ["name", "content"], 1)]
+    assert together() == [10] and [*ar.in_batches([], ["name", "content"], 1)] == []
+    monkeypatch.setattr(ar, "BATCH_BYTES", 40)
+    assert together() == [4, 4, 2]
+    monkeypatch.setattr(ar, "BATCH_ROWS", 3)
+    assert together() == [3, 3, 3, 1]
