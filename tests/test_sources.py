@@ -2,8 +2,10 @@
 
 import io
 import os
+import pickle
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +105,29 @@ def test_rows_of_many_archives_come_together(monkeypatch):
     assert together() == [4, 4, 2]
     monkeypatch.setattr(ar, "BATCH_ROWS", 3)
     assert together() == [3, 3, 3, 1]
+
+
+def test_driver_holds_little_of_each_file(spark, tmp_path, monkeypatch):
+    """What tasks say to commit doesn't grow with their files, moves aren't queued one by one, listings are packed: few bytes a file."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    writer = files.FileWriter(str(tmp_path / "out"), "job", False)
+    table = pa.table({"name": [f"doc{i}.docx" for i in range(5000)], "content": pa.array([b"x"] * 5000, pa.binary())})
+    messages = [writer.write(iter(table.slice(at, 2500).to_batches())) for at in (0, 2500)] + [writer.write(iter([])), None]
+    assert all(len(pickle.dumps(m)) < 300 for m in messages)
+    queued = []
+
+    class Pool(ThreadPoolExecutor):
+        def submit(self, *args, **more):
+            queued.append(args)
+            return super().submit(*args, **more)
+
+    monkeypatch.setattr(files, "ThreadPoolExecutor", Pool)
+    writer.commit(messages)
+    assert len(queued) == 20 and len(os.listdir(tmp_path / "out")) == 5000 and tree(tmp_path / "out")[0] == "doc0.docx"
+    parts = files.ArchiveReader({"path": str(tmp_path / "out")}).partitions()
+    assert len(parts) == 20 and sum(len(pickle.dumps(p)) for p in parts) < 10 * 5000
+    assert sorted(f for p in parts for f in p.files) == sorted((f"doc{i}.docx", 1) for i in range(5000))
+    one = files.read_entries(spark, str(tmp_path / "out/doc7.docx")).first()
+    assert one.doc_path == str(tmp_path / "out/doc7.docx") and one.error
+    assert files.read_entries(spark, str(tmp_path / "missing")).count() == 0
