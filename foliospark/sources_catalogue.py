@@ -74,7 +74,7 @@ def committed_folder(spark, sf_dir):
     folder = shared_dir(spark)
     docs = table(spark, sf_dir, "documents").select(F.concat("lang", F.lit("/"), F.col("doc_id"), F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content"))
     files.write_folder(docs, folder)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    found = files.read_folder(spark, folder)
     return found.select(F.element_at(F.split("path", "/"), -2).alias("folder"), tx.basename(F.col("path")).alias("name"), F.sha2("content", 256).alias("digest"))
 
 

@@ -131,3 +131,28 @@ def test_driver_holds_little_of_each_file(spark, tmp_path, monkeypatch):
     one = files.read_entries(spark, str(tmp_path / "out/doc7.docx")).first()
     assert one.doc_path == str(tmp_path / "out/doc7.docx") and one.error
     assert files.read_entries(spark, str(tmp_path / "missing")).count() == 0
+
+
+def test_folder_is_read_in_packed_parts(spark, tmp_path):
+    """Whole files of all sub-folders, empty and hidden names too, but not what isn't committed; few bytes a file in the driver."""
+    made = {"a/1.txt": b"1", "a/_2.txt": b"", "a/b/3 %20.txt": "é".encode(), ".top": b"t", "é/x": b"x" * 3000}
+    for name, content in (made | {".attempts-1/u/lost.txt": b"lost"}).items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(content)
+    for uri in (str(tmp_path / "in"), f"file://{tmp_path}/in/"):
+        got = files.read_folder(spark, uri).collect()
+        assert {os.path.relpath(r.path, tmp_path / "in"): bytes(r.content) for r in got} == made and all(r.size == len(r.content) for r in got) and len(got) == 5
+    assert files.read_folder(spark, str(tmp_path / "missing")).count() == 0
+    for i in range(3000):
+        (tmp_path / "in/a" / f"{i}.txt").touch()
+    parts = files.FolderReader(str(tmp_path / "in")).partitions()
+    assert len(parts) == 12 and sum(len(pickle.dumps(p)) for p in parts) < 10 * 3000
+
+
+def test_committed_folder_reads_without_a_status_of_each_file(spark):
+    import __spark_entry__ as e
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no driver tables")
+    plan = e.queries()["committed_folder"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert files.WHOLE in plan and "binaryFile" not in plan
